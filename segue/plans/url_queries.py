@@ -280,7 +280,7 @@ SELECT o_orderkey AS id, CASE WHEN pe OR status IN (400, 404, 410, 422) THEN 'ht
  CASE WHEN o_custkey % 10 = 0 THEN o_orderpriority WHEN o_custkey % 5 = 0 THEN 'unknown' END AS forbidden_reason FROM s""",
     "normalize_titles": f"""
 WITH a AS (SELECT doc_id, text, n_chars, list_filter(list_transform(string_split(regexp_replace(text, 'https?://\\S+', '', 'g'), chr(10)),
-  s -> regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ls FROM ({_DOCS})),
+  lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ls FROM ({_DOCS})),
 b AS (SELECT *, CASE WHEN len(ls) = 0 THEN 'https://d.example.com/' || doc_id ELSE array_to_string(ls, ' ') END AS title FROM a)
 SELECT doc_id, title, CASE WHEN length(title) <= 180 THEN title ELSE substring(title, 1, 177) || '...' END AS short_title,
  CASE WHEN length({_FLAT}) <= 500 THEN {_FLAT} ELSE substring({_FLAT}, 1, 500) || '…' END AS compact,
