@@ -75,7 +75,7 @@ def scan(df: DataFrame, keys: list[str], chunk: list[str], order: list, **specs)
         if isinstance(spec, Running):
             local = local.withColumn(f"_l_{name}", _over(spec.kind, spec.value, until if spec.before else upto))
             if spec.kind == "last":
-                agg = F.max_by(spec.value, order_key).filter(spec.value.isNotNull())
+                agg = F.max_by(spec.value, F.when(spec.value.isNotNull(), order_key))
             else:
                 agg = getattr(F, spec.kind)(spec.value)
             summary.append(agg.alias(f"_s_{name}"))
