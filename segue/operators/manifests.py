@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from segue import rules
 from segue.functions import urls as U
-from segue.functions.ordered import Running, scan
+from segue.functions.fold import ordered_fold
+from segue.functions.ordered import Running, SinceReset, scan
 from segue.operators.urls import validate_playback_targets
 from segue.session import cut_lineage
 
@@ -108,6 +109,30 @@ def resolve_child_uris(df: DataFrame, provider: str = "provider", base: str = "b
                                      policies)
 
 
+def recent_links_step(capacity: int):
+    """First-in-first-out memory of distinct URLs; a repeat does not move its entry."""
+
+    def step(state: dict, rows) -> list:
+        memory = state["urls"]
+        fresh = []
+        for url in rows["url"]:
+            new = url not in memory
+            fresh.append(new)
+            if new:
+                memory.append(url)
+                del memory[:-capacity]
+        return fresh
+
+    return step
+
+
+def dedupe_segments(df: DataFrame, stream: str, chunk: str, order: list[str],
+                    capacity: int = rules.SEGMENT_MEMORY) -> DataFrame:
+    """Rows whose URL is not among the last ``capacity`` distinct inserted URLs of the stream."""
+    flagged = ordered_fold(df, [stream], chunk, order, recent_links_step(capacity), {"urls": []}, "_fresh", "boolean")
+    return flagged.where("_fresh").drop("_fresh")
+
+
 def detect_stalled_playlists(reloads: DataFrame, stream: str, chunk: list[str], position: str,
                              outcome: str = "outcome", target_us: str = "target_us") -> DataFrame:
     """Per reload: stall counter and next delay, up to the reload that ends the stream.
@@ -116,12 +141,11 @@ def detect_stalled_playlists(reloads: DataFrame, stream: str, chunk: list[str],
     """
     result = F.col(outcome)
     stalled = result.isin("none", "error").cast("long")
-    counted = scan(reloads, [stream], chunk, [position], _total=Running(stalled, "sum"))
-    based = scan(counted, [stream], chunk, [position],
-                 _base=Running(F.when(result == "new", F.col("_total")), "last"))
-    stalls = F.col("_total") - F.coalesce(F.col("_base"), F.lit(0))
+    flagged = scan(reloads, [stream], chunk, [position],
+                   stalls=SinceReset(result.isin("none", "error").cast("long"), result == "new"))
+    stalls = F.col("stalls")
     over = (result == "end") | (stalls > rules.MAX_STALLS)
-    flagged = based.withColumn("stalls", stalls).withColumn("ended", over)
+    flagged = flagged.withColumn("ended", over)
     first = flagged.where("ended").groupBy(stream).agg(F.min(position).alias("_end"))
     wait = F.greatest(F.least(F.col(target_us), F.lit(rules.MAX_RELOAD_US)), F.lit(rules.MIN_RELOAD_US))
     return (flagged.join(first, stream, "left")
