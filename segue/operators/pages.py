@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segue.functions import html as H
 from segue.functions import urls as U
@@ -177,7 +178,7 @@ def extract_embedded_response(df: DataFrame, text: str = "html", out: str = "res
 MEDIA_PATHS = ("$.legacy.extended_entities.media", "$.legacy.entities.media")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _deep_media(payloads: pd.Series) -> pd.Series:
     """Depth-first search (keys in sorted order) for an object with video variants."""
 
