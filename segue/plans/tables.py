@@ -75,7 +75,7 @@ def _catalog_columns(duck: bool) -> dict[str, str]:
         "vocal": f"CASE WHEN {p} % 9 = 0 THEN {empty} ELSE {each(f'{seconds} * 4', div(f'({p} * 31 + i * 17) % 256 * ({p} % 4)', '3'))} END",
         "vocal_conf": f"CASE WHEN {p} % 9 = 0 THEN {empty} ELSE {each(f'{seconds} * 4', f'100 + ({p} * 13 + i * 7) % 156')} END",
         "energy_rate": f"CASE WHEN {p} % 11 = 0 THEN 0 ELSE 4 END",
-        "energy": f"CASE WHEN {p} % 11 = 0 THEN {empty} ELSE {each(f'{seconds} * 4', f'150 + ({p} * 31 + i * 5) % 96')} END",
+        "energy": f"CASE WHEN {p} % 11 = 0 THEN {empty} ELSE {each(f'{seconds} * 4', f'150 + ({p} * 31 + i * 5) % 96 - CASE WHEN {p} % 5 = 2 AND i < 20 THEN 120 ELSE 0 END')} END",
         "bpm": f"CASE WHEN {p} % 13 <> 0 THEN CAST({bpm} AS DOUBLE) END",
         "beat_confidence": f"CAST(40 + ({p} % 61) AS DOUBLE) / 100",
         "first_beat_us": f"CASE WHEN {p} % 13 <> 0 THEN {first_beat} END",
