@@ -411,7 +411,7 @@ def add_tempo_map(df: DataFrame, start: str, incoming_start: str, duration: str,
     begin = F.struct(F.lit(0).alias("next"), F.array().cast(pair_type).alias("pairs"))
     df = df.withColumn("_pairs", F.when(F.size("_ob") >= 5, F.aggregate("_ob", begin, attach, lambda a: a["pairs"])))
     n = F.size("_pairs")
-    usable = ((n >= 5) & (F.abs(F.col("_ob")[0]["t"] - os) <= 0.03) & (F.abs(F.col("_pairs")[0]["s"] - is_) <= 0.03))
+    usable = ((n >= 5) & (F.abs(F.get("_ob", F.lit(0))["t"] - os) <= 0.03) & (F.abs(F.get("_pairs", F.lit(0))["s"] - is_) <= 0.03))
     segment_type = "array<struct<end:double,speed:double>>"
 
     def correct(acc, k):
@@ -570,7 +570,10 @@ def add_phase_errors(df: DataFrame) -> DataFrame:
         worst = F.array_max(F.transform("_x", lambda e: F.array_min(F.transform(F.col(f"_{name}_i"), lambda t: F.abs(t - e)))))
         df = df.withColumn(f"{label}_pairs", F.size("_x")).withColumn(f"{label}_error", worst)
     # hand-off by markers near the end, else by the cycle of the whole track
-    o_marks, i_marks = (F.filter(f"{s}.tm", lambda m, a=a, b=b: (m >= a) & (m <= b)) for s, a, b in (("o", os, oe), ("i", is_, ie)))
+    def marks(side: str, low: Column, high: Column) -> Column:
+        return F.filter(f"{side}.tm", lambda m: (m >= low) & (m <= high))
+
+    o_marks, i_marks = marks("o", os, oe), marks("i", is_, ie)
     close = F.array_min(F.transform(o_marks, lambda m: F.struct(F.abs(m - oe).alias("d"), m.alias("m"))))
     df = df.withColumn("_close", close).withColumn("_im", i_marks)
     usable = (F.size("_im") > 0) & (F.col("_close.d") <= F.coalesce(F.col("o.bi") / 2, F.lit(BEAT_LIMIT)))
