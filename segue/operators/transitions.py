@@ -33,8 +33,14 @@ CROSSFADE_S, MAX_TEMPO_ADJUSTMENT, MIN_BEAT_CONFIDENCE = 8.0, 0.06, 0.70
 SAMPLES = 32
 
 
-def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+def unit(x: Column, low: float = 0.0) -> Column:
+    """Clamp to low..1 a value that is never null (``greatest`` and ``least`` skip nulls)."""
+    return F.greatest(F.least(x, F.lit(1.0)), F.lit(low))
+
+
+def clamp(x: Column) -> Column:
+    """Clamp to 0..1, keeping null."""
+    return F.when(x.isNotNull(), unit(x))
 
 
 def less(a: Column, b) -> Column:
@@ -48,7 +54,7 @@ def let(value: Column, body) -> Column:
 
 
 def smoothstep(x: Column) -> Column:
-    v = clamp(x)
+    v = unit(x)
     return v * v * (3 - 2 * v)
 
 
@@ -218,7 +224,7 @@ def tempo_candidates(outgoing: DataFrame, incoming: DataFrame, max_adjustment: f
     A bucket is as wide as the range, so a match lies in the same or a neighbouring
     bucket of one of three octave families; the exact test follows the join.
     """
-    width = math.log1p(max_adjustment)
+    width = -math.log1p(-max_adjustment)  # the wider side of the range
     left = outgoing.where(tempo_confident(min_confidence) & (F.col("bpm") > 0)).select(
         F.col("track").alias("outgoing"), F.col("bpm").alias("_ob"))
     right = incoming.where(tempo_confident(min_confidence) & (F.col("bpm") > 0)).select(
@@ -251,17 +257,17 @@ def linear(dbfs: Column) -> Column:
 
 
 def equal_power(progress: Column) -> tuple[Column, Column]:
-    angle = clamp(progress) * (math.pi / 2)
+    angle = unit(progress) * (math.pi / 2)
     return F.cos(angle), F.sin(angle)
 
 
 def beat_handoff(progress: Column) -> tuple[Column, Column]:
-    p = clamp(progress)
+    p = unit(progress)
     incoming = F.sin(smoothstep(p / 0.75) * (math.pi / 2))
     outgoing = F.cos(smoothstep((p - 0.15) / 0.85) * (math.pi / 2))
     power = F.sqrt(outgoing * outgoing + incoming * incoming)
     scale = F.when(power > 1.08, 1.08 / power).otherwise(1.0)
-    return clamp(outgoing * scale), clamp(incoming * scale)
+    return unit(outgoing * scale), unit(incoming * scale)
 
 
 def _gain_table(curve) -> list[tuple[float, float]]:
@@ -283,13 +289,13 @@ def _gain_table(curve) -> list[tuple[float, float]]:
 
 def eq_gains(role: str, progress: Column, compatibility: Column) -> tuple[Column, Column, Column]:
     """Low, mid and high gains of one deck at a progress of the overlap."""
-    bass, presence = smoothstep(clamp(progress * 2)), smoothstep(progress)
+    bass, presence = smoothstep(unit(progress * 2)), smoothstep(progress)
     duck = F.coalesce(clamp((0.5 - compatibility) / 0.5) * 0.2, F.lit(0.0))
     if role == "outgoing":
         bands = (1 - bass, 1 - (0.25 + duck) * presence, 1 - (0.18 + duck * 0.7) * presence)
     else:
         bands = (bass, (0.7 - duck) + (0.3 + duck) * presence, (0.82 - duck * 0.7) + (0.18 + duck * 0.7) * presence)
-    return tuple(clamp(b) for b in bands)
+    return tuple(unit(b) for b in bands)
 
 
 def recommended_gain(beat_matched: bool) -> Column:
@@ -300,9 +306,9 @@ def recommended_gain(beat_matched: bool) -> Column:
     ceiling = 10 ** (HEADROOM_DBFS / 20)
     steps = [(o, i) for o, i in _gain_table("beat" if beat_matched else "fade")[1:] if i > EPS]
     limits = [F.when(ceiling - op * o <= 0, 0.0).otherwise((ceiling - op * o) / (ip * i)) for o, i in steps]
-    combined = F.coalesce(clamp(F.least(F.lit(1.0), *limits), 0.25), F.lit(1.0))
+    combined = F.coalesce(unit(F.least(F.lit(1.0), *limits), 0.25), F.lit(1.0))
     both = F.when(op.isNotNull() & ip.isNotNull(), combined).otherwise(1.0)
-    return clamp(F.least(level, peak, both), 0.25)
+    return unit(F.least(level, peak, both), 0.25)
 
 
 def structure_span(incoming_start: Column) -> Column:
@@ -476,10 +482,10 @@ def add_curves(df: DataFrame) -> DataFrame:
         return F.struct(
             p["k"].alias("k"), (os + p["e"]).alias("o"), (is_ + p["s"]).alias("i"),
             (o_eq[0] + i_eq[0]).alias("low"),
-            (g["o"] * clamp(0.7 * o_eq[1] + 0.3 * o_eq[2])).alias("o_voice"),
-            (g["i"] * F.col("p_gain") * clamp(0.7 * i_eq[1] + 0.3 * i_eq[2])).alias("i_voice"),
-            (g["o"] * clamp(0.35 * o_eq[0] + 0.45 * o_eq[1] + 0.2 * o_eq[2])).alias("o_full"),
-            (g["i"] * F.col("p_gain") * clamp(0.35 * i_eq[0] + 0.45 * i_eq[1] + 0.2 * i_eq[2])).alias("i_full"))
+            (g["o"] * unit(0.7 * o_eq[1] + 0.3 * o_eq[2])).alias("o_voice"),
+            (g["i"] * F.col("p_gain") * unit(0.7 * i_eq[1] + 0.3 * i_eq[2])).alias("i_voice"),
+            (g["o"] * unit(0.35 * o_eq[0] + 0.45 * o_eq[1] + 0.2 * o_eq[2])).alias("o_full"),
+            (g["i"] * F.col("p_gain") * unit(0.35 * i_eq[0] + 0.45 * i_eq[1] + 0.2 * i_eq[2])).alias("i_full"))
 
     return df.withColumn("_pts", F.transform("_at", point)).drop("_at", "_gains")
 
@@ -508,7 +514,7 @@ def add_energy(df: DataFrame) -> DataFrame:
     df = df.withColumn("_lv", F.when(F.col("_ref").isNotNull(), levels))
     df = df.withColumn("_ra", F.transform("_lv", lambda x: F.sqrt(x["a"] * x["a"] + x["b"] * x["b"]) / F.col("_ref")))
     shares = F.transform(F.filter("_lv", lambda x: (x["k"] >= 24) & (x["a"] * x["a"] + x["b"] * x["b"] > 1e-12)),
-                         lambda x: clamp(x["b"] * x["b"] / (x["a"] * x["a"] + x["b"] * x["b"])))
+                         lambda x: unit(x["b"] * x["b"] / (x["a"] * x["a"] + x["b"] * x["b"])))
     n = F.size("_ra")
     steps = F.transform(F.slice("_ra", 2, SAMPLES), lambda r, k: F.abs(r - F.get("_ra", k)))
     return (df.withColumn("energy_samples", F.coalesce(F.when(n > 0, n), F.lit(0)))
@@ -669,7 +675,7 @@ def score_penalties() -> dict[str, Column]:
 
     natural = F.when(clash > 0, F.greatest(NATURAL_OVERLAP * (1 - clash * 0.5), F.lit(2.0))).otherwise(NATURAL_OVERLAP)
     balance = below(low, 0.9) * 4 + above(high, 1.15) * 2 + F.abs(F.ln(low)) * 0.15 + F.abs(F.ln(high)) * 0.05
-    risk = clamp(c("dual_vocal") / DUAL_VOCAL_LIMIT)
+    risk = unit(c("dual_vocal") / DUAL_VOCAL_LIMIT)
     # Weights and targets of the score.
     parts = {
         "energy_balance": F.when(c("energy_samples") > 0, balance),

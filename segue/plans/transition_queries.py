@@ -141,7 +141,7 @@ def energy_continuity(spark, sf):
 
 def phase_errors(spark, sf):
     return rounded(M.add_phase_errors(_simple_plan(spark, sf)).select(*KEYS, *[
-        f"{n}_{c}" for n in ("beat", "downbeat", "phrase") for c in ("pairs", "error", "handoff")]), 5)
+        f"{n}_{c}" for n in ("beat", "downbeat", "phrase") for c in ("pairs", "error", "handoff")]))
 
 
 def _measured(spark, sf):
@@ -150,12 +150,12 @@ def _measured(spark, sf):
 
 def quality_report(spark, sf):
     df = _measured(spark, sf)
-    return rounded(df.select(*KEYS, "p_kind", *[m for m in M.MEASURES if m != "p_dur"], F.array_join("issues", ",").alias("issues"), "blocked"), 5)
+    return rounded(df.select(*KEYS, "p_kind", *[m for m in M.MEASURES if m != "p_dur"], F.array_join("issues", ",").alias("issues"), "blocked"))
 
 
 def transition_score(spark, sf):
     df = M.add_score(_measured(spark, sf), detail=True)
-    return rounded(df.select(*KEYS, "score", *[f"{n}_penalty" for n in M.PENALTIES]), 5)
+    return rounded(df.select(*KEYS, "score", *[f"{n}_penalty" for n in M.PENALTIES]))
 
 
 def select_start(spark, sf):
@@ -216,4 +216,201 @@ QUERIES = {f.__name__: f for f in (
     structure_overlap, vocal_summary, vocal_overlap_limit, safe_incoming_starts, outgoing_start_candidates, align_to_grid,
     tempo_map, gain_curves, low_band_handoff, dual_vocal_overlap, energy_continuity, phase_errors, quality_report,
     transition_score, select_start, plan_transitions, guard_plans, explain_decisions, schedule_transitions, fade_steps, late_enable)}
-ORACLES: dict[str, str] = {}
+
+# ---- SQL twins: curves as rows, one row per sample point ---------------------
+
+_T = f"""t AS MATERIALIZED (SELECT track, audible_start_us / 1000000 AS a0, audible_end_us / 1000000 AS a1, intro_end_us / 1000000 AS intro, intro_confidence AS ic,
+ outro_start_us / 1000000 AS outro, outro_confidence AS oc, bpm, 60 / bpm AS bi, beat_confidence AS bc, first_beat_us / 1000000 AS fb, first_downbeat_us / 1000000 AS fd, downbeat_confidence AS dc,
+ key_tonic AS kt, key_minor AS km, key_confidence AS kc, rms_dbfs AS rms, peak_dbfs AS pk, vocal_rate AS vr, energy_rate AS nr, len(markers) AS nm, len(vocal) AS nv,
+ list_transform(range(len(vocal)), lambda k: vocal_conf[k + 1] / 255 * vocal[k + 1] / 255 + (1 - vocal_conf[k + 1] / 255) * 0.65) AS er, coalesce(list_avg(vocal_conf) / 255 >= 0.6, false) AS vk,
+ list_transform(energy, lambda b: pow(10, (b / 255 * 80 - 80) / 20)) AS en, duration_us,
+ list_transform(list_filter(range(len(markers)), lambda k: coalesce(marker_conf[k + 1], beat_confidence) >= 0.35), lambda k: markers[k + 1] / 1000000) AS tm,
+ bpm IS NOT NULL AND first_downbeat_us IS NOT NULL AND beat_confidence > 0 AND downbeat_confidence >= 0.25 AS barred,
+ beat_confidence >= 0.7 OR (beat_confidence >= 0.45 AND len(markers) >= 8 AND len(marker_conf) > 0 AND len(list_filter(marker_conf, lambda c: c >= 0.35)) >= 8
+  AND len(list_filter(marker_conf, lambda c: c >= 0.35)) / len(marker_conf) >= 0.55) AS sure FROM ({TRACK_CATALOG_SQL})),
+v AS MATERIALIZED (SELECT * EXCLUDE (act), CASE WHEN vk AND len(act) > 0 THEN greatest(act[1] / vr, a0) END AS vf, CASE WHEN vk AND len(act) > 0 THEN least((act[-1] + 1) / vr, a1) END AS vl
+ FROM (SELECT t.*, list_filter(range(nv), lambda k: k / vr < a1 AND (k + 1) / vr > a0 AND er[k + 1] >= 0.58) AS act FROM t))"""
+_HARM = """CASE WHEN o.kc >= 0.5 AND i.kc >= 0.5 AND o.kt < 12 AND i.kt < 12 THEN CASE WHEN o.kt = i.kt AND o.km = i.km THEN 1.0 WHEN (NOT o.km AND i.km AND i.kt = (o.kt + 9) % 12) OR (o.km AND NOT i.km AND o.kt = (i.kt + 9) % 12) THEN 0.95
+ WHEN o.km = i.km AND (i.kt = (o.kt + 7) % 12 OR o.kt = (i.kt + 7) % 12) THEN 0.85 WHEN o.kt = i.kt THEN 0.65 ELSE 0.2 END END"""
+_HARM = f"CAST({_HARM} AS DOUBLE)"
+_RATIO = """(SELECT r FROM (SELECT o.bpm / i.bpm * k AS r, n FROM (VALUES (1.0, 0), (2.0, 1), (0.5, 2)) f(k, n)) WHERE r IS NOT NULL ORDER BY abs(r - 1), n LIMIT 1)"""
+_PAIR = "v o JOIN v i ON i.track = o.track + 1"
+_K = "o.track AS outgoing, i.track AS incoming"
+
+
+def _s(x: str) -> str:
+    return f"(least(greatest({x}, 0), 1) ** 2 * (3 - 2 * least(greatest({x}, 0), 1)))"
+
+
+def _gains(p: str) -> str:
+    bi, bo = f"sin({_s(f'({p}) / 0.75')} * pi() / 2)", f"cos({_s(f'(({p}) - 0.15) / 0.85')} * pi() / 2)"
+    scale = f"CASE WHEN sqrt({bi} ** 2 + {bo} ** 2) > 1.08 THEN 1.08 / sqrt({bi} ** 2 + {bo} ** 2) ELSE 1 END"
+    return (f"least(greatest({bo} * {scale}, 0), 1) AS bo, least(greatest({bi} * {scale}, 0), 1) AS bi_, "
+            f"cos(least(greatest({p}, 0), 1) * pi() / 2) AS fo, sin(least(greatest({p}, 0), 1) * pi() / 2) AS fi")
+
+
+def _eq(p: str, d: str) -> str:
+    bass, pres = _s(f"least(greatest(({p}) * 2, 0), 1)"), _s(p)
+    bands = {"o_low": f"1 - {bass}", "o_mid": f"1 - (0.25 + {d}) * {pres}", "o_high": f"1 - (0.18 + {d} * 0.7) * {pres}",
+             "i_low": bass, "i_mid": f"(0.7 - {d}) + (0.3 + {d}) * {pres}", "i_high": f"(0.82 - {d} * 0.7) + (0.18 + {d} * 0.7) * {pres}"}
+    return ", ".join(f"least(greatest({x}, 0), 1) AS {n}" for n, x in bands.items())
+
+
+_LIN = "pow(10, ({x}) / 20)"
+_STEPS = f"g AS (SELECT k, k / 32 AS p, {_gains('k / 32')} FROM range(33) r(k))"
+_GAIN = f"""{_STEPS}, gg AS MATERIALIZED (SELECT o.track AS outgoing, i.track AS incoming,
+ min(CASE WHEN i.pk IS NOT NULL AND bi_ > {1.1920928955078125e-07!r} THEN CASE WHEN pow(10, -0.05) - pow(10, o.pk / 20) * bo <= 0 THEN 0 ELSE (pow(10, -0.05) - pow(10, o.pk / 20) * bo) / (pow(10, i.pk / 20) * bi_) END END) AS lb,
+ min(CASE WHEN i.pk IS NOT NULL AND fi > {1.1920928955078125e-07!r} THEN CASE WHEN pow(10, -0.05) - pow(10, o.pk / 20) * fo <= 0 THEN 0 ELSE (pow(10, -0.05) - pow(10, o.pk / 20) * fo) / (pow(10, i.pk / 20) * fi) END END) AS lf,
+ any_value(least(coalesce(pow(10, (o.rms - i.rms) / 20), 1), coalesce(pow(10, (-1 - i.pk) / 20), 1))) AS own FROM {_PAIR}, g WHERE k >= 1 GROUP BY 1, 2),
+gain AS MATERIALIZED (SELECT outgoing, incoming, greatest(least(own, coalesce(greatest(least(lb, 1), 0.25), 1), 1), 0.25) AS beat_gain, greatest(least(own, coalesce(greatest(least(lf, 1), 0.25), 1), 1), 0.25) AS fade_gain FROM gg)"""
+_SPAN = "CASE WHEN o.oc >= 0.65 AND i.ic >= 0.65 AND least(greatest(o.a1 - o.outro, 0), greatest(i.intro - {s}, 0)) >= 1 THEN least(greatest(o.a1 - o.outro, 0), greatest(i.intro - {s}, 0)) END"
+# a plain overlap per pair: same figures as the plan of the measuring queries
+_PLAN = f"""pl AS MATERIALIZED (SELECT o.track AS outgoing, i.track AS incoming, o, i, {_HARM} AS h, least(8, (o.a1 - o.a0) / 2, (i.a1 - i.a0) / 2) AS dur, o.track % 2 = 0 AS beat FROM {_PAIR}),
+pp AS MATERIALIZED (SELECT pl.*, o.a1 - dur AS os, i.a0 AS st, fade_gain, coalesce(least(greatest((0.5 - h) / 0.5, 0), 1) * 0.2, 0) AS duck FROM pl JOIN gain USING (outgoing, incoming)),
+e0 AS (SELECT outgoing, incoming, k, p, o, i, os, st, dur, beat, fade_gain, CASE WHEN beat THEN bo ELSE fo END AS og, CASE WHEN beat THEN bi_ ELSE fi END AS ig, {_eq('p', 'duck')} FROM pp, g),
+pt AS MATERIALIZED (SELECT *, os + dur * p AS op, st + dur * p AS ip FROM e0),
+low AS (SELECT outgoing, incoming, min(o_low + i_low) AS low_min, max(o_low + i_low) AS low_max FROM pt GROUP BY 1, 2),
+dv AS (SELECT outgoing, incoming, max(CASE WHEN o.vk AND i.vk AND op BETWEEN o.a0 AND o.a1 AND ip BETWEEN i.a0 AND i.a1 THEN least(coalesce(o.er[CAST(floor(op * o.vr) AS BIGINT) + 1], 0.65) * og * least(0.7 * o_mid + 0.3 * o_high, 1),
+  coalesce(i.er[CAST(floor(ip * i.vr) AS BIGINT) + 1], 0.65) * ig * fade_gain * least(0.7 * i_mid + 0.3 * i_high, 1)) END) AS dual_vocal FROM pt GROUP BY 1, 2),
+rf AS (SELECT outgoing, incoming, o.en[CAST(floor(os * o.nr) AS BIGINT) + 1] AS eo, i.en[CAST(floor((st + dur) * i.nr) AS BIGINT) + 1] * fade_gain AS ei FROM pp),
+lv AS (SELECT outgoing, incoming, k, o.en[CAST(floor(op * o.nr) AS BIGINT) + 1] * og * least(0.35 * o_low + 0.45 * o_mid + 0.2 * o_high, 1) AS a, i.en[CAST(floor(ip * i.nr) AS BIGINT) + 1] * ig * fade_gain * least(0.35 * i_low + 0.45 * i_mid + 0.2 * i_high, 1) AS b FROM pt),
+rr AS (SELECT lv.*, sqrt(a * a + b * b) / greatest(eo, ei, 1e-6) AS r FROM lv JOIN rf USING (outgoing, incoming) WHERE a IS NOT NULL AND b IS NOT NULL AND eo IS NOT NULL AND ei IS NOT NULL),
+rs AS (SELECT *, abs(r - lag(r) OVER (PARTITION BY outgoing, incoming ORDER BY k)) AS st FROM rr),
+en AS (SELECT pp.outgoing, pp.incoming, CAST(count(r) AS INTEGER) AS energy_samples, min(r) AS energy_min, max(r) AS energy_max, max(rs.st) AS energy_step, arg_max(r, k) AS handoff_ratio,
+ min(CASE WHEN k >= 24 AND a * a + b * b > 1e-12 THEN b * b / (a * a + b * b) END) AS handoff_share FROM pp LEFT JOIN rs USING (outgoing, incoming) GROUP BY 1, 2)"""
+
+
+def _beats(side: str, s: str, e: str) -> str:
+    at = f"CASE WHEN {side}.fb IS NULL OR {s} <= {side}.fb THEN greatest(coalesce({side}.fb, {s}), {s}) ELSE {side}.fb + ceil(({s} - {side}.fb) / {side}.bi) * {side}.bi END"
+    marks = f"list_filter({side}.tm, lambda m: m >= {s} AND m <= {e})"
+    return (f"CASE WHEN len({marks}) > 0 THEN {marks} WHEN {side}.bc >= 0.35 AND {side}.bi IS NOT NULL THEN "
+            f"list_transform(range(CAST(floor(({e} - ({at})) / {side}.bi) AS BIGINT) + 1), lambda k: ({at}) + k * {side}.bi) ELSE [] END")
+
+
+def _cycle(side: str, s: str, e: str, beats: int) -> str:
+    step = f"({side}.bi * {beats})"
+    return (f"CASE WHEN {side}.barred THEN list_transform(range(CAST(ceil(({s} - {side}.fd) / {step}) AS BIGINT), CAST(floor(({e} - {side}.fd) / {step}) AS BIGINT) + 1), "
+            f"lambda k: {side}.fd + k * {step}) ELSE [] END")
+
+
+def _worst(n: str) -> str:
+    return f"list_max(list_transform({n}_o, lambda t: list_min(list_transform({n}_i, lambda x: abs(x - (st + t - os))))))"
+
+
+def _wrap(oa: str, of: str, ol: str, ia: str, jf: str, il: str) -> str:
+    near = f"(CASE WHEN abs({il} - {ol}) <= abs({il} * 2 - {ol}) AND abs({il} - {ol}) <= abs({il} * 0.5 - {ol}) THEN {il} WHEN abs({il} * 2 - {ol}) <= abs({il} * 0.5 - {ol}) THEN {il} * 2 ELSE {il} * 0.5 END)"
+    d = f"abs((({oa} - {of}) / {ol} - floor(({oa} - {of}) / {ol})) - (({ia} - {jf}) / {near} - floor(({ia} - {jf}) / {near})))"
+    return f"({ol} * least({d}, 1 - {d}))"
+
+
+_ANCHOR = "coalesce(list_min(list_filter({s}.tm, lambda m: m >= {s}.a0)), list_min({s}.tm), {s}.fb, {s}.fd)"
+_PHASE = f"""ph0 AS MATERIALIZED (SELECT outgoing, incoming, o, i, os, st, dur, beat, h, {_beats('o', 'os', 'os + dur')} AS b_o, {_beats('i', 'st', 'st + dur')} AS b_i, {_cycle('o', 'os', 'os + dur', 4)} AS d_o, {_cycle('i', 'st', 'st + dur', 4)} AS d_i,
+ {_cycle('o', 'os', 'os + dur', 16)} AS p_o, {_cycle('i', 'st', 'st + dur', 16)} AS p_i, list_filter(i.tm, lambda m: m >= st AND m <= st + dur) AS im,
+ list_sort(list_transform(list_filter(o.tm, lambda m: m >= os AND m <= os + dur), lambda m: {{'d': abs(m - os - dur), 'm': m}}))[1] AS cl FROM pp),
+ph AS MATERIALIZED (SELECT outgoing, incoming, CAST(CASE WHEN len(b_i) > 0 THEN len(b_o) ELSE 0 END AS INTEGER) AS beat_pairs, {_worst('b')} AS beat_error,
+ CASE WHEN len(im) > 0 AND cl.d <= coalesce(o.bi / 2, 0.035) THEN list_min(list_transform(im, lambda m: abs(m - (st + cl.m - os)))) WHEN o.bc >= 0.35 AND i.bc >= 0.35 THEN {_wrap('(os + dur)', _ANCHOR.format(s='o'), 'o.bi', '(st + dur)', _ANCHOR.format(s='i'), 'i.bi')} END AS beat_handoff,
+ CAST(CASE WHEN len(d_i) > 0 THEN len(d_o) ELSE 0 END AS INTEGER) AS downbeat_pairs, {_worst('d')} AS downbeat_error, CASE WHEN o.barred AND i.barred THEN {_wrap('(os + dur)', 'o.fd', '(o.bi * 4)', '(st + dur)', 'i.fd', '(i.bi * 4)')} END AS downbeat_handoff,
+ CAST(CASE WHEN len(p_i) > 0 THEN len(p_o) ELSE 0 END AS INTEGER) AS phrase_pairs, {_worst('p')} AS phrase_error, CASE WHEN o.barred AND i.barred THEN {_wrap('(os + dur)', 'o.fd', '(o.bi * 16)', '(st + dur)', 'i.fd', '(i.bi * 16)')} END AS phrase_handoff,
+ {', '.join(f"coalesce(o.barred AND i.barred AND dur >= least(o.bi, i.bi) * {2 * b} AND {_wrap('os', 'o.fd', f'(o.bi * {4 * b})', 'st', 'i.fd', f'(i.bi * {4 * b})')} <= 0.15, false) AS s{b}" for b in (16, 8, 4))},
+ coalesce(o.fd IS NOT NULL AND i.fd IS NOT NULL AND o.bc > 0 AND i.bc > 0 AND dur >= least(o.bi, i.bi) * 8, false) AS act FROM ph0)"""
+_BASE = f"WITH {_T}, {_GAIN}, {_PLAN}, {_PHASE}"
+_QUALITY = f"""{_BASE}, q0 AS (SELECT outgoing, incoming, o, i, os, dur, st, h, beat, fade_gain, {_SPAN.format(s='i.a0')} AS span FROM pp),
+q AS MATERIALIZED (SELECT *, CASE WHEN span IS NOT NULL THEN least(dur / span, 1) END AS structure_ratio, CASE WHEN beat THEN CASE WHEN s16 THEN 16 WHEN s8 THEN 8 WHEN s4 THEN 4 END END AS phrase_bars FROM q0 JOIN low USING (outgoing, incoming) JOIN dv USING (outgoing, incoming) JOIN en USING (outgoing, incoming) JOIN ph USING (outgoing, incoming)),
+iss AS (SELECT *, list_filter([CASE WHEN dur < 1 THEN 'mix_overlap_too_short' END, CASE WHEN st + dur > i.a1 + 0.02 THEN 'incoming_overlap_exceeds_audible_end' END, CASE WHEN low_min < 0.85 THEN 'low_handoff_dip' END,
+ CASE WHEN low_max > 1.15 THEN 'low_handoff_build_up' END, CASE WHEN dual_vocal > 0.58 THEN 'dual_vocal_overlap_too_high' END, CASE WHEN beat AND beat_error IS NULL THEN 'beat_phase_unverified' END,
+ CASE WHEN beat AND beat_error > 0.035 THEN 'beat_phase_drift_too_large' END, CASE WHEN beat AND beat_handoff > 0.035 THEN 'beat_handoff_phase_drift_too_large' END, CASE WHEN beat AND downbeat_error > 0.07 THEN 'downbeat_phase_drift_too_large' END,
+ CASE WHEN beat AND downbeat_handoff > 0.07 THEN 'downbeat_handoff_phase_drift_too_large' END, CASE WHEN beat AND act AND phrase_error > 0.15 THEN 'phrase_phase_drift_too_large' END,
+ CASE WHEN beat AND act AND phrase_handoff > 0.15 THEN 'phrase_handoff_phase_drift_too_large' END], lambda x: x IS NOT NULL) AS issues FROM q)"""
+_R5 = "round({x}, 6) + 0.0 AS {x}"
+
+
+def _b5(name: str) -> str:
+    return f"round(CASE WHEN beat THEN {name} END, 6) + 0.0 AS {name}"
+
+
+_CLASH = "coalesce(least(greatest((0.5 - h) / 0.5, 0), 1), 0)"
+_PEN = {
+    "energy_balance": "CASE WHEN energy_samples > 0 THEN greatest(0.9 - greatest(energy_min, 1e-6), 0) * 4 + greatest(greatest(energy_max, 1e-6) - 1.15, 0) * 2 + abs(ln(greatest(energy_min, 1e-6))) * 0.15 + abs(ln(greatest(energy_max, 1e-6))) * 0.05 END",
+    "vocal": f"CASE WHEN dual_vocal IS NULL THEN 0 ELSE least(dual_vocal / 0.58, 1) ** 2 * (1.1 + {_CLASH} * 0.7) END",
+    "short_mix": f"greatest(CASE WHEN {_CLASH} > 0 THEN greatest(4 * (1 - {_CLASH} * 0.5), 2) ELSE 4 END - dur, 0) * 0.12",
+    "energy_step": "CASE WHEN energy_step IS NULL THEN 0 ELSE greatest(energy_step - 0.12, 0) * 2 END",
+    "handoff_energy": "CASE WHEN handoff_ratio IS NULL THEN 0 ELSE greatest(0.85 - handoff_ratio, 0) * 3 + greatest(handoff_ratio - 1.15, 0) * 2 END",
+    "handoff_ownership": f"CASE WHEN handoff_share IS NULL THEN 0 ELSE greatest(0.7 + {_CLASH} * 0.1 - handoff_share, 0) * (1.5 + {_CLASH}) END",
+    "tempo_smoothness": "0",
+    "phrase_strength": "CASE phrase_bars WHEN 16 THEN 0.0 WHEN 8 THEN 0.04 WHEN 4 THEN 0.10 ELSE 0.16 END",
+    "structure_usage": "CASE WHEN structure_ratio IS NULL THEN 0 ELSE greatest(0.7 - structure_ratio, 0) * 0.12 END",
+    "harmonic_overlap": f"greatest(dur - 4, 0) * 0.04 * {_CLASH}",
+}
+_QT = f"""q1 AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})),
+qt AS (SELECT q1.*, (20 + CAST(a.p_size AS BIGINT)) * 3000000 AS outgoing_us, (20 + CAST(b.p_size AS BIGINT)) * 3000000 AS incoming_us FROM q1 JOIN part a ON a.p_partkey = outgoing JOIN part b ON b.p_partkey = incoming),
+qp AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 'beat_matched' WHEN pos % 3 = 1 THEN 'gapless' ELSE 'crossfade' END AS plan_kind, outgoing_us - 9000000 AS plan_start_us, CASE WHEN pos % 4 = 0 THEN 0 ELSE (pos % 7) * 1000000 END AS plan_fade_us FROM qt)"""
+
+
+def _sched(pref: int) -> str:
+    return f"""{_QT}, s0 AS (SELECT *, least({pref}, outgoing_us // 2, incoming_us // 2) AS fade, outgoing_us - least({pref}, outgoing_us // 2) AS after FROM qp),
+s1 AS (SELECT *, outgoing_us - fade AS tr, CASE WHEN after <= 60000000 THEN least(after, 500000) ELSE after - 60000000 END AS ev FROM s0)"""
+
+
+ORACLES = {
+    "adjacent_transitions": f"""
+WITH {_T}, q1 AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})),
+p AS (SELECT listener, pos, outgoing, incoming, {_HARM} AS harmonic, {_RATIO} AS tempo_ratio, least(8000000, o.duration_us // 2, i.duration_us // 2) AS fade_us FROM q1 JOIN t o ON o.track = outgoing JOIN t i ON i.track = incoming),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY listener ORDER BY harmonic DESC NULLS LAST, abs(tempo_ratio - 1) NULLS LAST, pos) AS INTEGER) AS rank FROM p)
+SELECT listener, pos, outgoing, incoming, harmonic, round(tempo_ratio, 6) + 0.0 AS tempo_ratio, fade_us, rank FROM r WHERE rank <= 3""",
+    "beat_grid": f"""
+SELECT track, CASE WHEN bpm > 0 THEN first_downbeat_us END AS first_downbeat_us, CASE WHEN bpm > 0 THEN CAST(round(60000000 / bpm) AS BIGINT) END AS beat_interval_us, CASE WHEN bpm > 0 THEN CAST(4 AS INTEGER) END AS beats_per_bar,
+ round(CASE WHEN len(marker_conf) > 0 THEN len(list_filter(marker_conf, lambda c: c >= 0.35)) / len(marker_conf) ELSE 0 END, 6) AS kick_coverage FROM ({TRACK_CATALOG_SQL})""",
+    "phrase_cues": f"""
+WITH c AS (SELECT *, 240000000.0 / bpm * bars AS step FROM ({TRACK_CATALOG_SQL}), (VALUES (4), (8), (16)) b(bars) WHERE bpm > 0 AND downbeat_confidence >= 0.25),
+p AS (SELECT track, bars, first_downbeat_us + k * step AS x, audible_start_us AS a, audible_end_us AS z FROM c, range(200) g(k))
+SELECT track, CAST(round(x) AS BIGINT) AS position_us, CAST(bars AS INTEGER) AS bars FROM p WHERE x >= a AND x <= z""",
+    "adjacent_pairs": f"""
+WITH p AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})) SELECT * FROM p WHERE incoming IS NOT NULL""",
+    "tempo_candidates": f"""
+WITH {_T}, p AS (SELECT {_K}, o.bpm / i.bpm AS r FROM t o, t i WHERE o.sure AND i.sure AND o.bpm > 0 AND i.bpm > 0 AND o.track <> i.track),
+b AS (SELECT outgoing, incoming, CASE WHEN abs(r - 1) <= abs(r * 2 - 1) AND abs(r - 1) <= abs(r * 0.5 - 1) THEN r WHEN abs(r * 2 - 1) <= abs(r * 0.5 - 1) THEN r * 2 ELSE r * 0.5 END AS ratio FROM p)
+SELECT outgoing, incoming, round(ratio, 6) + 0.0 AS ratio FROM b WHERE abs(ratio - 1) <= 0.06""",
+    "harmonic_compatibility": f"WITH {_T} SELECT {_K}, {_HARM} AS score FROM {_PAIR}",
+    "recommended_gain": f"WITH {_T}, {_GAIN} SELECT outgoing, incoming, round(beat_gain, 6) AS beat_gain, round(fade_gain, 6) AS fade_gain FROM gain",
+    "structure_overlap": f"""
+WITH {_T}, s AS (SELECT {_K}, {_SPAN.format(s='i.a0')} AS span, least(8, (o.a1 - o.a0) / 2) AS d FROM {_PAIR})
+SELECT outgoing, incoming, round(span, 6) + 0.0 AS span, round(CASE WHEN span IS NOT NULL THEN least(d / span, 1) END, 6) + 0.0 AS usage FROM s""",
+    "vocal_summary": f"WITH {_T} SELECT track, vk AS known, round(vf, 6) + 0.0 AS first_s, round(vl, 6) + 0.0 AS last_end_s FROM v",
+    "vocal_overlap_limit": f"""
+WITH {_T} SELECT {_K}, round(CASE WHEN NOT o.vk OR NOT i.vk THEN 2.0 WHEN o.vl IS NULL OR i.vf IS NULL THEN 8.0 ELSE least(8, least(greatest(o.a1 - o.vl, 0), 8) + greatest(i.vf - i.a0, 0)) END, 6) AS limit_s FROM {_PAIR}""",
+    "safe_incoming_starts": f"""
+WITH {_T}, a AS (SELECT *, CASE WHEN dc >= 0.25 AND fd >= a0 AND fd - a0 <= 0.1 AND (nm = 0 OR len(list_filter(tm, lambda m: abs(m - fd) <= 0.035)) > 0) THEN fd END AS d1, CASE WHEN dc >= 0.25 AND fd >= a0 AND fd - a0 <= 8 AND (nm = 0 OR len(list_filter(tm, lambda m: abs(m - fd) <= 0.035)) > 0) THEN fd END AS d8,
+ list_min(list_filter(tm, lambda m: m >= a0 AND m - a0 <= 0.1)) AS m1, list_min(list_filter(tm, lambda m: m >= a0 AND m - a0 <= 8)) AS m8 FROM v),
+c AS (SELECT track, 0 AS n, coalesce(d1, m1, fb) AS x FROM a UNION ALL SELECT track, 1, list_sort(list_transform(list_filter(tm, lambda m: m >= a0 AND m < a1 AND abs(m - intro) <= greatest(coalesce(15 / bpm, 0.1), 0.12)), lambda m: {{'d': abs(m - intro), 'm': m}}))[1].m FROM a WHERE ic >= 0.65 AND intro > a0 AND intro < a1 AND intro - a0 <= 16
+ UNION ALL SELECT track, 2, coalesce(d8, m8, fb) FROM a),
+k AS (SELECT c.*, a0, a1, vk, CASE WHEN vk AND x > a0 THEN list_max(er[CAST(floor(a0 * vr) AS BIGINT) + 1:CAST(ceil(x * vr) AS BIGINT)]) END AS risk,
+ list_avg(list_transform(range(12), lambda q: en[CAST(floor((a0 + (x - a0) * (q + 0.5) / 12) * nr) AS BIGINT) + 1])) AS bef, list_avg(list_transform(range(8), lambda q: en[CAST(floor((x + (least(a1, x + 2) - x) * (q + 0.5) / 8) * nr) AS BIGINT) + 1])) AS aft FROM c JOIN v USING (track) WHERE x IS NOT NULL),
+f AS (SELECT DISTINCT track, x FROM k WHERE CASE n WHEN 0 THEN x >= a0 AND x - a0 <= 0.1 AND NOT coalesce(risk >= 0.58, false) ELSE x > a0 AND x < a1 AND x - a0 <= CASE n WHEN 1 THEN 16 ELSE 8 END AND risk <= 0.2 AND aft > 1e-6 AND bef <= aft * CASE n WHEN 1 THEN 0.55 ELSE 0.45 END END)
+SELECT track, CAST(row_number() OVER (PARTITION BY track ORDER BY x) - 1 AS INTEGER) AS pos, round(x, 6) + 0.0 AS start_s FROM f""",
+    "gain_curves": f"""
+WITH e AS (SELECT event_id, value / 500 AS p, coalesce(least(greatest((0.5 - CASE WHEN user_id % 3 > 0 THEN user_id % 10 / 10 END) / 0.5, 0), 1) * 0.2, 0) AS d FROM events),
+g AS (SELECT event_id, {_gains('p')}, {_eq('p', 'd')} FROM e)
+SELECT event_id, round(bo, 6) + 0.0 AS beat_out, round(bi_, 6) + 0.0 AS beat_in, round(fo, 6) + 0.0 AS fade_out, round(fi, 6) + 0.0 AS fade_in, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('o_low', 'o_mid', 'o_high', 'i_low', 'i_mid', 'i_high'))} FROM g""",
+    "low_band_handoff": f"{_BASE} SELECT outgoing, incoming, round(low_min, 6) AS low_min, round(low_max, 6) AS low_max, low_min < 0.85 AS dip, low_max > 1.15 AS build_up FROM low",
+    "dual_vocal_overlap": f"{_BASE} SELECT outgoing, incoming, round(dual_vocal, 6) + 0.0 AS dual_vocal FROM dv",
+    "energy_continuity": f"""{_BASE} SELECT outgoing, incoming, energy_samples, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('energy_min', 'energy_max', 'energy_step', 'handoff_ratio', 'handoff_share'))} FROM en""",
+    "phase_errors": f"""{_BASE} SELECT outgoing, incoming, beat_pairs, downbeat_pairs, phrase_pairs, {', '.join(f'round({n}_{c}, 6) + 0.0 AS {n}_{c}' for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))} FROM ph""",
+    "quality_report": f"""{_QUALITY} SELECT outgoing, incoming, CASE WHEN beat THEN 'beat_matched' ELSE 'crossfade' END AS p_kind, {', '.join(f'CAST(CASE WHEN beat THEN {n}_pairs ELSE 0 END AS INTEGER) AS {n}_pairs' for n in ('beat', 'downbeat', 'phrase'))},
+ {', '.join(_b5(f'{n}_{c}') for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))}, phrase_bars, energy_samples, CAST(NULL AS DOUBLE) AS tempo_step,
+ {', '.join(_R5.format(x=x) for x in ('structure_ratio', 'low_min', 'low_max', 'dual_vocal', 'energy_min', 'energy_max', 'energy_step', 'handoff_ratio', 'handoff_share'))},
+ array_to_string(issues, ',') AS issues, len(list_filter(issues, lambda x: x NOT IN ('low_handoff_dip', 'low_handoff_build_up'))) > 0 AS blocked FROM iss""",
+    "transition_score": f"""{_QUALITY}, pen AS (SELECT outgoing, incoming, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in _PEN.items())} FROM q)
+SELECT outgoing, incoming, round({' + '.join(_PEN)}, 6) + 0.0 AS score, {', '.join(f'round({n}, 6) + 0.0 AS {n}_penalty' for n in _PEN)} FROM pen""",
+    "schedule_transitions": f"""
+WITH {_sched(8000000)} SELECT listener, pos, outgoing, incoming, outgoing_us, incoming_us, plan_kind, plan_start_us, plan_fade_us, CASE WHEN plan_fade_us > 0 THEN plan_fade_us ELSE fade END AS fade_us, CASE WHEN plan_fade_us > 0 THEN plan_start_us ELSE tr END AS transition_us,
+ greatest(tr - fade, 0) AS prefetch_us, ev AS event_us, greatest(ev - 15000000, 0) AS prepare_us, CAST(CASE WHEN plan_kind <> 'gapless' AND plan_fade_us >= 2000000 THEN 2 ELSE 0 END AS INTEGER) AS eq_windows,
+ CASE WHEN plan_fade_us > 0 THEN plan_kind ELSE 'crossfade' END AS kind, CAST(least(greatest(CASE WHEN plan_fade_us > 0 THEN plan_fade_us ELSE fade END // 50000, 1), 200) AS INTEGER) AS steps FROM s1""",
+    "fade_steps": f"""
+WITH {_sched(1000000)}, f AS (SELECT *, least(greatest(fade // 50000, 1), 200) AS steps FROM s1), x AS (SELECT f.*, k, k / steps AS p FROM f, range(1, 201) g(k) WHERE k <= steps)
+SELECT listener, pos, CAST(k AS INTEGER) AS step, CAST(floor(tr + fade * p) AS BIGINT) AS at_us, round(cos(p * pi() / 2), 6) + 0.0 AS outgoing_gain, round(sin(p * pi() / 2), 6) + 0.0 AS incoming_gain FROM x""",
+    "late_enable": """
+WITH s AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 200000000 AS position_us, 90000000 + (o_custkey % 90) * 1000000 AS d, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 85000000 + (o_custkey % 97) * 1000000 END AS a FROM orders),
+l AS (SELECT *, CASE WHEN least(a, d) = 0 THEN d ELSE least(a, d) END AS len FROM s), t AS (SELECT *, least(8000000, len // 2) AS fade_us, len - least(8000000, len // 2) AS tr FROM l),
+e AS (SELECT *, CASE WHEN tr <= 60000000 THEN least(tr, 500000) ELSE tr - 60000000 END AS ev FROM t)
+SELECT id, position_us, greatest(ev - 15000000, 0) AS prepare_us, tr AS transition_us, fade_us, position_us >= greatest(ev - 15000000, 0) AND position_us < tr + fade_us AS eligible FROM e""",
+}
