@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from segue.functions import html as H
 from segue.functions import urls as U
+from segue.operators.urls import clean_title
 
 LD_JSON = '<script type="application/ld+json">'
 HYDRATION_START, HYDRATION_END = "window.__sc_hydration = ", ";</script>"
@@ -98,6 +99,13 @@ PAYLOAD_SHAPES = {
         "url_prefix": "https://www.twitch.tv/",
         "required": (("$.data.user", "missing user payload"), ("$.data.user.stream", "channel is not live")),
     },
+    "twitch_video": {
+        "id": ("$.data.video.id", "text"), "prefix": "twitch:video:",
+        "title": ("$.data.video.title",), "author": ("$.data.video.owner.displayName",), "default_author": "Twitch",
+        "thumbnail": ("$.data.video.previewThumbnailURL", "$.data.video.owner.profileImageURL"),
+        "duration": ("$.data.video.lengthSeconds", 1_000_000), "url_prefix": "https://www.twitch.tv/videos/",
+        "required": (("$.data.video", "missing video payload"), ("$.data.video.owner", "missing video owner")),
+    },
     "niconico": {
         "id": ("$.data.response.video.id", "text"), "prefix": "niconico:video:",
         "title": ("$.data.response.video.title",), "title_default": "id",
@@ -137,7 +145,7 @@ def normalize_payloads(df: DataFrame, shape: str, payload: str = "payload", url:
         key = F.coalesce(H.text_at(doc, spec["own_key"]), key)
     fallback = ident if spec.get("title_default") == "id" else canonical
     thumb = first_text(spec["thumbnail"])
-    if shape == "twitch":
+    if shape.startswith("twitch"):
         thumb = F.replace(F.replace(thumb, F.lit("{width}"), F.lit("640")), F.lit("{height}"), F.lit("360"))
     length = F.lit(None).cast("long")
     if spec["duration"]:
@@ -154,6 +162,36 @@ def normalize_payloads(df: DataFrame, shape: str, payload: str = "payload", url:
         ok(thumb).alias("thumbnail"), ok(length).alias("duration_us"))
 
 
+def normalize_posts(df: DataFrame, payload: str = "payload", post: str = "post_id", url: str = "url") -> DataFrame:
+    """Post payload with a media object to the common track record."""
+    found = find_media_node(df.withColumn("_doc", F.try_parse_json(F.col(payload))), payload, "_media")
+    found = found.withColumn("_m", F.try_parse_json("_media"))
+    doc, media = F.col("_doc"), F.col("_m")
+    usable = F.filter(F.try_variant_get(media, "$.video_info.variants", "array<variant>"),
+                      lambda v: H.text_at(v, "$.content_type").isNotNull() & H.text_at(v, "$.url").isNotNull())
+    kinds = F.transform(usable, lambda v, k: F.struct(
+        F.when(H.text_at(v, "$.content_type") == "application/x-mpegURL", 0)
+        .when(H.text_at(v, "$.content_type") == "video/mp4", 1).otherwise(2).alias("kind"),
+        (-F.coalesce(H.whole_at(v, "$.bitrate"), F.lit(0))).alias("rate"), k.alias("k"), H.text_at(v, "$.url").alias("url")))
+    best = F.array_min(kinds)
+    error = F.when(media.isNull(), "missing media").when(best.isNull(), "missing video variant")
+    found = found.withColumn("error", error).withColumn("_best", best)
+
+    def ok(value: Column) -> Column:
+        return F.when(F.col("error").isNull(), value)
+
+    raw = F.coalesce(H.text_at(doc, "$.legacy.full_text"), F.col(url))
+    hls = (F.col("_best.kind") == 0) | F.col("_best.url").contains(".m3u8")
+    return found.select(
+        *[c for c in df.columns if c != payload], "error",
+        ok(F.concat(F.lit("x:tweet:"), F.col(post))).alias("canonical_key"),
+        ok(clean_title(raw, F.col(url))).alias("title"),
+        ok(F.coalesce(H.text_at(doc, "$.core.user_results.result.core.name"), F.lit("X"))).alias("author"),
+        ok(H.text_at(media, "$.media_url_https")).alias("thumbnail"),
+        ok(H.whole_at(media, "$.video_info.duration_millis") * 1000).alias("duration_us"),
+        ok(F.col("_best.url")).alias("stream_url"), ok(F.when(hls, "hls").otherwise("http")).alias("kind"))
+
+
 def pick_hydration_entry(df: DataFrame, text: str = "html", hydratable: str = "sound") -> DataFrame:
     """Typed columns of the first matching entry between the page markers."""
     entries = F.try_variant_get(F.try_parse_json(H.between(F.col(text), HYDRATION_START, HYDRATION_END)), "$",

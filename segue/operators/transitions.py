@@ -217,27 +217,15 @@ def tempo_ratio(outgoing_bpm: Column, incoming_bpm: Column) -> Column:
     return F.when((outgoing_bpm > 0) & (incoming_bpm > 0), F.array_min(options)["r"])
 
 
-def tempo_candidates(outgoing: DataFrame, incoming: DataFrame, max_adjustment: float = MAX_TEMPO_ADJUSTMENT,
+def tempo_candidates(pairs: DataFrame, tracks: DataFrame, max_adjustment: float = MAX_TEMPO_ADJUSTMENT,
                      min_confidence: float = MIN_BEAT_CONFIDENCE) -> DataFrame:
-    """All pairs within the tempo range, by an equi join on log-tempo buckets.
-
-    A bucket is as wide as the range, so a match lies in the same or a neighbouring
-    bucket of one of three octave families; the exact test follows the join.
-    """
-    width = -math.log1p(-max_adjustment)  # the wider side of the range
-    left = outgoing.where(tempo_confident(min_confidence) & (F.col("bpm") > 0)).select(
-        F.col("track").alias("outgoing"), F.col("bpm").alias("_ob"))
-    right = incoming.where(tempo_confident(min_confidence) & (F.col("bpm") > 0)).select(
-        F.col("track").alias("incoming"), F.col("bpm").alias("_ib"))
-    home = F.floor(F.log("_ib") / width)
-    right = right.withColumn("_slot", home)
-    family = F.flatten(F.transform(F.array(F.lit(1.0), F.lit(2.0), F.lit(0.5)), lambda k: F.transform(
-        F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.log(F.col("_ob") * k) / width) + d)))
-    left = left.withColumn("_slot", F.explode(F.array_distinct(family)))
-    ratio = tempo_ratio(F.col("_ob"), F.col("_ib"))
-    return (left.join(right, "_slot").withColumn("ratio", ratio)
-            .where((F.abs(F.col("ratio") - 1) <= max_adjustment) & (F.col("outgoing") != F.col("incoming")))
-            .select("outgoing", "incoming", "ratio"))
+    """Given pairs(outgoing, incoming) whose tempo ratio is within range and whose beats are
+    both trusted. Only asked-for pairs are tested: all tracks of one tempo would be a square."""
+    facts = tracks.where(tempo_confident(min_confidence) & (F.col("bpm") > 0)).select("track", "bpm")
+    df = (pairs.join(facts.withColumnsRenamed({"track": "outgoing", "bpm": "_ob"}), "outgoing")
+          .join(facts.withColumnsRenamed({"track": "incoming", "bpm": "_ib"}), "incoming"))
+    df = df.withColumn("ratio", tempo_ratio(F.col("_ob"), F.col("_ib"))).drop("_ob", "_ib")
+    return df.where(F.abs(F.col("ratio") - 1) <= max_adjustment)
 
 
 def harmonic(o: str = "o", i: str = "i") -> Column:

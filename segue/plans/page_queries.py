@@ -90,6 +90,18 @@ def normalize_payloads(spark, sf):
     return out
 
 
+POST = (
+    "concat('{\"core\":{\"user_results\":{\"result\":{\"core\":{\"name\":\"N', user_id, '\"}}}},\"legacy\":{\"full_text\":\"clip ', event_id, ' https://t.example.com/x\"', "
+    "CASE WHEN event_type = 'view' THEN '' ELSE concat(',\"entities\":{\"media\":[{\"media_url_https\":\"i.jpg\",\"video_info\":{\"duration_millis\":', event_id, ',\"variants\":[', "
+    "CASE WHEN event_type = 'click' THEN '' ELSE '{\"content_type\":\"video/mp4\",\"url\":\"low\",\"bitrate\":5},{\"content_type\":\"video/mp4\",\"url\":\"high\",\"bitrate\":9}' END, "
+    "CASE WHEN event_type = 'purchase' THEN ',{\"content_type\":\"application/x-mpegURL\",\"url\":\"list\"}' ELSE '' END, ']}}]}') END, '}}')")
+
+
+def normalize_posts(spark, sf):
+    df = table(spark, sf, "events").selectExpr("event_id", "event_id AS post_id", "'https://x.example.com/' AS url", f"{POST} AS payload")
+    return ops.normalize_posts(df).drop("post_id", "url")
+
+
 def pick_hydration_entry(spark, sf):
     return ops.pick_hydration_entry(_pages(spark, sf)).drop("url", "urn", "permalink_url")
 
@@ -117,7 +129,7 @@ def find_media_node(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     extract_attribute, extract_meta_content, extract_structured_script, decode_entities, extract_script_urls,
-    build_page_metadata, normalize_payloads, pick_hydration_entry, extract_embedded_response, find_media_node)}
+    build_page_metadata, normalize_payloads, normalize_posts, pick_hydration_entry, extract_embedded_response, find_media_node)}
 
 _P = f"SELECT page_id, url, {PAGE_HTML} AS html FROM pages"
 _DECODED = ("replace(replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&#34;', '\"'), '&amp;', '&'), "
@@ -176,6 +188,11 @@ SELECT page_id, error, CASE WHEN error IS NULL THEN 'https://s.example.com/track
                 "'niconico:video:sm' || o_orderkey", "'https://www.nicovideo.jp/watch/sm' || o_orderkey",
                 "CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE 'sm' || o_orderkey END", "'niconico'",
                 "CASE WHEN o_orderkey % 3 = 0 THEN 'o.jpg' ELSE 'u.jpg' END", "o_custkey * 1000000"))),
+    "normalize_posts": """
+WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 'missing media' WHEN 'click' THEN 'missing video variant' END AS error FROM events)
+SELECT event_id, error, CASE WHEN error IS NULL THEN 'x:tweet:' || event_id END AS canonical_key, CASE WHEN error IS NULL THEN 'clip ' || event_id END AS title,
+ CASE WHEN error IS NULL THEN 'N' || user_id END AS author, CASE WHEN error IS NULL THEN 'i.jpg' END AS thumbnail, CASE WHEN error IS NULL THEN event_id * 1000 END AS duration_us,
+ CASE WHEN error IS NULL THEN CASE WHEN event_type = 'purchase' THEN 'list' ELSE 'high' END END AS stream_url, CASE WHEN error IS NULL THEN CASE WHEN event_type = 'purchase' THEN 'hls' ELSE 'http' END END AS kind FROM e""",
     "pick_hydration_entry": """
 SELECT page_id, page_id AS id, 'Snd ' || page_id AS title, page_id * 1000 AS duration_ms, 'u' AS username, CAST(2 AS INTEGER) AS transcodings FROM pages""",
     "extract_embedded_response": "SELECT page_id, 'sm' || page_id AS video_id, page_id + 60 AS duration_s FROM pages",

@@ -173,8 +173,14 @@ def mix_quality_metrics(spark, sf):
     return rounded(ops.mix_quality_metrics(pcm(spark, sf), RATE), 5)
 
 
+def analyze_tracks(spark, sf):
+    return rounded(ops.analyze_tracks(pcm(spark, sf), RATE).select(
+        "track", "duration_us", "audible_start_us", "audible_end_us", "bpm", "beat_confidence", "first_beat_us", F.size("markers").alias("beats"),
+        "first_downbeat_us", "downbeat_confidence", F.size("energy").alias("energy_bins"), F.size("vocal").alias("vocal_bins"), "rms_dbfs", "peak_dbfs"), 4)
+
+
 QUERIES = {f.__name__: f for f in (
-    downmix_frames, decimate_mean, loudness_levels, block_energy, quantize_levels, audible_bounds, onset_flux,
+    analyze_tracks, downmix_frames, decimate_mean, loudness_levels, block_energy, quantize_levels, audible_bounds, onset_flux,
     estimate_tempo, select_tempo, track_beats, downbeat_phase, energy_structure, median_smooth, median3_smooth,
     nearest_rank_percentile, run_statistics, band_filter, vocal_bin_features, vocal_risk, effective_vocal_risk,
     estimate_key, mix_quality_metrics)}

@@ -48,8 +48,9 @@ def adjacent_pairs(spark, sf):
 
 
 def tempo_candidates(spark, sf):
+    pairs = M.adjacent_pairs(listener_queue(spark, sf), "listener", ["part"], ["pos"], "track")
     tracks = track_catalog(spark, sf).select("track", "bpm", "beat_confidence", "markers", "marker_conf")
-    return rounded(M.tempo_candidates(tracks, tracks))
+    return rounded(M.tempo_candidates(pairs, tracks))
 
 
 def adjacent_transitions(spark, sf):
@@ -367,9 +368,10 @@ SELECT track, CAST(round(x) AS BIGINT) AS position_us, CAST(bars AS INTEGER) AS
     "adjacent_pairs": f"""
 WITH p AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})) SELECT * FROM p WHERE incoming IS NOT NULL""",
     "tempo_candidates": f"""
-WITH {_T}, p AS (SELECT {_K}, o.bpm / i.bpm AS r FROM t o, t i WHERE o.sure AND i.sure AND o.bpm > 0 AND i.bpm > 0 AND o.track <> i.track),
-b AS (SELECT outgoing, incoming, CASE WHEN abs(r - 1) <= abs(r * 2 - 1) AND abs(r - 1) <= abs(r * 0.5 - 1) THEN r WHEN abs(r * 2 - 1) <= abs(r * 0.5 - 1) THEN r * 2 ELSE r * 0.5 END AS ratio FROM p)
-SELECT outgoing, incoming, round(ratio, 6) + 0.0 AS ratio FROM b WHERE abs(ratio - 1) <= 0.06""",
+WITH {_T}, q1 AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})),
+p AS (SELECT listener, pos, outgoing, incoming, o.bpm / i.bpm AS r FROM q1 JOIN t o ON o.track = outgoing JOIN t i ON i.track = incoming WHERE o.sure AND i.sure AND o.bpm > 0 AND i.bpm > 0),
+b AS (SELECT *, CASE WHEN abs(r - 1) <= abs(r * 2 - 1) AND abs(r - 1) <= abs(r * 0.5 - 1) THEN r WHEN abs(r * 2 - 1) <= abs(r * 0.5 - 1) THEN r * 2 ELSE r * 0.5 END AS ratio FROM p)
+SELECT listener, pos, outgoing, incoming, round(ratio, 6) + 0.0 AS ratio FROM b WHERE abs(ratio - 1) <= 0.06""",
     "harmonic_compatibility": f"WITH {_T} SELECT {_K}, {_HARM} AS score FROM {_PAIR}",
     "recommended_gain": f"WITH {_T}, {_GAIN} SELECT outgoing, incoming, round(beat_gain, 6) AS beat_gain, round(fade_gain, 6) AS fade_gain FROM gain",
     "structure_overlap": f"""
