@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from segue.functions.ordered import Shifted, scan
 from segue.operators.signals import EPS, dequantize_level
-from segue.session import cut_lineage
+from segue.session import cut_lineage, spread
 
 # Limits and thresholds of transition planning.
 TEMPO_DEADBAND = 0.001
@@ -87,7 +87,7 @@ def prepare_tracks(catalog: DataFrame, min_beat_confidence: float = MIN_BEAT_CON
     rate = F.col("vocal_rate")
     paired = (rate > 0) & (F.size("vocal") == F.size("vocal_conf"))
     risks = F.when(paired, F.zip_with("vocal", "vocal_conf", lambda r, c: c / 255 * r / 255 + (1 - c / 255) * 0.65))
-    df = catalog.select(
+    df = spread(catalog, "track").select(
         "track", _sec("duration_us").alias("dur"), _sec("audible_start_us").alias("a0"), _sec("audible_end_us").alias("a1"),
         _sec("intro_end_us").alias("intro"), F.col("intro_confidence").alias("intro_c"),
         _sec("outro_start_us").alias("outro"), F.col("outro_confidence").alias("outro_c"),
@@ -452,15 +452,13 @@ def vocal_limit(incoming_start: Column, longest: Column, env: Column | None = No
 def add_curves(df: DataFrame) -> DataFrame:
     """Adds ``_pts``: 33 points of a plan (p_os, p_is, p_dur, p_env, p_kind, p_gain, h)."""
     os, is_, dur = F.col("p_os"), F.col("p_is"), F.col("p_dur")
-    df = df.withColumn("p_mix", source_elapsed(F.col("p_env"), dur))
     beat = F.array(*[F.struct(F.lit(a).alias("o"), F.lit(b).alias("i")) for a, b in _gain_table("beat")])
     fade = F.array(*[F.struct(F.lit(a).alias("o"), F.lit(b).alias("i")) for a, b in _gain_table("fade")])
     live = (F.col("p_kind") != "gapless") & (dur > 0)
     where = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES)), lambda k: F.struct(
         k.alias("k"), (dur * k / SAMPLES).alias("e"), source_elapsed(F.col("p_env"), dur * k / SAMPLES).alias("s")))
-    df = df.withColumn("_at", F.when(live, where))
     gains = F.when(F.col("p_kind") == "beat_matched", beat).otherwise(fade)
-    df = df.withColumn("_gains", gains)
+    df = df.withColumns({"p_mix": source_elapsed(F.col("p_env"), dur), "_at": F.when(live, where), "_gains": gains})
 
     def point(p):
         progress = p["k"] / SAMPLES
@@ -480,7 +478,7 @@ def add_curves(df: DataFrame) -> DataFrame:
 
 def add_low_band(df: DataFrame) -> DataFrame:
     low = F.transform("_pts", lambda p: p["low"])
-    return df.withColumn("low_min", F.array_min(low)).withColumn("low_max", F.array_max(low))
+    return df.withColumns({"low_min": F.array_min(low), "low_max": F.array_max(low)})
 
 
 def add_dual_vocals(df: DataFrame) -> DataFrame:
@@ -505,11 +503,10 @@ def add_energy(df: DataFrame) -> DataFrame:
                          lambda x: unit(x["b"] * x["b"] / (x["a"] * x["a"] + x["b"] * x["b"])))
     n = F.size("_ra")
     steps = F.transform(F.slice("_ra", 2, SAMPLES), lambda r, k: F.abs(r - F.get("_ra", k)))
-    return (df.withColumn("energy_samples", F.coalesce(F.when(n > 0, n), F.lit(0)))
-            .withColumn("energy_min", F.array_min("_ra")).withColumn("energy_max", F.array_max("_ra"))
-            .withColumn("energy_step", F.when(n > 1, F.array_max(steps)))
-            .withColumn("handoff_ratio", F.try_element_at("_ra", F.lit(-1))).withColumn("handoff_share", F.array_min(shares))
-            .drop("_ref", "_lv", "_ra"))
+    return df.withColumns({
+        "energy_samples": F.coalesce(F.when(n > 0, n), F.lit(0)), "energy_min": F.array_min("_ra"), "energy_max": F.array_max("_ra"),
+        "energy_step": F.when(n > 1, F.array_max(steps)), "handoff_ratio": F.try_element_at("_ra", F.lit(-1)),
+        "handoff_share": F.array_min(shares)}).drop("_ref", "_lv", "_ra")
 
 
 def _pmod(x: Column, m: Column) -> Column:
@@ -553,33 +550,42 @@ def add_phase_errors(df: DataFrame) -> DataFrame:
     oe, ie = os + dur, is_ + mix
     barred = F.col("o.barred") & F.col("i.barred")
     none = F.array().cast("array<double>")
-    df = df.withColumn("_b_o", beats_between("o", os, oe)).withColumn("_b_i", beats_between("i", is_, ie))
-    for name, beats in (("d", 4), ("p", 16)):
-        for side, a, b in (("o", os, oe), ("i", is_, ie)):
-            df = df.withColumn(f"_{name}_{side}", F.when(F.col(f"{side}.barred"), cycle_positions(
-                F.col(f"{side}.fd"), F.col(f"{side}.bi") * beats, a, b)).otherwise(none))
-    for name, label in (("b", "beat"), ("d", "downbeat"), ("p", "phrase")):
-        expected = F.transform(f"_{name}_o", lambda t: is_ + source_elapsed(env, t - os))
-        df = df.withColumn("_x", F.when(F.size(f"_{name}_i") > 0, expected).otherwise(none))
-        worst = F.array_max(F.transform("_x", lambda e: F.array_min(F.transform(F.col(f"_{name}_i"), lambda t: F.abs(t - e)))))
-        df = df.withColumn(f"{label}_pairs", F.size("_x")).withColumn(f"{label}_error", worst)
-    # hand-off by markers near the end, else by the cycle of the whole track
-    def marks(side: str, low: Column, high: Column) -> Column:
+    spans = {"o": (os, oe), "i": (is_, ie)}
+
+    def marks(side: str) -> Column:
+        low, high = spans[side]
         return F.filter(f"{side}.tm", lambda m: (m >= low) & (m <= high))
 
-    o_marks, i_marks = marks("o", os, oe), marks("i", is_, ie)
-    close = F.array_min(F.transform(o_marks, lambda m: F.struct(F.abs(m - oe).alias("d"), m.alias("m"))))
-    df = df.withColumn("_close", close).withColumn("_im", i_marks)
+    ticks = {f"_b_{s}": beats_between(s, *spans[s]) for s in "oi"}
+    for name, beats in (("d", 4), ("p", 16)):
+        ticks |= {f"_{name}_{s}": F.when(F.col(f"{s}.barred"), cycle_positions(
+            F.col(f"{s}.fd"), F.col(f"{s}.bi") * beats, *spans[s])).otherwise(none) for s in "oi"}
+    close = F.array_min(F.transform(marks("o"), lambda m: F.struct(F.abs(m - oe).alias("d"), m.alias("m"))))
+    df = df.withColumns(ticks | {"_close": close, "_im": marks("i")})
+    labels = {"b": "beat", "d": "downbeat", "p": "phrase"}
+
+    def expected(name: str) -> Column:
+        shifted = F.transform(f"_{name}_o", lambda t: is_ + source_elapsed(env, t - os))
+        return F.when(F.size(f"_{name}_i") > 0, shifted).otherwise(none)
+
+    df = df.withColumns({f"_x_{n}": expected(n) for n in labels} | {"_cx": is_ + source_elapsed(env, F.col("_close.m") - os)})
+
+    def worst(name: str) -> Column:
+        return F.array_max(F.transform(f"_x_{name}", lambda e: F.array_min(
+            F.transform(F.col(f"_{name}_i"), lambda t: F.abs(t - e)))))
+
+    # hand-off by markers near the end, else by the cycle of the whole track
     usable = (F.size("_im") > 0) & (F.col("_close.d") <= F.coalesce(F.col("o.bi") / 2, F.lit(BEAT_LIMIT)))
-    at = is_ + source_elapsed(env, F.col("_close.m") - os)
-    by_marker = F.when(usable, let(at, lambda e: F.array_min(F.transform(F.col("_im"), lambda m: F.abs(m - e)))))
+    by_marker = F.when(usable, F.array_min(F.transform("_im", lambda m: F.abs(m - F.col("_cx")))))
     sure = (F.col("o.bc") >= TRUSTED) & (F.col("i.bc") >= TRUSTED)
     by_cycle = F.when(sure, cycle_error(oe, F.col("o.anchor"), F.col("o.bi"), ie, F.col("i.anchor"), F.col("i.bi")))
-    df = df.withColumn("beat_handoff", F.coalesce(by_marker, by_cycle))
+    handoffs = {"beat_handoff": F.coalesce(by_marker, by_cycle)}
     for label, beats in (("downbeat", 4), ("phrase", 16)):
-        df = df.withColumn(f"{label}_handoff", F.when(barred, cycle_error(
-            oe, F.col("o.fd"), F.col("o.bi") * beats, ie, F.col("i.fd"), F.col("i.bi") * beats)))
-    return df.drop("_x", "_close", "_im", *[f"_{n}_{s}" for n in "bdp" for s in "oi"])
+        handoffs[f"{label}_handoff"] = F.when(barred, cycle_error(
+            oe, F.col("o.fd"), F.col("o.bi") * beats, ie, F.col("i.fd"), F.col("i.bi") * beats))
+    df = df.withColumns({f"{v}_pairs": F.size(f"_x_{n}") for n, v in labels.items()}
+                        | {f"{v}_error": worst(n) for n, v in labels.items()} | handoffs)
+    return df.drop("_close", "_im", "_cx", *ticks, *[f"_x_{n}" for n in labels])
 
 
 def actionable(bars: int) -> Column:
@@ -616,13 +622,12 @@ def add_quality(df: DataFrame) -> DataFrame:
     df = add_phase_errors(add_energy(add_dual_vocals(add_low_band(add_curves(df)))))
     beat = F.col("p_kind") == "beat_matched"
     mixed = F.col("p_kind") != "gapless"
+    gated = {"phrase_bars": F.when(beat, phrase_boundary()), "tempo_step": speed_step(),
+             "structure_ratio": F.when(mixed, clamp(F.col("p_dur") / structure_span(F.col("p_is"))))}
     for c in ("beat", "downbeat", "phrase"):
-        df = df.withColumn(f"{c}_pairs", F.when(beat, F.col(f"{c}_pairs")).otherwise(0))
-        for part in ("error", "handoff"):
-            df = df.withColumn(f"{c}_{part}", F.when(beat, F.col(f"{c}_{part}")))
-    df = df.withColumn("phrase_bars", F.when(beat, phrase_boundary()))
-    df = df.withColumn("tempo_step", speed_step())
-    df = df.withColumn("structure_ratio", F.when(mixed, clamp(F.col("p_dur") / structure_span(F.col("p_is")))))
+        gated[f"{c}_pairs"] = F.when(beat, F.col(f"{c}_pairs")).otherwise(0)
+        gated |= {f"{c}_{part}": F.when(beat, F.col(f"{c}_{part}")) for part in ("error", "handoff")}
+    df = df.withColumns(gated)
     c = F.col
     # Issues in reporting order; only the two low-band ones do not block.
     checks = (

@@ -46,3 +46,11 @@ def cut_lineage(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df, *keys):
+    """Repartition before per-row work that is heavy for its bytes; adaptive execution
+    would otherwise merge such rows into few tasks by size."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
