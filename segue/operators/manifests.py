@@ -41,20 +41,31 @@ def _dotless(path: Column) -> Column:
     return F.when(joined == "", "/").otherwise(joined)
 
 
-def resolve_url(base: Column, child: Column) -> Column:
-    """Absolute form of ``child`` against ``base``; null if the base does not parse."""
-    origin = F.concat(U.scheme(base), F.lit("://"), F.regexp_extract(base, r"^[^:]+://([^/?#]*)", 1))
-    folder = F.regexp_replace(U.path(base), "[^/]*$", "")
+def base_parts(base: Column) -> Column:
+    """Struct(scheme, origin, path, query) of a manifest URL; null if it does not parse."""
+    parts = F.struct(U.scheme(base).alias("scheme"), F.concat(
+        U.scheme(base), F.lit("://"), F.regexp_extract(base, r"^[^:]+://([^/?#]*)", 1)).alias("origin"),
+        U.path(base).alias("path"), U.query(base).alias("query"))
+    return F.when(U.host(base).isNotNull(), parts)
+
+
+def join_url(parts: Column, child: Column) -> Column:
+    """Absolute form of ``child`` against the parts of its base URL."""
     tail = F.regexp_extract(child, r"^[^?#]*(.*)$", 1)
     name = F.regexp_extract(child, r"^([^?#]*)", 1)
-    base_query = F.when(U.query(base) != "", F.concat(F.lit("?"), U.query(base))).otherwise(F.lit(""))
+    folder = F.regexp_replace(parts["path"], "[^/]*$", "")
+    base_query = F.when(parts["query"] != "", F.concat(F.lit("?"), parts["query"])).otherwise(F.lit(""))
     joined = (F.when(child.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), child)
-              .when(child.startswith("//"), F.concat(U.scheme(base), F.lit(":"), child))
-              .when(child.startswith("/"), F.concat(origin, _dotless(name), tail))
-              .when(child.startswith("?"), F.concat(origin, U.path(base), child))
-              .when((child == "") | child.startswith("#"), F.concat(origin, U.path(base), base_query, child))
-              .otherwise(F.concat(origin, _dotless(F.concat(folder, name)), tail)))
-    return F.when(U.host(base).isNotNull(), joined)
+              .when(child.startswith("//"), F.concat(parts["scheme"], F.lit(":"), child))
+              .when(child.startswith("/"), F.concat(parts["origin"], _dotless(name), tail))
+              .when(child.startswith("?"), F.concat(parts["origin"], parts["path"], child))
+              .when((child == "") | child.startswith("#"), F.concat(parts["origin"], parts["path"], base_query, child))
+              .otherwise(F.concat(parts["origin"], _dotless(F.concat(folder, name)), tail)))
+    return F.when(parts.isNotNull(), joined)
+
+
+def resolve_url(base: Column, child: Column) -> Column:
+    return join_url(base_parts(base), child)
 
 
 def explode_media_playlist(lines: DataFrame, playlist: str, chunk: list[str], position: str = "line_no",
@@ -94,11 +105,12 @@ def explode_media_playlist(lines: DataFrame, playlist: str, chunk: list[str], po
     default_iv = F.lower(F.lpad(F.hex(F.coalesce(F.col("_seq"), F.lit(0)) + F.col("_index")), 32, "0"))
     context = F.struct(uri.alias("uri"), F.coalesce(F.lower(given), default_iv).alias("iv"))
     keyed = scan(counted, [playlist], chunk, [position], _enc=Running(F.when(what == "key", context), "last"))
+    keyed = keyed.withColumn("_base", base_parts(F.col(base)))
     parts = keyed.where((what == "segment") | ((what == "map") & (F.col(position) == F.col("_map")))).select(
         playlist, F.col(position).alias("line_no"), "kind",
         F.when(what == "segment", F.col("_index")).alias("segment_index"),
-        resolve_url(F.col(base), F.when(what == "segment", text).otherwise(uri)).alias("url"),
-        resolve_url(F.col(base), F.col("_enc.uri")).alias("key_url"), F.col("_enc.iv").alias("iv"))
+        join_url(F.col("_base"), F.when(what == "segment", text).otherwise(uri)).alias("url"),
+        join_url(F.col("_base"), F.col("_enc.uri")).alias("key_url"), F.col("_enc.iv").alias("iv"))
     return parts.unionByName(errors, allowMissingColumns=True)
 
 

@@ -450,30 +450,44 @@ def vocal_limit(incoming_start: Column, longest: Column, env: Column | None = No
 
 
 def add_curves(df: DataFrame) -> DataFrame:
-    """Adds ``_pts``: 33 points of a plan (p_os, p_is, p_dur, p_env, p_kind, p_gain, h)."""
+    """Adds ``_pts``: 33 points of a plan (p_os, p_is, p_dur, p_env, p_kind, p_gain, h).
+
+    What depends on the point number alone is a table of constants; band gains need no
+    clamp because the duck is at most 0.2.
+    """
     os, is_, dur = F.col("p_os"), F.col("p_is"), F.col("p_dur")
-    beat = F.array(*[F.struct(F.lit(a).alias("o"), F.lit(b).alias("i")) for a, b in _gain_table("beat")])
-    fade = F.array(*[F.struct(F.lit(a).alias("o"), F.lit(b).alias("i")) for a, b in _gain_table("fade")])
+
+    def table(kind: str) -> Column:
+        def smooth(v: float) -> float:
+            v = min(max(v, 0.0), 1.0)
+            return v * v * (3 - 2 * v)
+        return F.array(*[F.struct(F.lit(o).alias("o"), F.lit(i).alias("i"), F.lit(smooth(k / SAMPLES * 2)).alias("bass"),
+                                  F.lit(smooth(k / SAMPLES)).alias("pres")) for k, (o, i) in enumerate(_gain_table(kind))])
+
+    duck = F.coalesce(clamp((0.5 - F.col("h")) / 0.5) * 0.2, F.lit(0.0))
+    gains = F.when(F.col("p_kind") == "beat_matched", table("beat")).otherwise(table("fade"))
+    df = df.withColumns({"p_mix": source_elapsed(F.col("p_env"), dur), "_gains": gains, "_duck": duck})
     live = (F.col("p_kind") != "gapless") & (dur > 0)
     where = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES)), lambda k: F.struct(
         k.alias("k"), (dur * k / SAMPLES).alias("e"), source_elapsed(F.col("p_env"), dur * k / SAMPLES).alias("s")))
-    gains = F.when(F.col("p_kind") == "beat_matched", beat).otherwise(fade)
-    df = df.withColumns({"p_mix": source_elapsed(F.col("p_env"), dur), "_at": F.when(live, where), "_gains": gains})
-
-    def point(p):
-        progress = p["k"] / SAMPLES
-        o_eq, i_eq = eq_gains("outgoing", progress, F.col("h")), eq_gains("incoming", F.when(
-            F.col("p_mix") > 0, p["s"] / F.col("p_mix")).otherwise(1.0), F.col("h"))
-        g = F.get("_gains", p["k"])
-        return F.struct(
-            p["k"].alias("k"), (os + p["e"]).alias("o"), (is_ + p["s"]).alias("i"),
-            (o_eq[0] + i_eq[0]).alias("low"),
-            (g["o"] * unit(0.7 * o_eq[1] + 0.3 * o_eq[2])).alias("o_voice"),
-            (g["i"] * F.col("p_gain") * unit(0.7 * i_eq[1] + 0.3 * i_eq[2])).alias("i_voice"),
-            (g["o"] * unit(0.35 * o_eq[0] + 0.45 * o_eq[1] + 0.2 * o_eq[2])).alias("o_full"),
-            (g["i"] * F.col("p_gain") * unit(0.35 * i_eq[0] + 0.45 * i_eq[1] + 0.2 * i_eq[2])).alias("i_full"))
-
-    return df.withColumn("_pts", F.transform("_at", point)).drop("_at", "_gains")
+    seen = F.transform(where, lambda p: F.struct(
+        p["k"].alias("k"), p["e"].alias("e"), p["s"].alias("s"), F.when(F.col("p_mix") > 0, p["s"] / F.col("p_mix")).otherwise(1.0).alias("q")))
+    shaped = F.transform(seen, lambda p: F.struct(
+        p["k"].alias("k"), p["e"].alias("e"), p["s"].alias("s"), smoothstep(p["q"] * 2).alias("bass"), smoothstep(p["q"]).alias("pres"),
+        F.get("_gains", p["k"]).alias("g")))
+    df = df.withColumn("_at", F.when(live, shaped))
+    d = F.col("_duck")
+    banded = F.transform("_at", lambda p: F.struct(
+        p["k"].alias("k"), p["e"].alias("e"), p["s"].alias("s"), p["g"].alias("g"), p["bass"].alias("i_low"),
+        (0.7 - d + (0.3 + d) * p["pres"]).alias("i_mid"), (0.82 - d * 0.7 + (0.18 + d * 0.7) * p["pres"]).alias("i_high"),
+        (1 - (0.25 + d) * p["g"]["pres"]).alias("o_mid"), (1 - (0.18 + d * 0.7) * p["g"]["pres"]).alias("o_high")))
+    points = F.transform(banded, lambda p: F.struct(
+        p["k"].alias("k"), (os + p["e"]).alias("o"), (is_ + p["s"]).alias("i"), (1 - p["g"]["bass"] + p["i_low"]).alias("low"),
+        (p["g"]["o"] * (0.7 * p["o_mid"] + 0.3 * p["o_high"])).alias("o_voice"),
+        (p["g"]["i"] * F.col("p_gain") * (0.7 * p["i_mid"] + 0.3 * p["i_high"])).alias("i_voice"),
+        (p["g"]["o"] * (0.35 * (1 - p["g"]["bass"]) + 0.45 * p["o_mid"] + 0.2 * p["o_high"])).alias("o_full"),
+        (p["g"]["i"] * F.col("p_gain") * (0.35 * p["i_low"] + 0.45 * p["i_mid"] + 0.2 * p["i_high"])).alias("i_full")))
+    return df.withColumn("_pts", points).drop("_at", "_gains", "_duck")
 
 
 def add_low_band(df: DataFrame) -> DataFrame:

@@ -140,9 +140,17 @@ def energy_continuity(spark, sf):
         *KEYS, "energy_samples", "energy_min", "energy_max", "energy_step", "handoff_ratio", "handoff_share"))
 
 
+PHASES = [f"{n}_{c}" for n in ("beat", "downbeat", "phrase") for c in ("error", "handoff")]
+
+
+def _micros(df: DataFrame) -> DataFrame:
+    """Phase errors as whole microseconds; the offset keeps exact halves away from the cut."""
+    return df.withColumns({c: F.floor(F.col(c) * 1000000 + 0.37) for c in PHASES})
+
+
 def phase_errors(spark, sf):
-    return rounded(M.add_phase_errors(_simple_plan(spark, sf)).select(*KEYS, *[
-        f"{n}_{c}" for n in ("beat", "downbeat", "phrase") for c in ("pairs", "error", "handoff")]), 9)
+    df = M.add_phase_errors(_simple_plan(spark, sf))
+    return _micros(df.select(*KEYS, "beat_pairs", "downbeat_pairs", "phrase_pairs", *PHASES))
 
 
 def _measured(spark, sf):
@@ -151,7 +159,7 @@ def _measured(spark, sf):
 
 def quality_report(spark, sf):
     df = _measured(spark, sf)
-    return rounded(df.select(*KEYS, "p_kind", *[m for m in M.MEASURES if m != "p_dur"], F.array_join("issues", ",").alias("issues"), "blocked"), 9)
+    return rounded(_micros(df.select(*KEYS, "p_kind", *[m for m in M.MEASURES if m != "p_dur"], F.array_join("issues", ",").alias("issues"), "blocked")))
 
 
 def transition_score(spark, sf):
@@ -322,11 +330,11 @@ iss AS (SELECT *, list_filter([CASE WHEN dur < 1 THEN 'mix_overlap_too_short' EN
  CASE WHEN beat AND beat_error > 0.035 THEN 'beat_phase_drift_too_large' END, CASE WHEN beat AND beat_handoff > 0.035 THEN 'beat_handoff_phase_drift_too_large' END, CASE WHEN beat AND downbeat_error > 0.07 THEN 'downbeat_phase_drift_too_large' END,
  CASE WHEN beat AND downbeat_handoff > 0.07 THEN 'downbeat_handoff_phase_drift_too_large' END, CASE WHEN beat AND act AND phrase_error > 0.15 THEN 'phrase_phase_drift_too_large' END,
  CASE WHEN beat AND act AND phrase_handoff > 0.15 THEN 'phrase_handoff_phase_drift_too_large' END], lambda x: x IS NOT NULL) AS issues FROM q)"""
-_R5 = "round({x}, 9) + 0.0 AS {x}"
+_R5 = "round({x}, 6) + 0.0 AS {x}"
 
 
 def _b5(name: str) -> str:
-    return f"round(CASE WHEN beat THEN {name} END, 9) + 0.0 AS {name}"
+    return f"CAST(floor(CASE WHEN beat THEN {name} END * 1000000 + 0.37) AS BIGINT) AS {name}"
 
 
 _CLASH = "coalesce(least(greatest((0.5 - h) / 0.5, 0), 1), 0)"
@@ -396,7 +404,7 @@ SELECT event_id, round(bo, 6) + 0.0 AS beat_out, round(bi_, 6) + 0.0 AS beat_in,
     "low_band_handoff": f"{_BASE} SELECT outgoing, incoming, round(low_min, 6) AS low_min, round(low_max, 6) AS low_max, low_min < 0.85 AS dip, low_max > 1.15 AS build_up FROM low",
     "dual_vocal_overlap": f"{_BASE} SELECT outgoing, incoming, round(dual_vocal, 6) + 0.0 AS dual_vocal FROM dv",
     "energy_continuity": f"""{_BASE} SELECT outgoing, incoming, energy_samples, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('energy_min', 'energy_max', 'energy_step', 'handoff_ratio', 'handoff_share'))} FROM en""",
-    "phase_errors": f"""{_BASE} SELECT outgoing, incoming, beat_pairs, downbeat_pairs, phrase_pairs, {', '.join(f'round({n}_{c}, 9) + 0.0 AS {n}_{c}' for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))} FROM ph""",
+    "phase_errors": f"""{_BASE} SELECT outgoing, incoming, beat_pairs, downbeat_pairs, phrase_pairs, {', '.join(f'CAST(floor({n}_{c} * 1000000 + 0.37) AS BIGINT) AS {n}_{c}' for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))} FROM ph""",
     "quality_report": f"""{_QUALITY} SELECT outgoing, incoming, CASE WHEN beat THEN 'beat_matched' ELSE 'crossfade' END AS p_kind, {', '.join(f'CAST(CASE WHEN beat THEN {n}_pairs ELSE 0 END AS INTEGER) AS {n}_pairs' for n in ('beat', 'downbeat', 'phrase'))},
  {', '.join(_b5(f'{n}_{c}') for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))}, phrase_bars, energy_samples, CAST(NULL AS DOUBLE) AS tempo_step,
  {', '.join(_R5.format(x=x) for x in ('structure_ratio', 'low_min', 'low_max', 'dual_vocal', 'energy_min', 'energy_max', 'energy_step', 'handoff_ratio', 'handoff_share'))},
