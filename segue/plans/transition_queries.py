@@ -101,7 +101,9 @@ def outgoing_start_candidates(spark, sf):
 
 def align_to_grid(spark, sf):
     df = playlist_pairs(spark, sf).withColumn("target", F.col("o.a1") - 8).withColumn("incoming_start", F.col("i.a0")).withColumn("window", F.lit(8.0))
-    return rounded(P.align_to_grid(df).drop("o", "i", "incoming_start", "window"))
+    df = P.align_to_grid(df).drop("o", "i", "incoming_start", "window")
+    # whole microseconds; the offset keeps exact halves away from the cut
+    return df.withColumns({c: F.floor(F.col(c) * 1000000 + 0.37) for c in df.columns if c not in KEYS})
 
 
 def tempo_map(spark, sf):
@@ -350,6 +352,48 @@ _PEN = {
     "structure_usage": "CASE WHEN structure_ratio IS NULL THEN 0 ELSE greatest(0.7 - structure_ratio, 0) * 0.12 END",
     "harmonic_overlap": f"greatest(dur - 4, 0) * 0.04 * {_CLASH}",
 }
+
+
+def _near(x: str) -> str:
+    return f"(o.nm = 0 OR len(list_filter(o.tm, lambda m: abs(m - ({x})) <= 0.035)) > 0)"
+
+
+def _nearest(x: str, to: str, side: str = "true") -> str:
+    pick = f"list_sort(list_transform(list_filter(o.tm, lambda m: {side}), lambda m: {{'d': abs(m - ({to})), 'm': m}}))[1]"
+    return f"CASE WHEN {pick}.d <= coalesce(15 / o.bpm, 0.1) THEN {pick}.m END"
+
+
+def _match(beats: int, up: bool) -> str:
+    base = f"(o.fd + o.bi * {beats} * ((st - i.fd) / (i.bi * {beats}) - floor((st - i.fd) / (i.bi * {beats}))))"
+    return f"({base} + {'ceil' if up else 'floor'}((x - {base}) / (o.bi * {beats})) * o.bi * {beats})"
+
+
+def _bar(up: bool) -> str:
+    at = _match(4, up)
+    return f"CASE WHEN o.barred AND i.barred AND {at} >= 0 AND {at} >= o.a0 AND {at} <= o.a1 AND {_near(at)} THEN {at} END"
+
+
+def _phrase(up: bool) -> str:
+    out = []
+    for bars in (16, 8, 4):
+        at = _match(4 * bars, up)
+        inside = f"{at} >= x AND {at} <= x + 8" if up else f"{at} >= greatest(x - 8, 0) AND {at} <= x"
+        out.append(f"CASE WHEN o.barred AND i.barred AND {at} >= 0 AND {inside} AND {at} >= o.a0 AND {at} <= o.a1 AND o.a1 - {at} >= 1 AND {_near(at)} THEN {at} END")
+    return f"coalesce({', '.join(out)})"
+
+
+_CUE = "coalesce(" + ", ".join(
+    f"CASE WHEN o.barred AND {c} >= greatest(x - 8, 0) AND {c} >= o.a0 AND {c} >= o.fd AND {c} <= o.a1 THEN {c} END"
+    for c in (f"(o.fd + floor((x - o.fd) / (o.bi * {4 * b})) * o.bi * {4 * b})" for b in (16, 8, 4))) + ")"
+
+
+def _grid(up: bool) -> str:
+    edge, turn = ("greatest", "ceil") if up else ("least", "floor")
+    return f"CASE WHEN o.fb IS NULL OR o.bi IS NULL THEN x WHEN x <= o.fb THEN {edge}(o.fb, x) ELSE o.fb + {turn}((x - o.fb) / o.bi) * o.bi END"
+
+
+_ALIGN = {"target": "x", "nearest": "n", "at_or_before": "coalesce(lo, g0)", "at_or_after": "least(coalesce(hi, g1), o.a1)", "bar_before": _bar(False),
+          "bar_after": _bar(True), "phrase_before": _phrase(False), "phrase_after": _phrase(True), "phrase_cue": f"coalesce({_nearest('x', 'cue')}, cue)"}
 _QT = f"""q1 AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})),
 qt AS (SELECT q1.*, (20 + CAST(a.p_size AS BIGINT)) * 3000000 AS outgoing_us, (20 + CAST(b.p_size AS BIGINT)) * 3000000 AS incoming_us FROM q1 JOIN part a ON a.p_partkey = outgoing JOIN part b ON b.p_partkey = incoming),
 qp AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 'beat_matched' WHEN pos % 3 = 1 THEN 'gapless' ELSE 'crossfade' END AS plan_kind, outgoing_us - 9000000 AS plan_start_us, CASE WHEN pos % 4 = 0 THEN 0 ELSE (pos % 7) * 1000000 END AS plan_fade_us FROM qt)"""
@@ -397,6 +441,10 @@ k AS (SELECT c.*, a0, a1, vk, CASE WHEN vk AND x > a0 THEN list_max(er[CAST(floo
  list_avg(list_transform(range(12), lambda q: en[CAST(floor((a0 + (x - a0) * (q + 0.5) / 12) * nr) AS BIGINT) + 1])) AS bef, list_avg(list_transform(range(8), lambda q: en[CAST(floor((x + (least(a1, x + 2) - x) * (q + 0.5) / 8) * nr) AS BIGINT) + 1])) AS aft FROM c JOIN v USING (track) WHERE x IS NOT NULL),
 f AS (SELECT DISTINCT track, x FROM k WHERE CASE n WHEN 0 THEN x >= a0 AND x - a0 <= 0.1 AND NOT coalesce(risk >= 0.58, false) ELSE x > a0 AND x < a1 AND x - a0 <= CASE n WHEN 1 THEN 16 ELSE 8 END AND risk <= 0.2 AND aft > 1e-6 AND bef <= aft * CASE n WHEN 1 THEN 0.55 ELSE 0.45 END END)
 SELECT track, CAST(row_number() OVER (PARTITION BY track ORDER BY x) - 1 AS INTEGER) AS pos, round(x, 6) + 0.0 AS start_s FROM f""",
+    "align_to_grid": f"""
+WITH {_T}, p AS (SELECT {_K}, o, i, o.a1 - 8 AS x, i.a0 AS st FROM {_PAIR}), g AS (SELECT *, {_grid(False)} AS g0, {_grid(True)} AS g1, {_CUE} AS cue FROM p),
+m AS (SELECT *, {_nearest('x', 'x')} AS n, {_nearest('x', 'g0', 'm <= x')} AS lo, {_nearest('x', 'g1', 'm >= x')} AS hi FROM g)
+SELECT outgoing, incoming, {', '.join(f'CAST(floor(({e}) * 1000000 + 0.37) AS BIGINT) AS {n}' for n, e in _ALIGN.items())} FROM m""",
     "gain_curves": f"""
 WITH e AS (SELECT event_id, value / 500 AS p, coalesce(least(greatest((0.5 - CASE WHEN user_id % 3 > 0 THEN user_id % 10 / 10 END) / 0.5, 0), 1) * 0.2, 0) AS d FROM events),
 g AS (SELECT event_id, {_gains('p')}, {_eq('p', 'd')} FROM e)
