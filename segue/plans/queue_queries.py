@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from segue.functions.ordered import row_index, scan
 from segue.operators import queues as ops
 from segue.operators.manifests import dedupe_segments as dedupe
 from segue.plans.tables import LISTENER_QUEUE_SQL, listener_queue, table
@@ -51,6 +52,7 @@ def admit_requests(spark, sf):
         "guild", F.col("event_id").alias("id"), (F.col("event_id") * 10 + 5 + F.floor(F.col("value") * 12)).alias("moment"),
         F.lit("resolve").alias("kind"), (F.col("event_type") != "signup").alias("ok"))
     log = first.unionByName(later).withColumn("part", F.expr(f"moment div {10 * CHUNK}"))
+    log = _fold_chunks(log, "guild", ["moment", "id"])
     return ops.admit_requests(log, "guild", "part", ["moment", "id"], MAX_QUEUE, MAX_PENDING).drop("part")
 
 
@@ -58,8 +60,16 @@ SEGMENT = "concat('https://cdn.example.net/s', CAST(floor(value) AS BIGINT) % 12
 MEMORY = 4
 
 
+def _fold_chunks(log, group, order):
+    """Chunks of a fold by position in the group: a short group is one chunk, and a chunk of
+    a long one holds many more rows than the state remembers."""
+    placed = scan(log, [group], ["part"], order, _n=row_index())
+    return placed.withColumn("part", F.expr(f"_n div {CHUNK}")).drop("_n")
+
+
 def dedupe_segments(spark, sf):
     lines = _events(spark, sf, "user_id AS stream", "event_id AS line_no", f"{SEGMENT} AS url")
+    lines = _fold_chunks(lines, "stream", ["line_no"])
     return dedupe(lines, "stream", "part", ["line_no"], capacity=MEMORY).drop("part")
 
 
