@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import SparkSession
 
@@ -30,14 +30,14 @@ def build_session(app: str = "segue", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master (tests) may fall back to a temporary folder.
+    Where it is unset and driver and executors are one process (tests, benchmarks), a folder of the warehouse is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-    path = tempfile.mkdtemp(prefix="spark-")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../spark-shared"
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
