@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../spark-shared"
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
