@@ -72,4 +72,80 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality, op4_language_id, op5_packing,
                                    op6_lm_score, op7_pii, op8_id_planes, op9_exact_dedup, op10_simhash)}
 
-ORACLES: dict[str, str] = {}
+
+def _words_sql(column: str, pattern: str = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{upper}', '{lower}'), '{pattern}')"
+
+
+OP1_SQL = f"""
+WITH dw AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_words_sql('text')} AS w FROM benchmark),
+items AS (SELECT item, w, least(13, len(w)) AS n FROM iw WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+         FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                 FROM dw, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)),
+met AS (SELECT DISTINCT doc_id, item, p.n, i FROM places p JOIN wins USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM met) GROUP BY 1),
+own AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+        FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(digest, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    def pattern(parts: list) -> str:
+        out = ""
+        for part in parts:
+            if isinstance(part, bytes):
+                out += " " + part.decode()
+            elif part[0] == "any":
+                out += f"(?: [^ ]+){{0,{part[1]}}}"
+            else:
+                out += f"(?:{pattern(part[1])})?"
+        return out
+
+    def starts(phrase: str) -> str:
+        words = phrase.split()
+        test = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words))
+        return f"list_filter(range(1, CAST(len(w) AS BIGINT) + 1), lambda i: {test})"
+
+    bases = list(license_scan.BASE.items())
+    columns = ", ".join(f"{starts(phrase)} AS b{k}" for k, (phrase, _) in enumerate(bases))
+    base = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(bases))
+    every = " || ".join(f"b{k}" for k in range(len(bases)))
+    labels, weights = [], []
+    for label, weight, text in license_scan.TEMPLATES:
+        parts = license_scan.parse(text)
+        while not isinstance(parts[0], bytes):
+            parts = parts[1:]
+        test = f"regexp_matches(line, '{pattern(parts)} ')"
+        labels.append(f"CASE WHEN {test} THEN '{label}' END")
+        weights.append(f"CASE WHEN {test} THEN {weight} ELSE 0.0 END")
+    joined = "coalesce(array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ','), '')"
+    return f"""
+WITH dw AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
+b AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line, {columns} FROM dw),
+c AS (SELECT *, {every} AS places FROM b)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+       list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       {joined.format(base)} AS base_labels, {joined.format(base + ', ' + ', '.join(labels))} AS labels,
+       CAST(greatest(CASE WHEN len(places) > 0 THEN {license_scan.BASE_WEIGHT} ELSE 0.0 END, {', '.join(weights)}) AS DOUBLE) AS score
+FROM c
+"""
+
+
+OP9_SQL = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
+k AS (SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY plain) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM k
+"""
+
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_license_scan": _license_sql(), "op9_exact_dedup": OP9_SQL}

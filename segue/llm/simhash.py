@@ -111,17 +111,21 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
-    """Columns ``row``, ``fp`` (number) and ``component_id``, the smallest doc_id reachable, for every document."""
+    """Columns ``row``, ``fp``, ``root`` and ``component_id`` for every document.
+
+    ``root`` names the component by its smallest fingerprint, ``component_id`` is the smallest doc_id in it.
+    """
     marked = fingerprints(docs, keep)
     marked = stored(marked.select("row", F.col("found.fp").alias("fp")), "simhash-docs")
     classes = stored(marked.groupBy("fp").agg(F.min("row.doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     roots = components(links(classes.select("fp"), crowd)).withColumnRenamed("node", "fp")
     linked = classes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
+    linked = linked.join(least, "root").select("fp", "root", "component_id")
+    alone = F.col("root").isNull()
     named = classes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, "fp").select("row", "fp", "component_id")
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return marked.join(named, "fp").select("row", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -131,9 +135,8 @@ def representatives(docs: DataFrame) -> DataFrame:
         number += "_"
     numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-input")
     marked = stored(near_duplicates(numbered, ["doc_id", number]).select(
-        "component_id", "fp", F.col("row.doc_id").alias("doc_id"), F.col(f"row.{number}").alias(number)), "simhash-marked")
+        "root", F.col("row.doc_id").alias("doc_id"), F.col(f"row.{number}").alias(number)), "simhash-marked")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", number)
-    least = marked.groupBy("component_id").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
-    dropped = marked.join(least, marked["component_id"].eqNullSafe(least["component_id"])).where(
-        F.col("first")[number] != F.col(number)).select(number)
+    least = marked.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = marked.join(least, "root").where(F.col("first")[number] != F.col(number)).select(number)
     return numbered.join(dropped, number, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
