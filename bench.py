@@ -6,6 +6,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,6 +20,7 @@ HEADLINE = (
     "lookup_cached", "tolerant_identity_join", "validate_analyses", "commit_ready_prefix", "replay_queue",
     "voice_occupancy", "render_queue_lines", "onset_flux", "estimate_tempo", "vocal_bin_features", "mix_quality_metrics",
     "tempo_candidates", "energy_continuity", "transition_score", "plan_transitions",
+    "dedupe_segments", "admit_requests", "analyze_tracks", "guard_plans", "explain_decisions", "select_start",
 )
 
 
@@ -27,7 +29,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = sys.argv[1:]
     spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
-                          spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+                          spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+                          spark__checkpoint__dir=os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-"))
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     spark.range(1000).selectExpr("sum(id)").collect()

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from segue.rules import HOST_POLICIES, HostPolicy
 
-# groups: 1 scheme, 2 host, 3 path, 4 query
+# groups: 1 scheme, 2 host, 3 path, 4 query; a backslash ends the authority like a slash, ports end at 65535
+PORT_PATTERN = r"0*(?:[1-5]?[0-9]{1,4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])?"
 URL_PATTERN = (
-    r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@\s]*@)?"
-    r"(\[[0-9A-Fa-f:.]+\]|[^\s/?#:@\[\]<>^|%\\]+)(?::[0-9]{0,5})?"
-    r"(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
+    r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/\\?#\s]*@)?"
+    r"(\[[0-9A-Fa-f:.]+\]|[^\s/?#:@\[\]<>^|%\\]+)(?::" + PORT_PATTERN + r")?"
+    r"([/\\][^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
 )
 IPV4_PATTERN = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
 
@@ -30,7 +31,7 @@ def host(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.when(host(url).isNotNull(), F.coalesce(F.nullif(_part(url, 3), F.lit("")), F.lit("/")))
+    return F.when(host(url).isNotNull(), F.coalesce(F.nullif(F.translate(_part(url, 3), "\\", "/"), F.lit("")), F.lit("/")))
 
 
 def query(url: Column) -> Column:

@@ -61,14 +61,36 @@ def filter_fresh(entries: DataFrame) -> DataFrame:
 
 def trim_to_capacity(entries: DataFrame, cache: str, key: str, cached_at: str, expired: Column,
                      caps: dict[str, int] = rules.CACHE_CAPS) -> DataFrame:
-    """Rows that stay: not expired and among the newest ``cap`` of their cache.
+    """Rows that stay: not expired and among the newest ``cap`` of their cache; caches without a cap keep all.
 
-    The rank filter is bounded by the cap, so each partition forwards at most that many rows.
+    Counts per minute, then per moment of one minute, find the moment in which the cap is reached. Newer rows stay
+    whole, and only the rows of that moment are ranked. The edges are one row per capped cache.
     """
-    cap = reduce(lambda acc, kv: acc.when(F.col(cache) == kv[0], kv[1]), caps.items(), F).otherwise(0)
-    order = Window.partitionBy(cache).orderBy(F.col(cached_at).desc(), F.col(key).desc())
-    ranked = entries.where(~expired).withColumn("_r", F.row_number().over(order))
-    return ranked.where((F.col("_r") <= max(caps.values())) & (F.col("_r") <= cap)).drop("_r")
+    live = entries.where(~expired)
+    at, seconds = F.col(cached_at), F.col(cached_at)
+    if entries.schema[cached_at].dataType.typeName().startswith("timestamp"):
+        seconds = at.cast("timestamp")
+    minute = F.floor(seconds.cast("double") / 60)
+    cap = reduce(lambda acc, kv: acc.when(F.col(cache) == kv[0], kv[1]), caps.items(), F).cast("long")
+    columns = [F.col(c) for c in entries.columns]
+    free = live.where(F.coalesce(~F.col(cache).isin(*caps), F.lit(True))).select(*columns)
+    capped = live.where(F.col(cache).isin(*caps)).withColumns({"_minute": minute, "_room": cap}).where("_room > 0")
+
+    def edge(rows: DataFrame, by: str) -> DataFrame:
+        """Per cache the value of ``by`` in which the room runs out, and the room left in it."""
+        newer = Window.partitionBy(cache).orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy(cache, "_room", by).agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.withColumn("_left", F.col("_room") - F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+        return counts.where((F.col("_left") > 0) & (F.col("_left") <= F.col("_n"))).select(cache, by, F.col("_left").alias("_room"))
+
+    last_minute = edge(capped, "_minute")
+    inside = capped.drop("_room").join(F.broadcast(last_minute), [cache, "_minute"])
+    moment = edge(inside, cached_at).select(F.col(cache).alias("_c"), at.alias("_at"), F.col("_room").alias("_most"))
+    marked = capped.join(F.broadcast(moment), F.col(cache) == F.col("_c"), "left")
+    newest = marked.where(F.col("_c").isNull() | (at > F.col("_at")))
+    order = Window.partitionBy(cache).orderBy(F.col(key).desc())
+    tied = marked.where(at == F.col("_at")).withColumn("_r", F.row_number().over(order)).where("_r <= _most")
+    return free.unionByName(newest.select(*columns)).unionByName(tied.select(*columns))
 
 
 def coalesce_requests(requests: DataFrame, gate: str, at: str, order: list[str], window: str = "10 minutes") -> DataFrame:
@@ -82,17 +104,17 @@ def coalesce_requests(requests: DataFrame, gate: str, at: str, order: list[str],
 
 def tolerant_identity_join(wanted: DataFrame, stored: DataFrame, keys: list[str], exact: str = "content_length",
                            near: str = "duration_us", tolerance: int = rules.DURATION_TOLERANCE_US,
-                           hits: bool = True) -> DataFrame:
+                           how: str = "inner") -> DataFrame:
     """Equi join on the identity keys; nullable members match when either is null.
 
-    ``hits=False`` gives the wanted rows without any match.
+    ``how``: ``inner``, ``left`` (every wanted row) or ``left_anti`` (wanted rows without any match).
     """
     right = stored.withColumnsRenamed({exact: "_e", near: "_n"})
     same = F.col(exact).isNull() | F.col("_e").isNull() | (F.col(exact) == F.col("_e"))
     close = F.col(near).isNull() | F.col("_n").isNull() | (F.abs(F.col(near) - F.col("_n")) <= tolerance)
     on = [wanted[k] == right[k] for k in keys] + [same, close]
-    joined = wanted.join(right, on, "inner" if hits else "left_anti")
-    return joined.drop(*[right[k] for k in keys], "_e", "_n") if hits else joined
+    joined = wanted.join(right, on, how)
+    return joined if how == "left_anti" else joined.drop(*[right[k] for k in keys], "_e", "_n")
 
 
 def _length_prefixed(text: Column) -> Column:

@@ -125,14 +125,16 @@ def recent_links_step(capacity: int):
     """First-in-first-out memory of distinct URLs; a repeat does not move its entry."""
 
     def step(state: dict, rows) -> list:
-        memory = state["urls"]
+        memory = dict.fromkeys(state["urls"])
         fresh = []
         for url in rows["url"]:
             new = url not in memory
             fresh.append(new)
             if new:
-                memory.append(url)
-                del memory[:-capacity]
+                memory[url] = None
+                if len(memory) > capacity:
+                    del memory[next(iter(memory))]
+        state["urls"] = list(memory)
         return fresh
 
     return step
@@ -140,9 +142,20 @@ def recent_links_step(capacity: int):
 
 def dedupe_segments(df: DataFrame, stream: str, chunk: str, order: list[str],
                     capacity: int = rules.SEGMENT_MEMORY) -> DataFrame:
-    """Rows whose URL is not among the last ``capacity`` distinct inserted URLs of the stream."""
+    """Rows whose URL is not among the last ``capacity`` distinct inserted URLs of the stream.
+
+    A stream with at most ``capacity`` distinct URLs never forgets one: its fresh rows are first occurrences, found by
+    a map-side ``min``. Only other streams are folded.
+    """
+    place = F.struct(chunk, *order)
+    firsts = df.groupBy(stream, "url").agg(F.min(place).alias("_first"))
+    wide = firsts.groupBy(stream).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > capacity).select(stream)
+    named = firsts.select(F.col(stream).alias("_s"), F.col("url").alias("_u"), "_first")
+    narrow = df.join(wide, stream, "left_anti").join(named, F.col(stream).eqNullSafe(F.col("_s")) & F.col("url").eqNullSafe(F.col("_u")))
+    first_rows = narrow.where(place == F.col("_first")).select(*df.columns)
+    df = df.join(wide, stream, "left_semi").select(*df.columns)
     flagged = ordered_fold(df, [stream], chunk, order, recent_links_step(capacity), {"urls": []}, "_fresh", "boolean")
-    return flagged.where("_fresh").drop("_fresh")
+    return first_rows.unionByName(flagged.where("_fresh").drop("_fresh"))
 
 
 def detect_stalled_playlists(reloads: DataFrame, stream: str, chunk: list[str], position: str,

@@ -31,19 +31,18 @@ def admission_step(max_queue: int, max_pending: int):
     """Sequential admission of one guild; pending holds at most ``max_pending`` ids."""
 
     def step(state: dict, rows) -> list:
-        out = []
+        out, pending = [], dict.fromkeys(state["pending"])
         for kind, ident, ok in zip(rows["kind"], rows["id"], rows["ok"]):
-            pending = state["pending"]
             verdict = None
             if kind == "request":
                 full = len(pending) >= max_pending or state["queued"] + len(pending) >= max_queue
                 verdict = "rejected" if full else "admitted"
                 if not full:
-                    pending.append(int(ident))
+                    pending[int(ident)] = None
             elif kind == "resolve":
                 verdict = "unknown"
                 if int(ident) in pending:
-                    pending.remove(int(ident))
+                    del pending[int(ident)]
                     verdict = "queued" if ok and state["playing"] else "started" if ok else "failed"
                     if ok and state["playing"]:
                         state["queued"] += 1
@@ -54,6 +53,7 @@ def admission_step(max_queue: int, max_pending: int):
                 state["playing"] = state["queued"] > 0
                 state["queued"] = max(state["queued"] - 1, 0)
             out.append(verdict)
+        state["pending"] = list(pending)
         return out
 
     return step

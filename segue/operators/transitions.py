@@ -17,14 +17,12 @@ from segue.session import cut_lineage, spread
 
 # Limits and thresholds of transition planning.
 TEMPO_DEADBAND = 0.001
-MAX_SEGMENTS = 32
 TRUSTED = 0.35
 MIN_OVERLAP = 1.0
 BEAT_LIMIT, DOWNBEAT_LIMIT, PHRASE_LIMIT = 0.035, 0.070, 0.150
 LOW_DIP, LOW_BUILD = 0.85, 1.15
 DUAL_VOCAL_LIMIT = 0.58
 SELECTION_EPSILON = 0.02
-MAX_CANDIDATES = 96
 BACKED_CONFIDENCE, BACKED_COVERAGE, BACKED_MARKERS = 0.45, 0.55, 8
 PICKUP, LOW_SKIP, STRUCTURED_SKIP, SKIP_RISK = 0.1, 8.0, 16.0, 0.2
 SHORTER_SEARCH, NATURAL_OVERLAP = 8.0, 4.0
@@ -91,7 +89,7 @@ def prepare_tracks(catalog: DataFrame, min_beat_confidence: float = MIN_BEAT_CON
         "track", _sec("duration_us").alias("dur"), _sec("audible_start_us").alias("a0"), _sec("audible_end_us").alias("a1"),
         _sec("intro_end_us").alias("intro"), F.col("intro_confidence").alias("intro_c"),
         _sec("outro_start_us").alias("outro"), F.col("outro_confidence").alias("outro_c"),
-        bpm.alias("bpm"), F.col("beat_confidence").alias("bc"), _sec("first_beat_us").alias("fb"),
+        bpm.alias("bpm"), F.col("bpm").cast("double").alias("raw_bpm"), F.col("beat_confidence").alias("bc"), _sec("first_beat_us").alias("fb"),
         _sec("first_downbeat_us").alias("fd"), F.col("downbeat_confidence").alias("dc"),
         F.col("key_tonic").alias("tonic"), F.col("key_minor").alias("minor"), F.col("key_confidence").alias("kc"),
         F.col("rms_dbfs").alias("rms"), F.col("peak_dbfs").alias("peak"),
@@ -200,10 +198,14 @@ def adjacent_pairs(queue: DataFrame, owner: str, chunk: list[str], order: list[s
 
 
 def with_tracks(pairs: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Attach prepared records ``o`` and ``i`` to pairs(outgoing, incoming)."""
+    """Attach prepared records ``o`` and ``i`` to pairs(outgoing, incoming).
+
+    Every pair stays; ``error`` names the side whose analysis is missing, null if both are there.
+    """
     o = tracks.select(F.col("track").alias("outgoing"), F.col("t").alias("o"))
     i = tracks.select(F.col("track").alias("incoming"), F.col("t").alias("i"))
-    return pairs.join(o, "outgoing").join(i, "incoming")
+    error = F.when(F.col("o").isNull(), "outgoing analysis unavailable").when(F.col("i").isNull(), "incoming analysis unavailable")
+    return pairs.join(o, "outgoing", "left").join(i, "incoming", "left").withColumn("error", error)
 
 
 # ---- measures of a pair ----------------------------------------------------
@@ -379,11 +381,12 @@ def steady_envelope(ratio: Column, hold: Column) -> Column:
 
 
 def add_tempo_map(df: DataFrame, start: str, incoming_start: str, duration: str, ratio: str, out: str,
-                  max_adjustment: float = MAX_TEMPO_ADJUSTMENT) -> DataFrame:
+                  max_adjustment: float = MAX_TEMPO_ADJUSTMENT, most_segments: int | None = None) -> DataFrame:
     """Adds ``out`` (envelope or null) and ``out_speed`` (initial speed) for a planned overlap.
 
     Outgoing and incoming markers are paired greedily in order; every fourth pair
-    corrects the speed when the markers around it are trusted.
+    corrects the speed when the markers around it are trusted. Markers without distance
+    between them leave the overlap without segments; ``most_segments`` limits their number.
     """
     os, is_, dur, r = (F.col(c) for c in (start, incoming_start, duration, ratio))
     df = df.withColumn("_ob", F.when(r.isNotNull(), F.filter("o.mk", lambda m: (m["t"] >= os) & (m["t"] <= os + dur))))
@@ -415,14 +418,17 @@ def add_tempo_map(df: DataFrame, start: str, incoming_start: str, duration: str,
         good = lambda f: F.size(F.filter(part, lambda x: x[f] >= TRUSTED)) >= 3
         trusted = (good("oc") & good("sc") & (p["oc"] >= TRUSTED) & (q["oc"] >= TRUSTED)
                    & (p["sc"] >= TRUSTED) & (q["sc"] >= TRUSTED))
-        wanted = (q["s"] - is_ - acc["src"]) / (q["o"] - p["o"])
+        wanted = (q["s"] - is_ - acc["src"]) / F.nullif(q["o"] - p["o"], F.lit(0.0))
         speed = F.when(trusted & (F.abs(wanted - 1) <= max_adjustment), wanted).otherwise(r)
         return let(speed, lambda v: F.struct(
             (acc["src"] + (q["o"] - p["o"]) * v).alias("src"),
             F.concat(acc["segments"], F.array(F.struct((q["o"] - os).alias("end"), v.alias("speed")))).alias("segments")))
 
     zero = F.struct(F.lit(0.0).alias("src"), F.array().cast(segment_type).alias("segments"))
-    count = F.least(F.ceil((n - 1) / 4), F.lit(MAX_SEGMENTS)).cast("int")
+    count = F.ceil((n - 1) / 4).cast("int")
+    count = count if most_segments is None else F.least(count, F.lit(most_segments))
+    flat = F.exists(F.sequence(F.lit(0), count - 1), lambda k: F.get("_pairs", k * 4)["o"] >= F.get("_pairs", F.least(k * 4 + 4, n - 1))["o"])
+    usable = usable & ~flat
     folded = F.aggregate(F.sequence(F.lit(0), count - 1), zero, correct, lambda a: a["segments"])
     df = df.withColumn("_seg", F.coalesce(F.when(F.coalesce(usable, F.lit(False)), folded), F.array().cast(segment_type)))
     first = F.coalesce(F.get("_seg", F.lit(0))["speed"], r)
@@ -622,7 +628,7 @@ def speed_step() -> Column:
     env = F.col("p_env")
     path = F.concat(F.array(env["initial"]), F.transform(env["segments"], lambda s: s["speed"]), F.array(env["mix_end"]))
     return F.when(env.isNotNull(), let(path, lambda p: F.array_max(F.transform(
-        F.slice(p, 2, MAX_SEGMENTS + 1), lambda v, k: F.abs(v - F.get(p, k))))))
+        F.slice(p, F.lit(2), F.size(p)), lambda v, k: F.abs(v - F.get(p, k))))))
 
 
 MEASURES = ("p_dur", "beat_pairs", "beat_error", "beat_handoff", "downbeat_pairs", "downbeat_error", "downbeat_handoff",

@@ -86,10 +86,8 @@ KEYS = ["schema_version", "analyzer_version", "provider", "canonical_key"]
 def tolerant_identity_join(spark, sf):
     wanted = table(spark, sf, "lineitem").selectExpr(*_cols(WANTED))
     stored = table(spark, sf, "part").selectExpr(*_cols(STORED))
-    hits = ops.tolerant_identity_join(wanted, stored, KEYS).selectExpr("id", "canonical_key", "digest_source AS stored", "true AS hit")
-    misses = ops.tolerant_identity_join(wanted, stored, KEYS, hits=False).selectExpr(
-        "id", "canonical_key", "CAST(NULL AS BIGINT) AS stored", "false AS hit")
-    return hits.unionByName(misses)
+    return ops.tolerant_identity_join(wanted, stored, KEYS, how="left").selectExpr(
+        "id", "canonical_key", "digest_source AS stored", "digest_source IS NOT NULL AS hit")
 
 
 def stable_digest(spark, sf):
@@ -139,6 +137,18 @@ def _le(x: str) -> str:
     return _LE.replace("n >>", f"octet_length(encode({x})) >>")
 
 
+PROFILE_BROKEN = ("CASE WHEN {rate} = 0 THEN len({values}) > 0 ELSE {rate} > 8 OR len({values}) = 0 "
+                  "OR len({values}) < floor(secs * {rate}) OR len({values}) > ceil(secs * {rate}) + 1 END")
+
+
+def _out(x: str) -> str:
+    return f"(isnan({x}) OR {x} < 0 OR {x} > 1)"
+
+
+def _odd(values: str, rate: str) -> str:
+    return f"({PROFILE_BROKEN.format(values=values, rate=rate)})"
+
+
 ORACLES = {
     "build_alias_index": f"""
 WITH r AS (SELECT {', '.join(_cols(RECORD))} FROM events),
@@ -175,15 +185,26 @@ SELECT w.id, w.canonical_key, s.digest_source AS stored, s.digest_source IS NOT
 WITH p AS (SELECT page_id, 'p' || page_id AS provider, url AS canonical_key FROM pages)
 SELECT page_id, provider, canonical_key, sha256({_le('provider')} || encode(provider) || {_le('canonical_key')} || encode(canonical_key)) AS digest FROM p""",
     "validate_analyses": f"""
-WITH b AS (SELECT *, duration_us / 1000000 AS secs FROM ({BROKEN_SQL}))
-SELECT track, CASE track % 19 WHEN 1 THEN 'duration must be greater than zero' WHEN 2 THEN 'audible boundaries must be ordered within the track duration'
- WHEN 3 THEN 'structure boundaries must be ordered within the audible region' WHEN 4 THEN 'structure confidences must match boundaries and be between zero and one'
- WHEN 5 THEN 'vocal activity profile must have a valid rate, length, and confidence shape' WHEN 6 THEN 'energy profile must have a valid rate and length'
- WHEN 7 THEN 'BPM must be finite and greater than zero' WHEN 8 THEN 'beat confidence must be between zero and one' WHEN 9 THEN 'downbeat confidence must be between zero and one'
- WHEN 10 THEN 'first beat must be within the track duration' WHEN 11 THEN 'first downbeat must be within the track duration'
- WHEN 12 THEN 'musical key must have a valid tonic and confidence' WHEN 13 THEN 'level measurements must be finite'
- WHEN 14 THEN CASE WHEN len(markers) > 1 THEN 'beat markers must be ordered within the track duration' END
- WHEN 15 THEN CASE WHEN len(marker_conf) > 1 THEN 'beat marker confidences must match markers and be between zero and one' END END AS violation FROM b""",
+WITH b AS (SELECT * REPLACE (CASE WHEN swap_markers THEN list_reverse(markers) ELSE markers END AS markers,
+ CASE WHEN short_conf THEN marker_conf[1:1] ELSE marker_conf END AS marker_conf), duration_us / 1000000 AS secs FROM ({BROKEN_SQL}))
+SELECT track, CASE WHEN duration_us = 0 THEN 'duration must be greater than zero'
+ WHEN audible_start_us > audible_end_us OR audible_end_us > duration_us THEN 'audible boundaries must be ordered within the track duration'
+ WHEN NOT intro_end_us BETWEEN audible_start_us AND audible_end_us OR NOT outro_start_us BETWEEN audible_start_us AND audible_end_us OR intro_end_us >= outro_start_us
+  THEN 'structure boundaries must be ordered within the audible region'
+ WHEN {_out('intro_confidence')} OR {_out('outro_confidence')} OR (intro_end_us IS NULL AND intro_confidence <> 0) OR (outro_start_us IS NULL AND outro_confidence <> 0)
+  THEN 'structure confidences must match boundaries and be between zero and one'
+ WHEN {_odd('vocal', 'vocal_rate')} OR len(vocal) <> len(vocal_conf) THEN 'vocal activity profile must have a valid rate, length, and confidence shape'
+ WHEN {_odd('energy', 'energy_rate')} THEN 'energy profile must have a valid rate and length'
+ WHEN NOT isfinite(bpm) OR bpm <= 0 THEN 'BPM must be finite and greater than zero'
+ WHEN {_out('beat_confidence')} THEN 'beat confidence must be between zero and one'
+ WHEN {_out('downbeat_confidence')} THEN 'downbeat confidence must be between zero and one'
+ WHEN first_beat_us > duration_us THEN 'first beat must be within the track duration'
+ WHEN list_max(markers) > duration_us OR markers <> list_sort(markers) OR len(list_distinct(markers)) <> len(markers) THEN 'beat markers must be ordered within the track duration'
+ WHEN len(marker_conf) > 0 AND (len(marker_conf) <> len(markers) OR len(list_filter(marker_conf, lambda x: {_out('x')})) > 0)
+  THEN 'beat marker confidences must match markers and be between zero and one'
+ WHEN first_downbeat_us > duration_us THEN 'first downbeat must be within the track duration'
+ WHEN key_tonic >= 12 OR {_out('key_confidence')} THEN 'musical key must have a valid tonic and confidence'
+ WHEN NOT isfinite(rms_dbfs) OR NOT isfinite(peak_dbfs) THEN 'level measurements must be finite' END AS violation FROM b""",
     "missing_analysis_worklist": f"""
 WITH q AS ({LISTENER_QUEUE_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY listener ORDER BY pos) AS rn FROM q),
 rel AS (SELECT DISTINCT listener, track FROM r WHERE rn <= 5), fly AS (SELECT DISTINCT listener, track FROM q WHERE pos % 6 = 1)

@@ -70,11 +70,15 @@ PAYLOADS = {
     "twitch": (
         "concat('{\"data\":{\"user\":{\"login\":\"l', o_custkey, '\",\"displayName\":\"D', o_custkey, '\",\"profileImageURL\":\"p.png\",\"stream\":', "
         "CASE WHEN o_orderkey % 4 = 0 THEN 'null' WHEN o_orderkey % 4 = 1 THEN '{}' ELSE '{\"title\":\"Live\",\"previewImageURL\":\"i-{width}x{height}.jpg\"}' END, '}}}')"),
+    "twitch_video": (
+        "concat('{\"data\":{\"video\":', CASE WHEN o_orderkey % 6 = 0 THEN 'null' ELSE concat('{\"id\":\"', o_orderkey, '\",\"lengthSeconds\":', o_custkey, "
+        "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ',\"title\":\"Past\"' END, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',\"previewThumbnailURL\":\"v.jpg\"' END, "
+        "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(',\"owner\":{\"displayName\":\"O', o_custkey, '\",\"profileImageURL\":\"o.png\"}') END, '}') END, '}}')"),
     "niconico": (
         "concat('{\"data\":{\"response\":{\"video\":{\"id\":\"sm', o_orderkey, '\",\"duration\":', o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN ',\"title\":\"N\"' ELSE '' END, "
         "',\"thumbnail\":{\"url\":\"u.jpg\"', CASE WHEN o_orderkey % 3 = 0 THEN ',\"ogp\":\"o.jpg\"' ELSE '' END, '}},\"client\":{},\"media\":{', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '\"domand\":{}' END, '}}}}')"),
 }
-SHAPE_OF = "CASE o_custkey % 4 WHEN 0 THEN 'soundcloud' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch' ELSE 'niconico' END"
+SHAPE_OF = "CASE o_custkey % 5 WHEN 0 THEN 'soundcloud' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch' WHEN 3 THEN 'twitch_video' ELSE 'niconico' END"
 
 
 def normalize_payloads(spark, sf):
@@ -184,6 +188,10 @@ SELECT page_id, error, CASE WHEN error IS NULL THEN 'https://s.example.com/track
                 "CASE WHEN o_orderkey % 4 = 1 THEN 'https://www.twitch.tv/l' || o_custkey ELSE 'Live' END",
                 "'D' || o_custkey", "CASE WHEN o_orderkey % 4 = 1 THEN 'p.png' ELSE 'i-640x360.jpg' END",
                 "CAST(NULL AS BIGINT)"),
+        _record("twitch_video", "CASE WHEN o_orderkey % 6 = 0 THEN 'missing video payload' WHEN o_orderkey % 5 = 0 THEN 'missing video owner' END",
+                "'twitch:video:' || o_orderkey", "'https://www.twitch.tv/videos/' || o_orderkey",
+                "CASE WHEN o_orderkey % 4 = 0 THEN 'https://www.twitch.tv/videos/' || o_orderkey ELSE 'Past' END",
+                "'O' || o_custkey", "CASE WHEN o_orderkey % 3 = 0 THEN 'o.png' ELSE 'v.jpg' END", "o_custkey * 1000000"),
         _record("niconico", "CASE WHEN o_orderkey % 5 = 0 THEN 'missing media payload' END",
                 "'niconico:video:sm' || o_orderkey", "'https://www.nicovideo.jp/watch/sm' || o_orderkey",
                 "CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE 'sm' || o_orderkey END", "'niconico'",

@@ -46,7 +46,7 @@ def downmix_frames(spark, sf):
 
 
 def decimate_mean(spark, sf):
-    return rounded(ops.decimate_mean(pcm(spark, sf), RATE, 48, max_seconds=1800))
+    return rounded(ops.decimate_mean(pcm(spark, sf), RATE, 48))
 
 
 def loudness_levels(spark, sf):

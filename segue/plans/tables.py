@@ -24,6 +24,10 @@ URL_VARIANTS = [
     "'https://127.0.0.1/x'",
     "'https://localhost/x'",
     "'not a url'",
+    "concat('https://evil.test', chr(92), '@tv.example.com/videos/', page_id)",
+    "concat('https://tv.example.com:65536/videos/', page_id)",
+    "concat('https://u:p@tv.example.com:65535', chr(92), 'videos', chr(92), page_id)",
+    "concat('https://tv.example.com:00443/videos/', page_id)",
 ]
 
 

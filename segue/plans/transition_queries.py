@@ -11,13 +11,26 @@ from segue.plans.signal_queries import rounded
 from segue.plans.tables import LISTENER_QUEUE_SQL, TRACK_CATALOG_SQL, listener_queue, table, track_catalog
 
 
-def playlist_pairs(spark, sf) -> DataFrame:
-    """Every catalog track followed by the next one, with prepared records."""
+def _all_pairs(spark, sf) -> DataFrame:
     tracks = M.prepare_tracks(track_catalog(spark, sf))
     pairs = table(spark, sf, "part").selectExpr("p_partkey AS outgoing", "p_partkey + 1 AS incoming")
     return M.with_tracks(pairs, tracks)
 
 
+def playlist_pairs(spark, sf) -> DataFrame:
+    """Every catalog track followed by the next one, with prepared records of both."""
+    return _all_pairs(spark, sf).where("error IS NULL").drop("error")
+
+
+def unanalysed_pairs(spark, sf) -> DataFrame:
+    """The other pairs: outgoing, incoming and the error."""
+    return _all_pairs(spark, sf).where("error IS NOT NULL").select("outgoing", "incoming", "error")
+
+
+def guarded_plans(spark, sf) -> DataFrame:
+    return P.guard_plans(P.plan_transitions(playlist_pairs(spark, sf), KEYS), KEYS)
+
+
 KEYS = ["outgoing", "incoming"]
 VARIANT = ["outgoing", "incoming", "variant"]
 
@@ -60,7 +73,8 @@ def adjacent_transitions(spark, sf):
         "bpm", "duration_us", F.col("key_tonic").alias("tonic"), F.col("key_minor").alias("minor"), F.col("key_confidence").alias("kc")).alias("t"))
     df = M.with_tracks(pairs, facts)
     fade = F.least(F.lit(8000000).cast("long"), F.floor(F.col("o.duration_us") / 2), F.floor(F.col("i.duration_us") / 2))
-    df = df.select("listener", "pos", "outgoing", "incoming", M.harmonic().alias("harmonic"),
+    fade = F.when(F.col("error").isNull(), fade)
+    df = df.select("listener", "pos", "outgoing", "incoming", "error", M.harmonic().alias("harmonic"),
                    M.tempo_ratio(F.col("o.bpm"), F.col("i.bpm")).alias("tempo_ratio"), fade.alias("fade_us"))
     order = Window.partitionBy("listener").orderBy(F.col("harmonic").desc_nulls_last(), F.abs(F.col("tempo_ratio") - 1).asc_nulls_last(), "pos")
     return rounded(df.withColumn("rank", F.row_number().over(order)).where("rank <= 3"))
@@ -188,12 +202,48 @@ def plan_transitions(spark, sf):
 
 
 def guard_plans(spark, sf):
-    return rounded(_flat(P.guard_plans(P.plan_transitions(playlist_pairs(spark, sf), KEYS), KEYS)), 5)
+    return rounded(_flat(guarded_plans(spark, sf)), 5)
 
 
 def explain_decisions(spark, sf):
-    guarded = P.guard_plans(P.plan_transitions(playlist_pairs(spark, sf), KEYS), KEYS)
-    return P.explain_decisions(guarded).groupBy("decision").agg(F.count(F.lit(1)).alias("pairs"))
+    """Pairs per decision; a pair without an analysis counts under its error."""
+    decided = P.explain_decisions(guarded_plans(spark, sf)).select("decision")
+    decided = decided.unionByName(unanalysed_pairs(spark, sf).select(F.col("error").alias("decision")))
+    return decided.groupBy("decision").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+FOLD_SCORE = "CASE WHEN l_quantity > 45 THEN NULL ELSE CAST(l_quantity AS DOUBLE) * 7 % 50 / 100 END"
+
+
+def select_start_fold(spark, sf):
+    """The start choice alone, over scores taken from order lines."""
+    scored = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber AS position", "CAST(l_partkey AS DOUBLE) AS p_os", f"{FOLD_SCORE} AS score")
+    return P.select_start(scored, ["l_orderkey"])
+
+
+# facts of made-up guarded pairs, one per part; the same text in both dialects
+RULES = {
+    "p_kind": "CASE p_size % 5 WHEN 0 THEN 'beat_matched' WHEN 1 THEN 'gapless' ELSE 'crossfade' END",
+    "rejected_kind": "CASE WHEN p_size % 7 = 0 THEN 'beat_matched' WHEN p_size % 7 = 1 THEN 'crossfade' END",
+    "o_sure": "p_partkey % 11 <> 0", "i_sure": "p_partkey % 12 <> 0", "n_starts": "p_partkey % 9",
+    "o_raw": "CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 1 THEN CAST(-1 AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE CAST(80 + p_size AS DOUBLE) END",
+    "i_raw": "CASE p_partkey % 17 WHEN 0 THEN NULL WHEN 1 THEN CAST(0 AS DOUBLE) ELSE CAST(80 + p_size * 3 AS DOUBLE) END",
+}
+
+
+def explain_rules(spark, sf):
+    """The decision of every pair, over facts that reach each reason."""
+    facts = table(spark, sf, "part").selectExpr("p_partkey AS pair", *[f"{x} AS {n}" for n, x in RULES.items()])
+
+    def side(s: str):
+        raw = F.col(f"{s}_raw")
+        starts = F.when(F.col("n_starts") > 0, F.array(F.lit(0.0))).otherwise(F.array().cast("array<double>"))
+        return F.struct(F.col(f"{s}_sure").alias("sure"), raw.alias("raw_bpm"), F.when((raw > 0) & ~F.isnan(raw), raw).alias("bpm"),
+                        starts.alias("starts")).alias(s)
+
+    guarded = facts.select("pair", "p_kind", "rejected_kind", side("o"), side("i"))
+    return P.explain_decisions(guarded).select("pair", "decision")
 
 
 def _queue_times(spark, sf):
@@ -226,7 +276,7 @@ QUERIES = {f.__name__: f for f in (
     adjacent_transitions, beat_grid, phrase_cues, adjacent_pairs, tempo_candidates, harmonic_compatibility, recommended_gain,
     structure_overlap, vocal_summary, vocal_overlap_limit, safe_incoming_starts, outgoing_start_candidates, align_to_grid,
     tempo_map, gain_curves, low_band_handoff, dual_vocal_overlap, energy_continuity, phase_errors, quality_report,
-    transition_score, select_start, plan_transitions, guard_plans, explain_decisions, schedule_transitions, fade_steps, late_enable)}
+    transition_score, select_start, select_start_fold, plan_transitions, guard_plans, explain_decisions, explain_rules, schedule_transitions, fade_steps, late_enable)}
 
 # ---- SQL twins: curves as rows, one row per sample point ---------------------
 
@@ -407,9 +457,11 @@ s1 AS (SELECT *, outgoing_us - fade AS tr, CASE WHEN after <= 60000000 THEN leas
 ORACLES = {
     "adjacent_transitions": f"""
 WITH {_T}, q1 AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})),
-p AS (SELECT listener, pos, outgoing, incoming, {_HARM} AS harmonic, {_RATIO} AS tempo_ratio, least(8000000, o.duration_us // 2, i.duration_us // 2) AS fade_us FROM q1 JOIN t o ON o.track = outgoing JOIN t i ON i.track = incoming),
+p AS (SELECT listener, pos, outgoing, incoming, CASE WHEN o.track IS NULL THEN 'outgoing analysis unavailable' WHEN i.track IS NULL THEN 'incoming analysis unavailable' END AS error,
+ {_HARM} AS harmonic, {_RATIO} AS tempo_ratio, CASE WHEN o.track + i.track IS NOT NULL THEN least(8000000, o.duration_us // 2, i.duration_us // 2) END AS fade_us
+ FROM (SELECT * FROM q1 WHERE incoming IS NOT NULL) q1 LEFT JOIN t o ON o.track = outgoing LEFT JOIN t i ON i.track = incoming),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY listener ORDER BY harmonic DESC NULLS LAST, abs(tempo_ratio - 1) NULLS LAST, pos) AS INTEGER) AS rank FROM p)
-SELECT listener, pos, outgoing, incoming, harmonic, round(tempo_ratio, 6) + 0.0 AS tempo_ratio, fade_us, rank FROM r WHERE rank <= 3""",
+SELECT listener, pos, outgoing, incoming, error, harmonic, round(tempo_ratio, 6) + 0.0 AS tempo_ratio, fade_us, rank FROM r WHERE rank <= 3""",
     "beat_grid": f"""
 SELECT track, CASE WHEN bpm > 0 THEN first_downbeat_us END AS first_downbeat_us, CASE WHEN bpm > 0 THEN CAST(round(60000000 / bpm) AS BIGINT) END AS beat_interval_us, CASE WHEN bpm > 0 THEN CAST(4 AS INTEGER) END AS beats_per_bar,
  round(CASE WHEN len(marker_conf) > 0 THEN len(list_filter(marker_conf, lambda c: c >= 0.35)) / len(marker_conf) ELSE 0 END, 6) AS kick_coverage FROM ({TRACK_CATALOG_SQL})""",
@@ -459,6 +511,21 @@ SELECT event_id, round(bo, 6) + 0.0 AS beat_out, round(bi_, 6) + 0.0 AS beat_in,
  array_to_string(issues, ',') AS issues, len(list_filter(issues, lambda x: x NOT IN ('low_handoff_dip', 'low_handoff_build_up'))) > 0 AS blocked FROM iss""",
     "transition_score": f"""{_QUALITY}, pen AS (SELECT outgoing, incoming, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in _PEN.items())} FROM q)
 SELECT outgoing, incoming, round({' + '.join(_PEN)}, 6) + 0.0 AS score, {', '.join(f'round({n}, 6) + 0.0 AS {n}_penalty' for n in _PEN)} FROM pen""",
+    "select_start_fold": f"""
+WITH RECURSIVE s AS (SELECT l_orderkey, CAST(l_partkey AS DOUBLE) AS p, {FOLD_SCORE} AS sc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem),
+f AS (SELECT l_orderkey, rn, p, sc FROM s WHERE rn = 1
+ UNION ALL SELECT s.l_orderkey, s.rn, CASE WHEN s.sc + 0.02 < f.sc THEN s.p ELSE f.p END, CASE WHEN s.sc + 0.02 < f.sc THEN s.sc ELSE f.sc END FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.rn = f.rn + 1),
+e AS (SELECT l_orderkey, arg_max(p, rn) AS p, max(rn) AS n FROM f GROUP BY 1),
+c AS (SELECT l_orderkey, count(sc) AS checked, bool_or(rn = 1 AND sc IS NOT NULL) AS searched FROM s GROUP BY 1)
+SELECT l_orderkey, CASE WHEN searched THEN e.p END AS selected_start, CASE WHEN searched THEN f.sc END AS selected_score, CASE WHEN searched THEN CAST(checked AS INTEGER) END AS candidates_checked
+FROM e JOIN c USING (l_orderkey) JOIN f ON f.l_orderkey = e.l_orderkey AND f.rn = e.n""",
+    "explain_rules": f"""
+WITH g AS (SELECT p_partkey AS pair, {', '.join(f'{x} AS {n}' for n, x in RULES.items())} FROM part),
+r AS (SELECT *, CASE WHEN o_raw > 0 AND i_raw > 0 AND NOT isnan(o_raw) THEN least(abs(o_raw / i_raw - 1), abs(o_raw / i_raw * 2 - 1), abs(o_raw / i_raw * 0.5 - 1)) END AS off FROM g)
+SELECT pair, CASE WHEN p_kind = 'beat_matched' THEN 'selected' WHEN rejected_kind = 'beat_matched' THEN 'quality_guarded' WHEN n_starts = 0 THEN 'no_trusted_incoming_beat_start'
+ WHEN NOT o_sure THEN 'outgoing_tempo_confidence_too_low' WHEN NOT i_sure THEN 'incoming_tempo_confidence_too_low' WHEN o_raw IS NULL OR i_raw IS NULL THEN 'missing_bpm'
+ WHEN isnan(o_raw) OR o_raw <= 0 OR i_raw <= 0 THEN 'invalid_bpm' WHEN off IS NULL OR off > 0.06 THEN 'tempo_difference_too_large'
+ WHEN p_kind = 'gapless' THEN 'no_safe_overlap' ELSE 'vocal_limit_constrained' END AS decision FROM r""",
     "schedule_transitions": f"""
 WITH {_sched(8000000)} SELECT listener, pos, outgoing, incoming, outgoing_us, incoming_us, plan_kind, plan_start_us, plan_fade_us, CASE WHEN plan_fade_us > 0 THEN plan_fade_us ELSE fade END AS fade_us, CASE WHEN plan_fade_us > 0 THEN plan_start_us ELSE tr END AS transition_us,
  greatest(tr - fade, 0) AS prefetch_us, ev AS event_us, greatest(ev - 15000000, 0) AS prepare_us, CAST(CASE WHEN plan_kind <> 'gapless' AND plan_fade_us >= 2000000 THEN 2 ELSE 0 END AS INTEGER) AS eq_windows,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from segue.functions import urls as U
 from segue.operators import urls as ops
 from segue.plans.tables import URL_REQUESTS_SQL, table, url_requests
 from segue.rules import HostPolicy
@@ -158,20 +157,41 @@ QUERIES = {f.__name__: f for f in (
 # ---- SQL twins -------------------------------------------------------------
 
 
-def _g(u: str, n: int) -> str:
-    return f"regexp_extract({u}, '{U.URL_PATTERN}', {n})"
+# The twin cuts a URL step by step: scheme, authority up to the first of / \\ ? #, userinfo, port, rest.
+def _rest(u: str) -> str:
+    return f"CASE WHEN regexp_matches({u}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substring({u}, strpos({u}, '://') + 3) END"
 
 
-def sql_scheme(u: str) -> str:
-    return f"lower(nullif({_g(u, 1)}, ''))"
+def _authority(u: str) -> str:
+    return f"regexp_extract({_rest(u)}, '^[^/?#\\\\]*')"
+
+
+def _server(u: str) -> str:
+    return f"list_extract(string_split({_authority(u)}, '@'), -1)"
 
 
 def sql_host(u: str) -> str:
-    return f"lower(nullif({_g(u, 2)}, ''))"
+    name, port = f"regexp_replace({_server(u)}, ':[0-9]*$', '')", f"regexp_extract({_server(u)}, ':([0-9]*)$', 1)"
+    fine = (f"NOT regexp_matches({_authority(u)}, '\\s') AND NOT regexp_matches(replace({u}, chr(10), ' '), '\\s\\S*$') AND len({port}) < 18 AND coalesce(TRY_CAST({port} AS BIGINT), 0) <= 65535 "
+            f"AND (regexp_full_match({name}, '[^ :@<>^|%\\[\\]]+') OR regexp_full_match({name}, '\\[[0-9A-Fa-f:.]+\\]'))")
+    return f"CASE WHEN {fine} THEN lower({name}) END"
+
+
+def sql_scheme(u: str) -> str:
+    return f"CASE WHEN {sql_host(u)} IS NOT NULL THEN lower(substring({u}, 1, strpos({u}, '://') - 1)) END"
+
+
+def _after(u: str) -> str:
+    return f"string_split(substring({_rest(u)}, len({_authority(u)}) + 1), '#')[1]"
 
 
 def sql_path(u: str) -> str:
-    return f"CASE WHEN {sql_host(u)} IS NOT NULL THEN coalesce(nullif({_g(u, 3)}, ''), '/') END"
+    way = f"replace(string_split({_after(u)}, '?')[1], chr(92), '/')"
+    return f"CASE WHEN {sql_host(u)} IS NOT NULL THEN CASE WHEN {way} = '' THEN '/' ELSE {way} END END"
+
+
+def sql_query(u: str) -> str:
+    return f"CASE WHEN {sql_host(u)} IS NOT NULL AND contains({_after(u)}, '?') THEN substring({_after(u)}, strpos({_after(u)}, '?') + 1) ELSE '' END"
 
 
 def sql_named(h: str) -> str:
@@ -192,7 +212,7 @@ _HEADER_LIST = ", ".join(f"{{'k': {k}, 'v': {v}}}" for k, v in HEADER_ROWS)
 _HEADERS_SQL = (f"SELECT o_orderkey AS id, {ORIGIN} AS origin, {TARGET} AS target, unnest([{_HEADER_LIST}]) AS e FROM orders")
 _SAFE = "lower(e.k) IN ('accept', 'accept-language', 'origin', 'referer', 'user-agent')"
 _LAST_DIGITS = "list_max(list_filter(range(1, len(seg) + 1), lambda i: regexp_full_match(seg[i], '[0-9]+')))"
-_SEGS = f"SELECT *, list_filter(string_split(pth, '/'), lambda s: s <> '') AS seg, string_split(pth, '/') AS parts, {_g('url', 4)} AS q FROM ({_PARSED})"
+_SEGS = f"SELECT *, list_filter(string_split(pth, '/'), lambda s: s <> '') AS seg, string_split(pth, '/') AS parts, {sql_query('url')} AS q FROM ({_PARSED})"
 _HQ = "CASE WHEN regexp_matches(q, '(^|&)h(=|&|$)') THEN regexp_extract(q, '(?:^|&)h=?([^&]*)', 1) END"
 _CANON = f"""SELECT page_id, variant, url,
  CASE WHEN rawh = 'tv.example.com' THEN

@@ -30,7 +30,7 @@ def build_session(app: str = "segue", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where it is unset and driver and executors are one process (tests, benchmarks), a folder of the warehouse is used.
+    Where it is unset and driver and executors are one process, a folder of the warehouse is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-                            spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+                            spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
+                            spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     session.sparkContext.setLogLevel("ERROR")
     return session
 
