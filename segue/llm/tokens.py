@@ -1,8 +1,9 @@
-"""Token ids by the ``tokenizers`` library, with a bounded cache of text segments.
+"""Token ids by the ``tokenizers`` library, with bounded caches of text segments.
 
 A byte-level BPE of this kind never joins a token across the change from a visible character to white space, so a text is
-cut there and each distinct segment is encoded once. Texts with control characters that Python and the library class
-differently are encoded whole.
+cut there and each distinct segment is encoded once. New segments of plain characters are split by the vocabulary's own
+pattern and go to the library's BPE model directly, which spares the bookkeeping of offsets; all others, and texts with
+control characters that Python and the library class differently, go through the library's whole tokenizer.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ import re
 from itertools import chain
 
 import numpy as np
+import regex
 
 from .common import per_process
 
 END_ID = 2
-CACHED = 200_000
-"""Segments kept in a worker's cache (some 40 MB); the cache is emptied when full."""
+CACHED = 300_000
+"""Segments, and words of segments, kept in a worker's caches (some 120 MB in all); a full cache is emptied."""
 CACHED_CHARS = 48
 _SEGMENT = re.compile(r"\s*\S+|\s+")
 _UNSAFE = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile("[ \n]?[!-~¡-ɏ]+")
+# Fixed value: the word pattern of the vocabulary.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def default_path() -> str:
@@ -28,6 +33,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """Printable stand-in of every byte in a byte-level vocabulary: itself, or the next free code from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """``ids(texts)`` gives one little-endian uint32 byte string for each text, with the end id last."""
 
@@ -36,19 +48,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.end = np.array([end_id], "<u4").tobytes()
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
+    def _whole(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        packed = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        self.words[word] = packed
+        return packed
+
+    def _segments(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of segments that the cache does not hold."""
+        if len(self.words) > CACHED:
+            self.words.clear()
+        known, word, out, other = self.words, self._word, {}, []
+        for segment in new:
+            if _PLAIN.fullmatch(segment) and len(segment) <= 256:
+                out[segment] = b"".join([known.get(w) or word(w) for w in _WORDS.findall(segment)])
+            else:
+                other.append(segment)
+        return out | dict(zip(other, self._whole(other)))
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         cut = [[t] if _UNSAFE.search(t) else _SEGMENT.findall(t) for t in (t or "" for t in texts)]
         if len(self.cache) > CACHED:
             self.cache.clear()
         known = self.cache
-        new = list({s for s in chain.from_iterable(cut) if s not in known})
-        local = dict(zip(new, self._encode(new)))
+        local = self._segments({s for s in chain.from_iterable(cut) if s not in known})
         known.update((s, b) for s, b in local.items() if len(s) <= CACHED_CHARS)
         long = {s: b for s, b in local.items() if len(s) > CACHED_CHARS}
         out = []
