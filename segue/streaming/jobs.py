@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from segue import rules
+from segue.operators.freshness import coalesce_requests
 from segue.operators.manifests import recent_links_step
 from segue.operators.queues import ADMISSION_START, admission_step
 
@@ -177,6 +178,7 @@ def drop_stale_events_stream(events: DataFrame, current: DataFrame, keys: list[s
     return live.dropDuplicatesWithinWatermark([*keys, kind])
 
 
-def coalesce_requests_stream(requests: DataFrame, gate: str, at: str, window: str = "10 minutes") -> DataFrame:
-    """The first request per gate key leads until the watermark passes it."""
-    return requests.withWatermark(at, window).dropDuplicatesWithinWatermark([gate])
+def coalesce_requests_stream(requests: DataFrame, gate: str, at: str, order: list[str], window: str = "10 minutes",
+                             delay: str = "10 minutes") -> DataFrame:
+    """The batch rule over windows that the watermark has passed: the first request of a gate key and window leads."""
+    return coalesce_requests(requests.withWatermark(at, delay), gate, at, order, window)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from segue.operators import manifests, queues
+from segue.operators import freshness, manifests, queues
 from segue.plans import queue_queries as Q
 from segue.plans.tables import table
 from segue.streaming import jobs
@@ -78,5 +78,14 @@ def test_stale_and_coalesced_streams(spark, folder):
     current = spark.createDataFrame([(1, 1, 5)], "guild int, session int, playback int")
     live = drain(jobs.drop_stale_events_stream(stream, current, ["guild", "session", "playback"], "kind", "at"), "live_events")
     assert live.count() == 1
-    led = drain(jobs.coalesce_requests_stream(stream, "guild", "at"), "led_requests")
-    assert led.count() == 1
+
+
+def test_coalesced_stream_equals_batch(spark, folder):
+    """The last row moves the watermark past all windows before it."""
+    rows = [(g, k, f"2024-01-01 00:{m:02d}:00") for k, (g, m) in enumerate([(1, 1), (1, 2), (2, 3), (1, 11), (1, 19), (2, 21)])]
+    df = spark.createDataFrame([*rows, (9, 99, "2024-01-01 09:00:00")], "guild int, id int, at string").selectExpr(
+        "* EXCEPT (at)", "CAST(at AS TIMESTAMP) AS at").coalesce(1)
+    df.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+    led = drain(jobs.coalesce_requests_stream(stream, "guild", "at", ["id"]), "led_requests")
+    same(led, freshness.coalesce_requests(df.where("guild < 9"), "guild", "at", ["id"]), ["guild", "window_start", "id", "requests"])
