@@ -40,7 +40,8 @@ NOISE = 64
 BATCH = 2048
 RATE = 0.2
 STRIDES = (12, 4)
-SALTS = 64
+SALTS, BLOCKS = 64, 16
+"""Models are summed in blocks of their weights, first per salt."""
 HELD_WORDS = 500_000
 END = b""
 """The end of a text; no word is empty."""
@@ -229,7 +230,8 @@ def train_model(rows: DataFrame, vocabulary: Vocabulary, strides: tuple[int, ...
     """Rounds of local training over ``rows.ids`` and averaging by tokens."""
     model = Model.fresh(vocabulary.output_counts)
     log_noise = np.log((vocabulary.output_counts + 1) / (vocabulary.output_counts + 1).sum())
-    kind = pa.schema([("salt", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
+    kind = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
+    columns = "block int, salt int, n bigint, vector binary"
 
     def local(start, stride):
         def run(batches):
@@ -239,18 +241,21 @@ def train_model(rows: DataFrame, vocabulary: Vocabulary, strides: tuple[int, ...
             streams = (np.frombuffer(i, "<u2") for batch in batches for i in batch.column("ids").to_pylist())
             trained, n = train_local(start, streams, stride, part, log_noise)
             if n:
-                yield pa.RecordBatch.from_pylist([{"salt": part % SALTS, "n": n, "vector": (trained.flat() * n).tobytes()}], kind)
+                blocks = np.array_split(trained.flat() * n, BLOCKS)
+                yield pa.RecordBatch.from_pylist(
+                    [{"block": k, "salt": part % SALTS, "n": n, "vector": b.tobytes()} for k, b in enumerate(blocks)], kind)
         return run
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(v, np.float64) for v in frame["vector"])
-        return pd.DataFrame({"salt": [0], "n": [frame["n"].sum()], "vector": [total.tobytes()]})
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "salt": [0], "n": [frame["n"].sum()], "vector": [total.tobytes()]})
 
     for stride in strides:
-        parts = rows.select("ids").mapInArrow(local(model, stride), "salt int, n bigint, vector binary")
-        summed = parts.groupBy("salt").applyInPandas(add, "salt int, n bigint, vector binary")
-        for row in summed.groupBy("salt").applyInPandas(add, "salt int, n bigint, vector binary").collect():
-            model = model.like(np.frombuffer(row.vector, np.float64) / row.n)
+        parts = rows.select("ids").mapInArrow(local(model, stride), columns)
+        summed = parts.groupBy("block", "salt").applyInPandas(add, columns).groupBy("block").applyInPandas(add, columns)
+        found = {r.block: np.frombuffer(r.vector, np.float64) / r.n for r in summed.collect()}
+        if found:
+            model = model.like(np.concatenate([found[k] for k in range(BLOCKS)]))
     return model
 
 
