@@ -37,9 +37,9 @@ OUTPUTS = FREQUENT + BUCKETS
 COUNTED = 100_000
 DIM = 24
 NOISE = 64
-BATCH = 2048
-RATE = 0.2
-STRIDES = (12, 4)
+BATCH = 512
+RATE = 0.15
+STRIDES = (8, 2)
 SALTS, BLOCKS = 64, 16
 """Models are summed in blocks of their weights, first per salt."""
 HELD_WORDS = 500_000
@@ -156,7 +156,7 @@ def train_local(model: Model, streams, stride: int, seed: int, log_noise: np.nda
         pick = slice(zlib.crc32(ids.tobytes()[-64:]) % stride, None, stride)
         held.append((one[pick], two[pick], target[pick]))
         size += len(target[pick])
-        if size >= 64 * BATCH:
+        if size >= 256 * BATCH:
             learn([np.concatenate(x) for x in zip(*held)])
             used, size, held = used + size, 0, []
     if size:
