@@ -95,4 +95,4 @@ def test_tolerant_join(spark):
     want = spark.createDataFrame([("a", 1, 5_000_000), ("b", None, None), ("c", 2, 1)], "k string, content_length long, duration_us long")
     have = spark.createDataFrame([("a", 1, 6_000_000), ("b", 9, 9), ("c", 3, 1)], "k string, content_length long, duration_us long")
     assert {r.k for r in freshness.tolerant_identity_join(want, have, ["k"]).collect()} == {"a", "b"}
-    assert [r.k for r in freshness.tolerant_identity_join(want, have, ["k"], hits=False).collect()] == ["c"]
+    assert [r.k for r in freshness.tolerant_identity_join(want, have, ["k"], how="left_anti").collect()] == ["c"]
