@@ -15,8 +15,8 @@ import numpy as np
 from .common import per_process
 
 END_ID = 2
-CACHED = 250_000
-"""Segments, and words of segments, in one generation of a worker's caches; two generations are kept (some 150 MB)."""
+CACHED = 400_000
+"""Segments in one generation of a worker's cache; two generations are kept (some 150 MB)."""
 CACHED_CHARS = 48
 # Letters and numbers up to U+024F, and the word pattern of the vocabulary.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -87,7 +87,7 @@ class Encoder:
         simple = _SIMPLE.fullmatch(segment)
         if simple and len(segment) <= 256:
             word, mark = simple.groups()
-            return self.words[word] + self.words[mark] if mark else self.words[word]
+            return self.segments[word] + self.words[mark] if mark else self._word(word)
         if len(segment) <= 256 and _PLAIN.fullmatch(segment):
             return b"".join([self.words[w] for w in _WORDS.findall(segment)])
         return self._whole(segment)
