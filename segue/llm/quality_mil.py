@@ -175,7 +175,7 @@ def score(docs: DataFrame, net, keep: list[str] | None = None) -> DataFrame:
         scores, at, size = [], 0, 0
         for k, text in enumerate(texts):
             size += len(text or b"")
-            if size > 1 << 20 or k + 1 == len(texts):
+            if size > 1 << 18 or k + 1 == len(texts):
                 x, begins = passages(texts[at : k + 1])
                 scores += net.forward(x, begins)["y"].astype(np.float64).tolist()
                 at, size = k + 1, 0

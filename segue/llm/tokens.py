@@ -15,8 +15,8 @@ import numpy as np
 from .common import per_process
 
 END_ID = 2
-CACHED = 400_000
-"""Segments in one generation of a worker's cache; two generations are kept (some 150 MB)."""
+CACHED = 150_000
+"""Segments in one generation of a worker's cache; two generations are kept (some 70 MB)."""
 CACHED_CHARS = 48
 # Letters and numbers up to U+024F, and the word pattern of the vocabulary.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
