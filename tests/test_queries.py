@@ -15,7 +15,9 @@ from segue.plans import registry  # noqa: E402
 
 NAMES = ("adjacent_transitions", "redact_urls", "build_page_metadata", "top_quality_pairs", "explode_media_playlist",
          "lookup_cached", "tolerant_identity_join", "commit_ready_prefix", "voice_occupancy", "render_queue_lines",
-         "onset_flux", "mix_quality_metrics", "energy_continuity", "read_restart_snapshot", "read_analysis_store")
+         "onset_flux", "mix_quality_metrics", "energy_continuity", "read_restart_snapshot", "read_analysis_store",
+         "filter_allowed_urls", "normalize_payloads", "dedupe_segments", "admit_requests", "trim_to_capacity", "validate_analyses",
+         "energy_structure", "vocal_risk", "select_start_fold", "explain_rules", "rejected_records", "write_plan_report")
 
 
 def test_every_twin_has_a_query():
