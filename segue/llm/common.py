@@ -36,6 +36,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def small_batches(spark) -> None:
+    """Whole texts are large rows: keep Arrow batches, which stand in memory several times over, at a few megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def annotate(docs: DataFrame, found: str, per_batch: Callable[[list[bytes | None]], dict[str, list]],
              keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Run ``per_batch`` over the texts (UTF-8 bytes) of every Arrow batch.
@@ -43,6 +49,7 @@ def annotate(docs: DataFrame, found: str, per_batch: Callable[[list[bytes | None
     Returns two columns: ``row``, a struct of the input columns (or of ``keep``), and ``found``, a struct typed by
     ``found``. Nesting keeps input columns whatever they are called. No shuffle; one batch is in memory at a time.
     """
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     packed = docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"),
                          F.col(quoted(text)).cast("string").alias("text"))
@@ -78,6 +85,7 @@ def per_process(slot: str, token, make: Callable):
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; later steps survive lost executors."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
