@@ -126,10 +126,10 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, crowd: int =
     named = stored(classes.join(linked, "fp", "left").select(
         "fp", "n", F.coalesce("root", "fp").alias("root"),
         F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "simhash-named")
-    return _of_each(marked, named, "fp", "n").select("row", "fp", "root", "component_id")
+    return spread_join(marked, named, "fp", "n").select("row", "fp", "root", "component_id")
 
 
-def _of_each(rows: DataFrame, named: DataFrame, key: str, size: str) -> DataFrame:
+def spread_join(rows: DataFrame, named: DataFrame, key: str, size: str) -> DataFrame:
     """Join rows to the one entry of their key. Keys that hold over one row in a thousand are fewer than a thousand and
     are broadcast, so no task gets all rows of one; the others are joined by a shuffle."""
     total = named.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
@@ -148,5 +148,5 @@ def representatives(docs: DataFrame) -> DataFrame:
         "root", F.col("row.doc_id").alias("doc_id"), F.col(f"row.{number}").alias(number)), "simhash-marked")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", number)
     least = marked.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n"))
-    dropped = _of_each(marked, stored(least, "simhash-least"), "root", "n").where(F.col("first")[number] != F.col(number)).select(number)
+    dropped = spread_join(marked, stored(least, "simhash-least"), "root", "n").where(F.col("first")[number] != F.col(number)).select(number)
     return numbered.join(dropped, number, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
