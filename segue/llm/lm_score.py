@@ -9,8 +9,8 @@ words, so token probabilities are exactly normalised.
 
 Steps, all over the whole corpus: word counts (combined in each task before the shuffle); one pass that writes each
 document's output numbers and its rarer words; ``ROUNDS`` rounds in which each task trains a copy of the model on its
-documents (all training documents give positions, every ``STRIDES[round]``-th one) and the copies are averaged by
-tokens, in two salted steps; one scoring pass. Counts of words beyond the ``COUNTED`` most frequent (which ride in a
+documents (every ``ROUNDS``-th position of each, another phase in each round, so every position is a target once) and the
+copies are averaged by tokens, in two salted steps; one scoring pass. Counts of words beyond the ``COUNTED`` most frequent (which ride in a
 broadcast of that many entries at most) are joined. The base score is the add-0.1 unigram of the contract.
 
 A token is a word or the end of a text; null and empty texts are one end token. Repeated rows count as often as they
@@ -39,7 +39,7 @@ DIM = 24
 NOISE = 64
 BATCH = 512
 RATE = 0.15
-STRIDES = (8, 2)
+ROUNDS = 2
 SALTS, BLOCKS = 64, 16
 """Models are summed in blocks of their weights, first per salt."""
 HELD_WORDS = 500_000
@@ -135,8 +135,11 @@ class Model:
         self.w[name][rows] -= grad * (scale if grad.ndim == 1 else scale[:, None])
 
 
-def train_local(model: Model, streams, stride: int, seed: int, log_noise: np.ndarray) -> tuple[Model, int]:
-    """Pass over ``streams`` (arrays of output numbers, each a text with its end) at every ``stride``-th position."""
+def train_local(model: Model, streams, turn: int, rounds: int, seed: int, log_noise: np.ndarray) -> tuple[Model, int]:
+    """Pass over ``streams`` (arrays of output numbers, each a text with its end) at the positions of round ``turn``.
+
+    The positions of a text in all ``rounds`` are disjoint and together are all of them.
+    """
     model = Model({k: v.astype(np.float32) for k, v in model.w.items()})
     rng = np.random.default_rng(seed)
     draw, log_noise = np.cumsum(np.exp(log_noise)), log_noise.astype(np.float32)
@@ -153,7 +156,7 @@ def train_local(model: Model, streams, stride: int, seed: int, log_noise: np.nda
     size = 0
     for ids in streams:
         one, two, target = contexts(ids)
-        pick = slice(zlib.crc32(ids.tobytes()[-64:]) % stride, None, stride)
+        pick = slice((zlib.crc32(ids.tobytes()[-64:]) + turn) % rounds, None, rounds)
         held.append((one[pick], two[pick], target[pick]))
         size += len(target[pick])
         if size >= 256 * BATCH:
@@ -226,20 +229,20 @@ ENCODED = ("n_tokens bigint, n_counted bigint, base double, within double, ids b
            "rare array<struct<word:binary,n:bigint>>")
 
 
-def train_model(rows: DataFrame, vocabulary: Vocabulary, strides: tuple[int, ...] = STRIDES) -> Model:
+def train_model(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Rounds of local training over ``rows.ids`` and averaging by tokens."""
     model = Model.fresh(vocabulary.output_counts)
     log_noise = np.log((vocabulary.output_counts + 1) / (vocabulary.output_counts + 1).sum())
     kind = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
     columns = "block int, salt int, n bigint, vector binary"
 
-    def local(start, stride):
+    def local(start, turn):
         def run(batches):
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId()
             streams = (np.frombuffer(i, "<u2") for batch in batches for i in batch.column("ids").to_pylist())
-            trained, n = train_local(start, streams, stride, part, log_noise)
+            trained, n = train_local(start, streams, turn, rounds, part, log_noise)
             if n:
                 blocks = np.array_split(trained.flat() * n, BLOCKS)
                 yield pa.RecordBatch.from_pylist(
@@ -250,8 +253,8 @@ def train_model(rows: DataFrame, vocabulary: Vocabulary, strides: tuple[int, ...
         total = sum(np.frombuffer(v, np.float64) for v in frame["vector"])
         return pd.DataFrame({"block": frame["block"].iloc[:1], "salt": [0], "n": [frame["n"].sum()], "vector": [total.tobytes()]})
 
-    for stride in strides:
-        parts = rows.select("ids").mapInArrow(local(model, stride), columns)
+    for turn in range(rounds):
+        parts = rows.select("ids").mapInArrow(local(model, turn), columns)
         summed = parts.groupBy("block", "salt").applyInPandas(add, columns).groupBy("block").applyInPandas(add, columns)
         found = {r.block: np.frombuffer(r.vector, np.float64) / r.n for r in summed.collect()}
         if found:
