@@ -5,14 +5,15 @@ IPv4, issued ranges for social security numbers, length and grouping for phones)
 their own domain, so a value has one pseudonym in all documents and two values never share one:
 
 * cards: the digits before the check digit are permuted, the check digit is made anew; grouping stays;
-* phones: the ten national digits; country code and grouping stay;
+* phones: the ten national digits, or those after the country code of an international form; the rest and grouping stay;
 * IBANs: the digits after the check digits (letters stay), check digits made anew;
 * dates of 1700-01-01 to 2099-12-31: the day number among 146,097 days; layout stays;
 * IPv4 addresses: the 32 bits; social security numbers: the issued numbers;
 * e-mail addresses: no fixed format to keep, so a keyed digest names the mailbox, under a reserved domain.
 
 The permutation is an alternating Feistel network on pairs (x mod a, y mod b) with SHA-256 as round function; both moduli
-may be any number, so no cycle walking is needed. What fails validation stays as it is. Documents are not shuffled.
+may be any number, so no cycle walking is needed. Of a candidate that fails, the longest valid part is taken
+(cards between separators, IBANs from their start). What has none stays as it is. Documents are not shuffled.
 
 A null text stays null with n_found 0; empty texts stay empty. Repeated rows and equal values give equal results. Input
 columns of any name stay in ``row``.
@@ -31,20 +32,21 @@ EPOCH = "1700-01-01"
 
 # Candidate patterns, first match wins.
 _START, _STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+_GROUPED = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _STOP,
     "date": _START + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})" + _STOP,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _STOP,
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _STOP,
+    "phone": r"(?<![0-9A-Za-z+])(?:" + _GROUPED + r"|\+[1-9][0-9]{0,3}(?:[ .-]?\(?[0-9]{1,12}\)?){1,6}|[2-9][0-9]{9})" + _STOP,
     "card": _START + r"[0-9](?:[ -]?[0-9]){12,18}" + _STOP,
 }
 ANY = "|".join(PATTERNS.values()).replace(r"\2", r"\2")
 SHAPES = {
     "email": "@", "iban": "^[A-Z]{2}", "date": r"^(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})$",
     "ip": r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$", "card": "",
+    "phone": "^" + _GROUPED + r"$|^\+|^[2-9][0-9]{9}$", "card": "",
 }
 
 
@@ -109,19 +111,46 @@ def luhn_sum(digits: Column, double_last: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), add)
 
 
+def _longest(m: Column, starts: Column, good, make) -> Column:
+    """``m`` with its longest part that ``good`` accepts (a number, 0 for no; larger ones first) replaced by ``make``; null
+    without one. Parts start at one of ``starts`` and end before a separator or at the end."""
+    size = F.length(m)
+    ends = F.filter(F.sequence(F.lit(1), size), lambda k: (k == size) | F.substring(m, k + 1, F.lit(1)).isin(" ", "-"))
+    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: b >= a), lambda b: F.struct(
+        good(F.substring(m, a, b - a + 1)).alias("rank"), (b - a + 1).alias("size"), (-a).alias("back"),
+        F.substring(m, a, b - a + 1).alias("part")))))
+    best = F.array(F.array_max(F.filter(parts, lambda x: x.rank > 0)))
+    return F.aggregate(best, F.lit(None).cast("string"), lambda _, x: F.concat(
+        F.substring(m, F.lit(1), -x.back - 1), make(x.part), F.substring(m, x.size - x.back, size)))
+
+
 def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    fresh = F.aggregate(F.array(permute_digits(body, key, "card")), F.lit(""), lambda _, d: F.concat(
-        d, F.pmod(F.lit(10) - luhn_sum(d, True) % 10, F.lit(10)).cast("string")))
-    return F.when(luhn_sum(digits, False) % 10 == 0, refill(m, fresh))
+    def good(part):
+        digits = F.regexp_replace(part, "[^0-9]", "")
+        return F.when(part.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"), (luhn_sum(digits, False) % 10 == 0).cast("int")).otherwise(0)
+
+    def make(part):
+        digits = F.regexp_replace(part, "[^0-9]", "")
+        body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        fresh = F.aggregate(F.array(permute_digits(body, key, "card")), F.lit(""), lambda _, d: F.concat(
+            d, F.pmod(F.lit(10) - luhn_sum(d, True) % 10, F.lit(10)).cast("string")))
+        return refill(part, fresh)
+
+    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda k: (k == 1) | F.substring(m, k - 1, F.lit(1)).isin(" ", "-"))
+    return _longest(m, starts, good, make)
+
+
+TWO_DIGIT_LANDS = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+"""Country codes of two digits; 1 and 7 have one, the others three."""
 
 
 def _phone(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
-    body = F.right(digits, F.lit(10))
-    head = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    return refill(m, F.concat(head, permute_digits(body, key, "phone")))
+    land = F.when(digits.rlike("^[17]"), 1).when(digits.rlike(TWO_DIGIT_LANDS), 2).otherwise(3)
+    national = F.when(m.rlike("^" + _GROUPED + "$") | ~m.startswith("+"), 10).otherwise(F.length(digits) - land)
+    body = F.right(digits, national)
+    head = F.substring(digits, F.lit(1), F.length(digits) - national)
+    return F.when(F.length(digits).between(8, 15), refill(m, F.concat(head, permute_digits(body, key, "phone"))))
 
 
 def _mod97(text: Column) -> Column:
@@ -135,7 +164,12 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
-def _iban(m: Column, key: str) -> Column:
+IBAN_SIZES = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+              22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+              26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT"}
+
+
+def _whole_iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     land, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
     digits = F.regexp_replace(body, "[^0-9]", "")
@@ -146,7 +180,19 @@ def _iban(m: Column, key: str) -> Column:
         return F.concat(check, F.regexp_replace(fresh, "[^0-9]", ""))
 
     fresh = F.aggregate(F.array(mixed), F.lit(""), named)
-    return F.when(_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1, refill(m, fresh))
+    return refill(m, fresh)
+
+
+def _iban(m: Column, key: str) -> Column:
+    def good(part):  # the length of the country first
+        plain = F.replace(part, F.lit(" "), F.lit(""))
+        valid = _mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
+        usual = F.lit(False)
+        for size, lands in IBAN_SIZES.items():
+            usual = usual | ((F.length(plain) == size) & F.substring(plain, 1, 2).isin(*lands.split()))
+        return F.when((F.length(plain) >= 12) & valid, F.when(usual, 2).otherwise(1)).otherwise(0)
+
+    return _longest(m, F.array(F.lit(1)), good, lambda part: _whole_iban(part, key))
 
 
 def _date(m: Column, key: str) -> Column:
