@@ -3,8 +3,8 @@
 Texts are equal when identical without white space. Three stages, each comparing full content:
 
 1. Locally, every task gathers equal texts of a bounded buffer into one local group (best row, size, member ids).
-2. Local groups merge by (digest, salt, content); the salt is taken from the group's best row, so a digest with copies in
-   every task spreads over ``SALTS`` groups.
+2. Local groups merge by (digest, salt, content); the salt is a hash of the number of the group's best row (task and place
+   in it), so a digest with copies in every task spreads over ``SALTS`` groups.
 3. The salt winners (at most ``SALTS`` rows for a content) merge by (digest, content).
 
 Content travels compressed; the compressor is a fixed function with an inverse, so comparing its bytes compares content.
@@ -20,13 +20,14 @@ smallest doc_id (a null doc_id last). Repeated rows with one doc_id form a group
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, stored
+from .common import forget, quoted, stored
 
 SALTS = 32
 BUFFER_BYTES = 32 << 20
@@ -44,7 +45,7 @@ def _local_groups(docs: DataFrame, row: str | None, digest_bytes: int, buffer_by
                       ("members", pa.list_(member))])
 
     def emit(groups):
-        rows = [{"digest": sha[:digest_bytes], "sha": sha, "content": content, "salt": best[3] % SALTS,
+        rows = [{"digest": sha[:digest_bytes], "sha": sha, "content": content, "salt": zlib.crc32(b"%d" % best[3]) % SALTS,
                  "best": dict(zip(("shorter", "unnamed", "doc_id", "row"), best)), "members": members}
                 for (sha, content), (best, members) in groups.items()]
         for at in range(0, len(rows), 2000):
@@ -85,6 +86,11 @@ def exact_groups(docs: DataFrame, row: str | None = None, digest_bytes: int = 32
     ``row`` names a column that numbers the rows; by default numbers are dealt and stored with the local groups.
     ``digest_bytes`` shortens the grouping digest; results are the same, as content decides.
     """
+    return _grouped(docs, row, digest_bytes, buffer_bytes)[0]
+
+
+def _grouped(docs: DataFrame, row: str | None, digest_bytes: int = 32, buffer_bytes: int = BUFFER_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``exact_groups`` and the stored tables that they are read from."""
     local = stored(_local_groups(docs, row, digest_bytes, buffer_bytes), "dedup-local")
     salted = local.groupBy("digest", "content", "salt").agg(F.min("best").alias("best"), F.sum(F.size("members")).alias("n"))
     one = salted.repartition("digest").groupBy("digest", "content").agg(
@@ -100,7 +106,7 @@ def exact_groups(docs: DataFrame, row: str | None = None, digest_bytes: int = 32
         out = out.unionByName(local.drop("best").join(keyed, ["digest", "salt", "content"]).drop("content"))
     return out.select("sha", "keep_id", "keep_row", "n", F.explode("members").alias("m")).select(
         "m.doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("m.row") == F.col("keep_row")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), "m.row")
+        F.lower(F.hex("sha")).alias("text_sha256"), "m.row"), [local, winners]
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
@@ -109,5 +115,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     while number in docs.columns:
         number += "_"
     numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "dedup-input")
-    dropped = exact_groups(numbered, number).where("NOT kept").select(F.col("row").alias(number))
+    groups, tables = _grouped(numbered, number)
+    dropped = stored(groups.where("NOT kept").select(F.col("row").alias(number)), "dedup-dropped")
+    forget(*tables)
     return numbered.join(dropped, number, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])

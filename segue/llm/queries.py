@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, id_planes, language_id, license_scan, lm_score, packing, pii_feistel,
-               quality_mil, simhash)
+from . import (decontaminate, exact_dedup, id_planes, language_id, license_scan, lm_score, ngram_join, packing,
+               pii_feistel, quality_mil, simhash)
 
 PII_KEY = "segue-demonstration-key"
 """Key of the registered query; callers pass their own."""
@@ -69,8 +69,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_docs(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality, op4_language_id, op5_packing,
-                                   op6_lm_score, op7_pii, op8_id_planes, op9_exact_dedup, op10_simhash)}
+                                   op6_lm_score, op7_pii, op8_id_planes, op9_exact_dedup, op10_simhash, op13_ngram_join)}
 
 
 def _words_sql(column: str, pattern: str = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") -> str:
