@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from segue.llm import exact_dedup, id_planes, lm_score, packing, pii_feistel, queries, simhash
 from segue.llm.tokens import END_ID, default_path, encoder
+from test_ngram_join import plain_links
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
@@ -318,11 +319,10 @@ def test_pipeline_matches_a_plain_version(spark, sf):
     for d, t in texts.items():
         groups[BLANK.sub("", t)].append((-len(t), d))
     texts = {d: texts[d] for d in (min(g)[1] for g in groups.values())}
-    fps = {d: plain_fingerprint(t) for d, t in texts.items()}
-    roots, least = plain_components(set(fps.values())), {}
-    for d, f in fps.items():
-        least[roots[f]] = min(least.get(roots[f], d), d)
-    texts = {d: texts[d] for d in least.values()}
+    named = sorted(texts)
+    near = {named[root] for _, root in plain_links([texts[d] for d in named], 5, 4, 5)}
+    assert len(near) < len(texts)
+    texts = {d: t for d, t in texts.items() if d in near}
     windows = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
         own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))
