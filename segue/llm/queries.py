@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, id_planes, language_id, license_scan, lm_score, ngram_join, packing,
-               pii_feistel, quality_mil, simhash)
+from . import (decontaminate, exact_dedup, fill_middle, id_planes, language_id, license_scan, lm_score, ngram_join, packing,
+               pii_feistel, quality_mil, simhash, source_divergence)
 
 PII_KEY = "segue-demonstration-key"
 """Key of the registered query; callers pass their own."""
@@ -69,12 +69,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(_docs(spark, sf_dir))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_docs(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality, op4_language_id, op5_packing,
-                                   op6_lm_score, op7_pii, op8_id_planes, op9_exact_dedup, op10_simhash, op13_ngram_join)}
+                                   op6_lm_score, op7_pii, op8_id_planes, op9_exact_dedup, op10_simhash, op11_source_divergence,
+                                   op12_fill_middle, op13_ngram_join)}
 
 
 def _words_sql(column: str, pattern: str = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") -> str:
@@ -152,4 +161,53 @@ k AS (SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM k
 """
 
-ORACLES = {"op1_decontamination": OP1_SQL, "op2_license_scan": _license_sql(), "op9_exact_dedup": OP9_SQL}
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11_SQL = f"""
+WITH t AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_words_sql('text', LETTERS)} AS w
+           FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM t) GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM t) GROUP BY ALL HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM t),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grid AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n
+         FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n,
+             1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) + 5 * v) AS p
+      FROM grid JOIN v USING (lang)),
+l AS (SELECT lang, term, sum(n) AS n FROM grid GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) + 5 * v) AS q
+      FROM l JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, CAST(k AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR k <= 50
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u,
+                  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+e AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2,
+             CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4 FROM d),
+f AS (SELECT doc_id, t, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+s AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:x], ''), '') AS p, coalesce(array_to_string(u[x + 1:y], ''), '') AS m,
+             coalesce(array_to_string(u[y + 1:n], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+"""
+
+ORACLES = {"op1_decontamination": OP1_SQL, "op2_license_scan": _license_sql(), "op9_exact_dedup": OP9_SQL,
+           "op11_source_divergence": OP11_SQL, "op12_fill_middle": OP12_SQL}
