@@ -7,7 +7,8 @@ their own domain, so a value has one pseudonym in all documents and two values n
 * cards: the digits before the check digit are permuted, the check digit is made anew; grouping stays;
 * phones: the ten national digits, or those after the country code of an international form; the rest and grouping stay;
 * IBANs: the digits after the check digits (letters stay), check digits made anew;
-* dates of 1700-01-01 to 2099-12-31: the day number among 146,097 days; layout stays;
+* dates of 1700-01-01 to 2099-12-31: the day number among 146,097 days; layout stays. Two digits, two digits, year is read
+  day first if that is a date, else month first; month-first dates (days above 12) are permuted among themselves;
 * IPv4 addresses: the 32 bits; social security numbers: the issued numbers;
 * e-mail addresses: no fixed format to keep, so a keyed digest names the mailbox, under a reserved domain.
 
@@ -33,20 +34,22 @@ EPOCH = "1700-01-01"
 # Candidate patterns, first match wins.
 _START, _STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _GROUPED = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+_INTERNATIONAL = r"\+[1-9][0-9]{0,14}+(?:[ .-]?\([0-9]{1,12}+\)[ .-]?[0-9]{1,12}+|[ .-][0-9]{1,12}+){0,6}"
+_BARE = r"(?!37|96|[2-9](?:9|11))[2-9][0-9]{9}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _STOP,
     "date": _START + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})" + _STOP,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _STOP,
-    "phone": r"(?<![0-9A-Za-z+])(?:" + _GROUPED + r"|\+[1-9][0-9]{0,3}(?:[ .-]?\(?[0-9]{1,12}\)?){1,6}|[2-9][0-9]{9})" + _STOP,
+    "phone": r"(?<![0-9A-Za-z+])(?:" + _GROUPED + "|" + _INTERNATIONAL + "|" + _BARE + ")" + _STOP,
     "card": _START + r"[0-9](?:[ -]?[0-9]){12,18}" + _STOP,
 }
 ANY = "|".join(PATTERNS.values()).replace(r"\2", r"\2")
 SHAPES = {
     "email": "@", "iban": "^[A-Z]{2}", "date": r"^(?:[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})$",
     "ip": r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "phone": "^" + _GROUPED + r"$|^\+|^[2-9][0-9]{9}$", "card": "",
+    "phone": "^" + _GROUPED + r"$|^\+|^" + _BARE + "$", "card": "",
 }
 
 
@@ -111,14 +114,15 @@ def luhn_sum(digits: Column, double_last: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), add)
 
 
-def _longest(m: Column, starts: Column, good, make) -> Column:
+def _longest(m: Column, starts: Column, good, make, least: int, separators: str = " -") -> Column:
     """``m`` with its longest part that ``good`` accepts (a number, 0 for no; larger ones first) replaced by ``make``; null
-    without one. Parts start at one of ``starts`` and end before a separator or at the end."""
+    without one. Parts start at one of ``starts``, end before a separator or at the end and have ``least`` characters."""
     size = F.length(m)
-    ends = F.filter(F.sequence(F.lit(1), size), lambda k: (k == size) | F.substring(m, k + 1, F.lit(1)).isin(" ", "-"))
-    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: b >= a), lambda b: F.struct(
-        good(F.substring(m, a, b - a + 1)).alias("rank"), (b - a + 1).alias("size"), (-a).alias("back"),
-        F.substring(m, a, b - a + 1).alias("part")))))
+    ends = F.filter(F.sequence(F.lit(1), size), lambda k: (k == size) | F.substring(m, k + 1, F.lit(1)).isin(*separators))
+    spans = F.transform(F.array(ends), lambda known: F.flatten(F.transform(starts, lambda a: F.transform(
+        F.filter(known, lambda b: b - a >= least - 1), lambda b: F.struct(a.alias("a"), F.substring(m, a, b - a + 1).alias("part"))))))
+    parts = F.transform(spans[0], lambda x: F.struct(
+        good(x.part).alias("rank"), F.length(x.part).alias("size"), (-x.a).alias("back"), x.part.alias("part")))
     best = F.array(F.array_max(F.filter(parts, lambda x: x.rank > 0)))
     return F.aggregate(best, F.lit(None).cast("string"), lambda _, x: F.concat(
         F.substring(m, F.lit(1), -x.back - 1), make(x.part), F.substring(m, x.size - x.back, size)))
@@ -137,7 +141,7 @@ def _card(m: Column, key: str) -> Column:
         return refill(part, fresh)
 
     starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda k: (k == 1) | F.substring(m, k - 1, F.lit(1)).isin(" ", "-"))
-    return _longest(m, starts, good, make)
+    return _longest(m, starts, good, make, 13)
 
 
 TWO_DIGIT_LANDS = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
@@ -145,12 +149,19 @@ TWO_DIGIT_LANDS = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 
 def _phone(m: Column, key: str) -> Column:
+    def good(part):
+        return F.length(F.regexp_replace(part, "[^0-9]", "")).between(8, 15).cast("int")
+
+    return _longest(m, F.array(F.lit(1)), good, lambda part: _whole_phone(part, key), 8, " .-")
+
+
+def _whole_phone(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     land = F.when(digits.rlike("^[17]"), 1).when(digits.rlike(TWO_DIGIT_LANDS), 2).otherwise(3)
     national = F.when(m.rlike("^" + _GROUPED + "$") | ~m.startswith("+"), 10).otherwise(F.length(digits) - land)
     body = F.right(digits, national)
     head = F.substring(digits, F.lit(1), F.length(digits) - national)
-    return F.when(F.length(digits).between(8, 15), refill(m, F.concat(head, permute_digits(body, key, "phone"))))
+    return refill(m, F.concat(head, permute_digits(body, key, "phone")))
 
 
 def _mod97(text: Column) -> Column:
@@ -192,7 +203,33 @@ def _iban(m: Column, key: str) -> Column:
             usual = usual | ((F.length(plain) == size) & F.substring(plain, 1, 2).isin(*lands.split()))
         return F.when((F.length(plain) >= 12) & valid, F.when(usual, 2).otherwise(1)).otherwise(0)
 
-    return _longest(m, F.array(F.lit(1)), good, lambda part: _whole_iban(part, key))
+    return _longest(m, F.array(F.lit(1)), good, lambda part: _whole_iban(part, key), 12)
+
+
+LATE_DAYS = (9, 9833)
+"""The 88,497 days after the 12th of a month in 400 years, as a product."""
+
+
+def _late_day(day: Column, number: Column, key: str) -> Column:
+    """A date after the 12th, permuted among all such dates: they are numbered by leaving out 12 days a month."""
+    months = 12 * (F.year(day) - int(EPOCH[:4])) + F.month(day)
+    rank = number - 12 * months
+    a, b = LATE_DAYS
+    mixed = feistel(F.floor(rank / b), rank % b, a, b, key, "date-mdy")
+
+    def dated(_, p):
+        place = p.x * b + p.y
+        near = F.floor(place * 4800 / (a * b)).cast("int")  # the month, give or take a few
+
+        def found(month):
+            first = F.make_date(F.lit(int(EPOCH[:4])) + F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+            return F.date_add(first, (place - F.date_diff(first, F.lit(EPOCH).cast("date")) + 12 * month + 12).cast("int"))
+
+        months = F.sequence(F.greatest(F.lit(0), near - 3), F.least(F.lit(4799), near + 3))
+        return F.element_at(F.filter(F.transform(months, lambda k: F.struct(k.alias("k"), found(k).alias("d"))), lambda x: (
+            F.year(x.d) * 12 + F.month(x.d) - 1 == int(EPOCH[:4]) * 12 + x.k) & (F.dayofmonth(x.d) > 12)), 1).d
+
+    return F.aggregate(F.array(mixed), F.lit(None).cast("date"), dated)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -207,10 +244,10 @@ def _date(m: Column, key: str) -> Column:
 
     def shift(_, f):
         number = F.date_diff(f.d, F.lit(EPOCH).cast("date"))
-        mixed = feistel(F.floor(number / 773), number % 773, 189, 773, key, F.when(f.swapped, "date-mdy").otherwise("date"))
+        mixed = feistel(F.floor(number / 773), number % 773, 189, 773, key, "date")
         fresh = F.aggregate(F.array(mixed), F.lit(None).cast("date"),
                             lambda _, p: F.date_add(F.lit(EPOCH).cast("date"), (p.x * 773 + p.y).cast("int")))
-        layout = F.when(first, F.date_format(fresh, "yyyyMMdd")).when(f.swapped, F.date_format(fresh, "MMddyyyy")) \
+        layout = F.when(first, F.date_format(fresh, "yyyyMMdd")).when(f.swapped, F.date_format(_late_day(f.d, number, key), "MMddyyyy")) \
             .otherwise(F.date_format(fresh, "ddMMyyyy"))
         return F.when((number >= 0) & (number < DAYS), refill(m, layout))
 
