@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from .common import WORD_BYTES, annotate, per_process, stored, text_words
 
 WINDOW = 13
+WORD_MOST = 64
+"""Longer words are matched by a digest of that size or less."""
 PIECE_WORDS = 4096
 SHARD_WORDS = 250_000
 """Words in one automaton: at most twice as many states, about 300 MB in a Python worker."""
@@ -32,6 +34,14 @@ FOUND = ("n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, con
          "item_ids array<string>, spans array<struct<first:bigint,last:bigint>>")
 
 
+def short_words(text: bytes | None) -> list[bytes]:
+    """The words of a text, those over ``WORD_MOST`` bytes as digests (which start with a blank, as no word does)."""
+    words = text_words(text)
+    if words and len(max(words, key=len)) > WORD_MOST:
+        words = [w if len(w) <= WORD_MOST else b" " + hashlib.blake2b(w, digest_size=24).hexdigest().encode() for w in words]
+    return words
+
+
 class Automaton:
     """Generalised suffix automaton; ``ends[state]`` lists (window length, item) pairs that end in a state."""
 
@@ -140,7 +150,7 @@ class Automaton:
 
 
 def pieces_of(item: str, text: bytes | None, window: int = WINDOW) -> Iterator[tuple[str, list[bytes], int]]:
-    words = text_words(text)
+    words = short_words(text)
     if words:
         own = min(window, len(words))
         for start in range(0, max(1, len(words) - own + 1), PIECE_WORDS - own + 1):
@@ -148,13 +158,13 @@ def pieces_of(item: str, text: bytes | None, window: int = WINDOW) -> Iterator[t
 
 
 def _shards(benchmark: DataFrame, shard_words: int) -> list[DataFrame]:
-    """Piece tables of bounded size; the words of a shard are checked again when it is collected."""
+    """Piece tables of at most ``shard_words`` words, or one piece; as words are of bounded size, so are the shards."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
                              F.col("text").cast("string").cast("binary").alias("text"))
 
     def cut(batches):
         for batch in batches:
-            rows = [{"item": i, "words": b" ".join(w), "own": n, "n": len(w)}
+            rows = [{"item": i, "words": b"\x00".join(w), "own": n, "n": len(w)}
                     for item, text in zip(*(c.to_pylist() for c in batch.columns)) for i, w, n in pieces_of(item, text)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(
                 [("item", pa.string()), ("words", pa.binary()), ("own", pa.int32()), ("n", pa.int64())]))
@@ -164,7 +174,16 @@ def _shards(benchmark: DataFrame, shard_words: int) -> list[DataFrame]:
     count = max(1, -(-int(total) // max(1, shard_words // 2)))
     if count == 1:
         return [pieces]
-    return [pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == k).distinct() for k in range(count)]
+    pieces = pieces.distinct()
+
+    def shard(count):
+        return F.pmod(F.xxhash64("item", "words"), F.lit(count))
+
+    for _ in range(8):
+        if pieces.groupBy(shard(count).alias("k")).agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first()["n"] <= max(shard_words, PIECE_WORDS):
+            break
+        count *= 2
+    return [pieces.where(shard(count) == k) for k in range(count)]
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:
@@ -185,11 +204,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, keep:
     """
     shards = _shards(benchmark, shard_words)
     if len(shards) == 1:
-        return annotate(docs, FOUND, _matcher(docs.sparkSession, shards[0], one_in, shard_words), keep)
-    out = annotate(docs, FOUND, _matcher(docs.sparkSession, shards[0], one_in, shard_words))
+        return annotate(docs, FOUND, _matcher(docs.sparkSession, shards[0], one_in), keep)
+    out = annotate(docs, FOUND, _matcher(docs.sparkSession, shards[0], one_in))
     for number, shard in enumerate(shards[1:], 1):
         before = stored(out, f"decontaminate-{number}").select("row", "found", F.col("row.text").alias("text"))
-        both = annotate(before, FOUND, _matcher(docs.sparkSession, shard, one_in, shard_words), ["row", "found"])
+        both = annotate(before, FOUND, _matcher(docs.sparkSession, shard, one_in), ["row", "found"])
         out = _joined(both, one_in)
     kept = docs.columns if keep is None else keep
     return out.select(F.struct(*[F.col("row").getField(c).alias(c) for c in kept]).alias("row"), "found")
@@ -221,24 +240,54 @@ def _verdict(n_words: int, spans: list[list[int]], items: set[str], longest: int
             "spans": [{"first": a, "last": b} for a, b in spans]}
 
 
-def _matcher(spark: SparkSession, shard: DataFrame, one_in: int, shard_words: int):
+def _matcher(spark: SparkSession, shard: DataFrame, one_in: int):
     rows = shard.select("item", "words", "own").toArrow().to_pylist()
-    if sum(len(r["words"]) for r in rows) > 64 * shard_words:
-        raise ValueError("a benchmark shard is larger than its bound")
-    pieces = [(r["item"], r["words"].split(), r["own"]) for r in rows]
+    pieces = [(r["item"], r["words"].split(b"\x00"), r["own"]) for r in rows]
     shared, token = spark.sparkContext.broadcast(pieces), uuid.uuid4().hex
 
     def per_batch(texts):
         automaton = per_process("automaton", token, lambda: Automaton(shared.value))
         found = []
         for text in texts:
-            words = text_words(text)
+            words = short_words(text)
             found.append(_verdict(len(words), *automaton.scan(words), one_in))
         return {name: [x[name] for x in found] for name in found[0]}
 
     return per_batch
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, length: int = 50, coverage: float = 0.05, keep: list[str] | None = None,
+                 shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Mended texts: columns ``row``, ``text``, ``removed`` (word spans cut out) and ``n_removed`` (words).
+
+    A span of hit words is cut out if it has ``length`` words or more; where all spans cover at least ``coverage`` of a text's
+    words, all are. Other texts stay as they are, null stays null, a text that is one span becomes empty. What stands around
+    a span (punctuation, blanks) is kept. Texts go no further than the task that matched them, unless the benchmark has
+    several shards.
+    """
+    keep = docs.columns if keep is None else keep
+    inner = keep + [c for c in ("text",) if c not in keep]
+    found = decontaminate(docs, benchmark, keep=inner, shard_words=shard_words)
+    row = F.struct(*[F.col("row").getField(c).alias(c) for c in keep]).alias("row")
+    rows = found.select(row, F.col("row.text").cast("string").alias("text"), F.col("found.n_words").alias("n_words"), F.col("found.spans").alias("spans"))
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("removed", rows.schema["spans"].dataType),
+                           T.StructField("n_removed", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            texts, cut = [], []
+            for text, words, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "n_words", "spans"))):
+                sizes = [s["last"] - s["first"] + 1 for s in spans]
+                every = bool(spans) and sum(sizes) >= coverage * words
+                cut.append([s for s, n in zip(spans, sizes) if every or n >= length])
+                texts.append(without_spans(text, cut[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(texts, pa.string()), pa.array(cut, batch.column("spans").type),
+                 pa.array([sum(s["last"] - s["first"] + 1 for s in c) for c in cut], pa.int64())], ["row", "text", "removed", "n_removed"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def without_spans(text: str | None, spans) -> str | None:
     """The text with the given word spans cut out, for callers that mend documents in place of dropping them."""
     if not text or not spans:
