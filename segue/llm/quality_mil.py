@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     marks = marks.where(id_remainder("doc_id", folds) != held_fold).select("doc_id", (F.col("q") >= 0.5).cast("int").alias("label"))
     chosen = [marks.where(f"label = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most SAMPLE ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one text an id
 
     def per_batch(texts):
         out = []
