@@ -15,7 +15,9 @@ A file is closed after ``FILE_IDS`` ids, at the end of a document. Files are kep
 content) of a table in the shared folder, written by Spark's committer, so that a lost executor or a repeated task leaves
 no stray file; ``export_files`` copies them out as plain files. Global starts come from the totals of parts and files.
 
-Null and empty texts are one end id. Equal doc_ids are ordered by their text, null doc_ids come first.
+Null and empty texts are one end id. Equal doc_ids are ordered by a hash of their text,
+repeated rows by their number, so that they may end in several partitions; null doc_ids come first. An empty table is no
+file and no row.
 """
 
 from __future__ import annotations
@@ -143,8 +145,9 @@ def write_ids(docs: DataFrame, path: str | None = None, bits: bool = False) -> D
             yield row()
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"),
+                       F.monotonically_increasing_id().alias("number"))
+    rows = rows.repartitionByRange("doc_id", "tie", "number").sortWithinPartitions("doc_id", "tie", "number")
     return stored(rows.select("doc_id", "text").mapInArrow(run, STORE), "id-planes")
 
 
