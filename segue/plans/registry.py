@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("url_queries", "page_queries", "rank_queries", "manifest_queries", "freshness_queries", "queue_queries", "signal_queries", "transition_queries", "source_queries")
+FAMILIES = ("url_queries", "page_queries", "rank_queries", "manifest_queries", "freshness_queries", "queue_queries", "signal_queries", "analysis_queries", "transition_queries", "source_queries")
 
 
 def _modules():

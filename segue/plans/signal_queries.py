@@ -89,12 +89,6 @@ def select_tempo(spark, sf):
     return rounded(_tempo(spark, sf)[1], 4)
 
 
-def track_beats(spark, sf):
-    onsets, tempo = _tempo(spark, sf)
-    bounds = ops.audible_bounds(pcm(spark, sf)).selectExpr("track", "first AS first_block", "last AS last_block")
-    return rounded(ops.track_beats(onsets, tempo, bounds))
-
-
 def downbeat_phase(spark, sf):
     onsets = _onsets(spark, sf)
     beats = onsets.select("track").distinct().selectExpr("track", "track % 7 AS first_beat", "10 + track % 5 AS beat_lag")
@@ -173,15 +167,9 @@ def mix_quality_metrics(spark, sf):
     return rounded(ops.mix_quality_metrics(pcm(spark, sf), RATE), 5)
 
 
-def analyze_tracks(spark, sf):
-    return rounded(ops.analyze_tracks(pcm(spark, sf), RATE).select(
-        "track", "duration_us", "audible_start_us", "audible_end_us", "bpm", "beat_confidence", "first_beat_us", F.size("markers").alias("beats"),
-        "first_downbeat_us", "downbeat_confidence", F.size("energy").alias("energy_bins"), F.size("vocal").alias("vocal_bins"), "rms_dbfs", "peak_dbfs"), 4)
-
-
 QUERIES = {f.__name__: f for f in (
-    analyze_tracks, downmix_frames, decimate_mean, loudness_levels, block_energy, quantize_levels, audible_bounds, onset_flux,
-    estimate_tempo, select_tempo, track_beats, downbeat_phase, energy_structure, median_smooth, median3_smooth,
+    downmix_frames, decimate_mean, loudness_levels, block_energy, quantize_levels, audible_bounds, onset_flux,
+    estimate_tempo, select_tempo, downbeat_phase, energy_structure, median_smooth, median3_smooth,
     nearest_rank_percentile, run_statistics, band_filter, vocal_bin_features, vocal_risk, effective_vocal_risk,
     estimate_key, mix_quality_metrics)}
 
