@@ -13,7 +13,7 @@ Two texts link when their sets of word shingles have a Jaccard similarity of p /
    which the sets differ. The pairs that are left are expanded to members, and so are groups with themselves; members pass
    the bitmap bound and are verified on whole sets.
 
-A shingle, group or pair of groups with more than ``CROWD`` members is compared with one of its members first. Of the
+A shingle, group or pair of groups with more than ``CROWD`` members is compared with its most central member first. Of the
 others, only pairs in different components so far are compared, those outside the largest component against all, in chunks;
 components are all that is asked for. As rare shingles come first by exact counts, a shingle is crowded only among texts
 that consist of frequent shingles nearly throughout.
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import annotate, forget, quoted, small_batches, spaced_words, stored, texts_of
@@ -47,6 +47,8 @@ BUCKET = 2_000_000
 WORDS = 8
 """64-bit words of a parity bitmap."""
 CROWD = 64
+CENTRES = 16
+"""Members from which the central one is told."""
 EXPAND = 1024
 """Member pairs up to which a pair of groups is expanded at once."""
 CHUNK = 1024
@@ -227,27 +229,40 @@ def prefixes(blocks: DataFrame, cells: DataFrame, shingle: int, p: int, q: int)
     return blocks.select("block", "keys", "contents").groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(order, SETS)
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two bitmaps differ."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WORDS)), F.lit(0))
+
+
 def _near(a: str, b: str, p: int, q: int) -> Column:
-    """Bounds that every similar pair meets: sizes, places of a common shingle and, where both are there, bitmaps."""
+    """Bounds that every similar pair meets at its first common shingle: sizes, what follows it and, where both are there,
+    bitmaps."""
     size, other = F.col(f"{a}.size").cast("bigint"), F.col(f"{b}.size").cast("bigint")
-    place, place_b = F.col(f"{a}.place"), F.col(f"{b}.place")
     need = F.expr(f"({p} * cast({a}.size + {b}.size as bigint) + {p + q - 1}) div {p + q}")
-    apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(WORDS)), F.lit(0))
     return (q * F.least(size, other) >= p * F.greatest(size, other)) & \
-        (F.least(place, place_b) + F.least(size - place, other - place_b) >= need) & \
-        (F.coalesce(apart, F.lit(0)) <= size + other - 2 * need)
+        (F.least(size - F.col(f"{a}.place"), other - F.col(f"{b}.place")) >= need) & \
+        (F.coalesce(_apart(F.col(f"{a}.bits"), F.col(f"{b}.bits")), F.lit(0)) <= size + other - 2 * need)
 
 
 def stars(big: DataFrame, p: int, q: int) -> DataFrame:
-    """Of every crowded key, its least member with all others."""
-    hubs = big.groupBy("name").agg(F.min(F.struct("number", "size", "place", "bits")).alias("hub")).select("name", "hub.*")
-    met = big.alias("a").join(hubs.alias("b"), (F.col("a.name") == F.col("b.name")) & (F.col("a.number") > F.col("b.number"))
+    """Of every crowded key, its most central member with all others.
+
+    Central is who differs least, by bitmaps, from a few members taken by hash. The choice changes the work, not the result.
+    """
+    order = Window.partitionBy("name").orderBy(F.xxhash64("number"))
+    some = big.select("name", "bits", F.row_number().over(order).alias("turn")).where(F.col("turn") <= CENTRES)
+    some = some.groupBy("name").agg(F.collect_list("bits").alias("others"))
+    far = F.aggregate("others", F.lit(0), lambda total, other: total + _apart(other, F.col("bits")))
+    entry = F.struct("number", "size", "place", "bits")
+    hubs = big.join(some, "name").groupBy("name").agg(F.min_by(entry, F.struct(far, "number")).alias("hub")).select("name", "hub.*")
+    met = big.alias("a").join(hubs.alias("b"), (F.col("a.name") == F.col("b.name")) & (F.col("a.number") != F.col("b.number"))
                               & _near("a", "b", p, q))
-    return met.select(F.col("b.number").alias("a"), F.col("a.number").alias("b"))
+    return met.select(F.least("a.number", "b.number").alias("a"), F.greatest("a.number", "b.number").alias("b"))
 
 
-def rest(big: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs of a crowded key in different components: those outside its largest one against all, chunk by chunk."""
+def rest(big: DataFrame, roots: DataFrame, p: int, q: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of a crowded key in different components: those outside its largest one against all, chunk by chunk. A pair is
+    given by its first common shingle only."""
     rooted = big.join(roots.withColumnRenamed("node", "number"), "number", "left")
     rooted = stored(rooted.withColumn("root", F.coalesce("root", "number")), "ngram-rooted")
     sizes = rooted.groupBy("name", "root").agg(F.count("*").alias("n"))
@@ -256,13 +271,16 @@ def rest(big: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
                   "ngram-open")
     left = rooted.join(most, "name").where("root <> main").withColumn("chunk", F.pmod(F.xxhash64("number"), "chunks"))
     right = rooted.join(most, "name").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.number") < F.col("b.number"))
     met = left.alias("a").join(right.alias("b"), (F.col("a.name") == F.col("b.name")) & (F.col("a.chunk") == F.col("b.chunk"))
-                               & (F.col("a.root") != F.col("b.root")) & _near("a", "b", p, q))
+                               & (F.col("a.root") != F.col("b.root")) & once & _near("a", "b", p, q)
+                               & ~F.arrays_overlap("a.before", "b.before"))
     return met.select(F.least("a.number", "b.number").alias("a"), F.greatest("a.number", "b.number").alias("b")), [rooted, most]
 
 
 def meetings(sets: DataFrame, p: int, q: int, crowd: int, expand: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Candidate pairs ``a`` < ``b`` of few, and the members of crowded keys: name, number, size, place, bits."""
+    """Candidate pairs ``a`` < ``b`` of few, and the members of crowded keys: name, number, size, place,
+    bits, and the shingles listed before the key's."""
     some = sets.where(F.size("shingles") > 0).drop("key")
     groups = some.groupBy("prefix").agg(F.min("number").alias("gid"), F.count("*").alias("n"))
     members = stored(some.join(groups, "prefix").drop("prefix"), "ngram-members")
@@ -288,9 +306,12 @@ def meetings(sets: DataFrame, p: int, q: int, crowd: int, expand: int) -> tuple[
                                     & _near("a", "b", p, q))
     ends = [F.least("a.number", "b.number").alias("a"), F.greatest("a.number", "b.number").alias("b")]
     found = single.unionByName(both.select(*ends)).unionByName(inside.select(*ends))
-    entry = ["number", "size", "place", "bits"]
+    entry = ["number", "size", "place", "bits", "before"]
+    own = own.withColumn("before", F.array().cast("array<bigint>"))
+    several = own.where("n > 1")
+    earlier = F.filter(F.arrays_zip("shingles", "places"), lambda x: x.places < F.col("place"))
     crowded = listed.where(F.col("c") > crowd).select(F.concat(F.lit("s"), F.col("shingle").cast("string")).alias("name"), "gid", "place") \
-        .join(own.drop("place"), "gid")
+        .join(members, "gid").withColumn("before", F.transform(earlier, lambda x: x.shingles))
     large = several.where(F.col("n") > crowd).withColumn("name", F.concat(F.lit("g"), F.col("gid").cast("string")))
     name = F.concat_ws("-", "gid_a", "gid_b").alias("name")
     pair = pairs.where(wide).select(name, F.explode(F.array("gid_a", "gid_b")).alias("gid")).join(own, "gid")
