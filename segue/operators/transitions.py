@@ -323,6 +323,26 @@ def risk_at(side: str, position: Column) -> Column:
 # ---- tempo map -------------------------------------------------------------
 
 
+def nearest_marks(targets: Column, marks: Column) -> Column:
+    """For ascending ``targets`` the index of the nearest of the ascending ``marks`` (the earlier of equals).
+
+    Both are merged in one sort; a target's place in the merged order less its own index is the number of marks up to it.
+    """
+    own = F.transform(marks, lambda m, k: F.struct(m.alias("t"), F.lit(0).alias("kind"), k.alias("k")))
+    sought = F.transform(targets, lambda t, k: F.struct(t.alias("t"), F.lit(1).alias("kind"), k.alias("k")))
+    merged = F.array_sort(F.concat(own, sought))
+    below = F.filter(F.transform(merged, lambda x, at: F.struct(x["t"].alias("t"), x["kind"].alias("kind"), (at - x["k"]).alias("n"))),
+                     lambda x: x["kind"] == 1)
+    gap = lambda x, k: F.abs(F.get(marks, k) - x["t"])
+    return F.transform(below, lambda x: F.when((x["n"] == 0) | ((x["n"] < F.size(marks)) & (gap(x, x["n"]) < gap(x, x["n"] - 1))), x["n"])
+                       .otherwise(x["n"] - 1))
+
+
+def nearest_distances(targets: Column, marks: Column) -> Column:
+    """Distance of each of the ascending ``targets`` to the nearest of the ascending ``marks``."""
+    return F.zip_with(targets, nearest_marks(targets, marks), lambda t, k: F.abs(F.get(marks, k) - t))
+
+
 def source_elapsed(env: Column, t: Column) -> Column:
     """Source time after output time ``t``; ``env`` null keeps native time.
 
@@ -395,18 +415,21 @@ def add_tempo_map(df: DataFrame, start: str, incoming_start: str, duration: str,
         "i.mk", lambda m: (m["t"] >= is_) & (m["t"] <= is_ + dur * r + reach))))
 
     pair_type = "array<struct<o:double,oc:double,s:double,sc:double>>"
+    targets = F.transform("_ob", lambda m: is_ + (m["t"] - os) * r)
+    df = df.withColumn("_tg", F.when(F.size("_ob") >= 5, targets)).withColumn("_im", F.transform("_ib", lambda m: m["t"]))
+    df = df.withColumn("_to", F.zip_with("_tg", nearest_marks(F.col("_tg"), F.col("_im")), lambda t, k: F.struct(t.alias("t"), k.alias("k"))))
+    df = df.withColumn("_to", F.zip_with("_ob", "_to", lambda m, x: F.struct(m.alias("m"), x["t"].alias("t"), x["k"].alias("k"))))
 
     def attach(acc, beat):
-        target = is_ + (beat["t"] - os) * r
-        nearest = F.array_min(F.filter(F.transform(F.col("_ib"), lambda m, k: F.struct(
-            F.abs(m["t"] - target).alias("d"), k.alias("k"), m["t"].alias("t"), m["c"].alias("c"))), lambda x: x["k"] >= acc["next"]))
-        return let(nearest, lambda n: F.when(n["d"] <= reach, F.struct(
-            (n["k"] + 1).alias("next"),
-            F.concat(acc["pairs"], F.array(F.struct(beat["t"].alias("o"), beat["c"].alias("oc"), n["t"].alias("s"), n["c"].alias("sc")))).alias("pairs")))
-            .otherwise(F.struct(acc["next"].alias("next"), acc["pairs"].alias("pairs"))))
+        # of markers in order, the nearest that is still free is the nearest one or the first free one
+        at = F.greatest(beat["k"], acc["next"])
+        found = F.get("_ib", at)
+        near = F.coalesce(F.abs(found["t"] - beat["t"]) <= reach, F.lit(False))
+        return F.when(near, F.struct((at + 1).alias("next"), F.concat(acc["pairs"], F.array(F.struct(
+            beat["m"]["t"].alias("o"), beat["m"]["c"].alias("oc"), found["t"].alias("s"), found["c"].alias("sc")))).alias("pairs"))).otherwise(acc)
 
     begin = F.struct(F.lit(0).alias("next"), F.array().cast(pair_type).alias("pairs"))
-    df = df.withColumn("_pairs", F.when(F.size("_ob") >= 5, F.aggregate("_ob", begin, attach, lambda a: a["pairs"])))
+    df = df.withColumn("_pairs", F.when(F.size("_ob") >= 5, F.aggregate("_to", begin, attach, lambda a: a["pairs"])))
     n = F.size("_pairs")
     usable = ((n >= 5) & (F.abs(F.get("_ob", F.lit(0))["t"] - os) <= 0.03) & (F.abs(F.get("_pairs", F.lit(0))["s"] - is_) <= 0.03))
     segment_type = "array<struct<end:double,speed:double>>"
@@ -439,7 +462,7 @@ def add_tempo_map(df: DataFrame, start: str, incoming_start: str, duration: str,
         first.alias("initial"), last.alias("mix_end"), dur.alias("hold"),
         (240 / F.coalesce(F.col("o.bpm"), F.lit(120.0))).alias("ramp"), F.col("_seg").alias("segments")))
     return (df.withColumn(out, env).withColumn(f"{out}_speed", F.coalesce(first, F.lit(1.0)))
-            .drop("_ob", "_ib", "_pairs", "_seg"))
+            .drop("_ob", "_ib", "_tg", "_im", "_to", "_pairs", "_seg"))
 
 
 def vocal_limit(incoming_start: Column, longest: Column, env: Column | None = None) -> Column:
@@ -591,8 +614,7 @@ def add_phase_errors(df: DataFrame) -> DataFrame:
     df = df.withColumns({f"_x_{n}": expected(n) for n in labels} | {"_cx": is_ + source_elapsed(env, F.col("_close.m") - os)})
 
     def worst(name: str) -> Column:
-        return F.array_max(F.transform(f"_x_{name}", lambda e: F.array_min(
-            F.transform(F.col(f"_{name}_i"), lambda t: F.abs(t - e)))))
+        return F.array_max(nearest_distances(F.col(f"_x_{name}"), F.col(f"_{name}_i")))
 
     # hand-off by markers near the end, else by the cycle of the whole track
     usable = (F.size("_im") > 0) & (F.col("_close.d") <= F.coalesce(F.col("o.bi") / 2, F.lit(BEAT_LIMIT)))

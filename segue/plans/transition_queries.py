@@ -39,13 +39,29 @@ def _variants(spark, sf):
     return P.plan_variants(P.pair_facts(playlist_pairs(spark, sf)))
 
 
+# speeds of the measured overlaps, in both dialects: half of the pairs have a tempo map, of which half are in segments
+MAPPED = {"mode": "CAST(track % 4 AS INTEGER)", "v0": "1 + (track % 7 - 3) / 100.0E0", "v1": "1 + (track % 5 - 2) / 100.0E0",
+          "s1": "1 + (track % 9 - 4) / 80.0E0", "s2": "1 + (track % 11 - 5) / 90.0E0"}
+
+
+def _measured_map():
+    """Envelope of the outgoing track's ``MAPPED`` figures: two segments, a linear change, or none."""
+    fig = {n: F.expr(e.replace("track", "outgoing")).cast("int" if n == "mode" else "double") for n, e in MAPPED.items()}
+    dur = F.col("p_dur")
+    none = F.array().cast("array<struct<end:double,speed:double>>")
+    parts = F.array(F.struct((dur / 2).alias("end"), fig["s1"].alias("speed")), F.struct(dur.alias("end"), fig["s2"].alias("speed")))
+    return F.when(fig["mode"] < 2, F.struct(
+        fig["v0"].alias("initial"), fig["v1"].alias("mix_end"), dur.alias("hold"), F.lit(2.0).alias("ramp"),
+        F.when(fig["mode"] == 0, parts).otherwise(none).alias("segments")))
+
+
 def _simple_plan(spark, sf):
-    """A plain overlap per pair for the measuring queries: last eight seconds or the half."""
+    """An overlap per pair for the measuring queries: last eight seconds or the half, half of them with a tempo map."""
     df = P.pair_facts(playlist_pairs(spark, sf))
     df = df.withColumn("p_dur", F.least(F.lit(8.0), (F.col("o.a1") - F.col("o.a0")) / 2, (F.col("i.a1") - F.col("i.a0")) / 2))
-    df = df.withColumn("p_kind", F.when(F.col("outgoing") % 2 == 0, "beat_matched").otherwise("crossfade"))
+    df = df.withColumn("p_kind", F.when(F.col("outgoing") % 3 != 0, "beat_matched").otherwise("crossfade"))
     df = df.withColumn("p_os", F.col("o.a1") - F.col("p_dur")).withColumn("p_is", F.col("i.a0")).withColumn("p_gain", F.col("fade_gain"))
-    return M.add_curves(df.withColumn("p_env", M.steady_envelope(F.lit(None).cast("double"), F.col("p_dur"))))
+    return M.add_curves(df.withColumn("p_env", _measured_map()))
 
 
 def beat_grid(spark, sf):
@@ -310,10 +326,12 @@ def _gains(p: str) -> str:
             f"cos(least(greatest({p}, 0), 1) * pi() / 2) AS fo, sin(least(greatest({p}, 0), 1) * pi() / 2) AS fi")
 
 
-def _eq(p: str, d: str) -> str:
-    bass, pres = _s(f"least(greatest(({p}) * 2, 0), 1)"), _s(p)
+def _eq(p: str, d: str, q: str | None = None) -> str:
+    """Band gains at the progress ``p`` of the outgoing and ``q`` of the incoming track."""
+    q = q or p
+    bass, pres, bass_in, pres_in = _s(f"least(greatest(({p}) * 2, 0), 1)"), _s(p), _s(f"least(greatest(({q}) * 2, 0), 1)"), _s(q)
     bands = {"o_low": f"1 - {bass}", "o_mid": f"1 - (0.25 + {d}) * {pres}", "o_high": f"1 - (0.18 + {d} * 0.7) * {pres}",
-             "i_low": bass, "i_mid": f"(0.7 - {d}) + (0.3 + {d}) * {pres}", "i_high": f"(0.82 - {d} * 0.7) + (0.18 + {d} * 0.7) * {pres}"}
+             "i_low": bass_in, "i_mid": f"(0.7 - {d}) + (0.3 + {d}) * {pres_in}", "i_high": f"(0.82 - {d} * 0.7) + (0.18 + {d} * 0.7) * {pres_in}"}
     return ", ".join(f"least(greatest({x}, 0), 1) AS {n}" for n, x in bands.items())
 
 
@@ -325,15 +343,24 @@ _GAIN = f"""{_STEPS}, gg AS MATERIALIZED (SELECT o.track AS outgoing, i.track AS
  any_value(least(coalesce(pow(10, (o.rms - i.rms) / 20), 1), coalesce(pow(10, (-1 - i.pk) / 20), 1))) AS own FROM {_PAIR}, g WHERE k >= 1 GROUP BY 1, 2),
 gain AS MATERIALIZED (SELECT outgoing, incoming, greatest(least(own, coalesce(greatest(least(lb, 1), 0.25), 1), 1), 0.25) AS beat_gain, greatest(least(own, coalesce(greatest(least(lf, 1), 0.25), 1), 1), 0.25) AS fade_gain FROM gg)"""
 _SPAN = "CASE WHEN o.oc >= 0.65 AND i.ic >= 0.65 AND least(greatest(o.a1 - o.outro, 0), greatest(i.intro - {s}, 0)) >= 1 THEN least(greatest(o.a1 - o.outro, 0), greatest(i.intro - {s}, 0)) END"
-# a plain overlap per pair: same figures as the plan of the measuring queries
-_PLAN = f"""pl AS MATERIALIZED (SELECT o.track AS outgoing, i.track AS incoming, o, i, {_HARM} AS h, least(8, (o.a1 - o.a0) / 2, (i.a1 - i.a0) / 2) AS dur, o.track % 2 = 0 AS beat FROM {_PAIR}),
-pp AS MATERIALIZED (SELECT pl.*, o.a1 - dur AS os, i.a0 AS st, fade_gain, coalesce(least(greatest((0.5 - h) / 0.5, 0), 1) * 0.2, 0) AS duck FROM pl JOIN gain USING (outgoing, incoming)),
-e0 AS (SELECT outgoing, incoming, k, p, o, i, os, st, dur, beat, fade_gain, CASE WHEN beat THEN bo ELSE fo END AS og, CASE WHEN beat THEN bi_ ELSE fi END AS ig, {_eq('p', 'duck')} FROM pp, g),
-pt AS MATERIALIZED (SELECT *, os + dur * p AS op, st + dur * p AS ip FROM e0),
+
+
+def _se(t: str) -> str:
+    """Source time after output time ``t`` of an overlap."""
+    return (f"(CASE mode WHEN 0 THEN CASE WHEN ({t}) <= dur / 2 THEN ({t}) * s1 ELSE dur / 2 * s1 + (({t}) - dur / 2) * s2 END "
+            f"WHEN 1 THEN v0 * ({t}) + 0.5 * (v1 - v0) * ({t}) * ({t}) / dur ELSE ({t}) END)")
+
+
+_SPEEDS = ", ".join(MAPPED)
+# an overlap per pair: same figures as the plan of the measuring queries
+_PLAN = f"""pl AS MATERIALIZED (SELECT o.track AS outgoing, i.track AS incoming, o, i, {_HARM} AS h, least(8, (o.a1 - o.a0) / 2, (i.a1 - i.a0) / 2) AS dur, o.track % 3 <> 0 AS beat, {', '.join(e.replace('track', 'o.track') + ' AS ' + n for n, e in MAPPED.items())} FROM {_PAIR}),
+pp AS MATERIALIZED (SELECT pl.*, o.a1 - dur AS os, i.a0 AS st, fade_gain, coalesce(least(greatest((0.5 - h) / 0.5, 0), 1) * 0.2, 0) AS duck, {_se('dur')} AS mix FROM pl JOIN gain USING (outgoing, incoming)),
+e0 AS (SELECT outgoing, incoming, k, p, o, i, os, st, dur, {_SPEEDS}, beat, fade_gain, CASE WHEN beat THEN bo ELSE fo END AS og, CASE WHEN beat THEN bi_ ELSE fi END AS ig, {_eq('p', 'duck', f"({_se('dur * p')} / mix)")} FROM pp, g),
+pt AS MATERIALIZED (SELECT *, os + dur * p AS op, st + {_se('dur * p')} AS ip FROM e0),
 low AS (SELECT outgoing, incoming, min(o_low + i_low) AS low_min, max(o_low + i_low) AS low_max FROM pt GROUP BY 1, 2),
 dv AS (SELECT outgoing, incoming, max(CASE WHEN o.vk AND i.vk AND op BETWEEN o.a0 AND o.a1 AND ip BETWEEN i.a0 AND i.a1 THEN least(coalesce(o.er[CAST(floor(op * o.vr) AS BIGINT) + 1], 0.65) * og * least(0.7 * o_mid + 0.3 * o_high, 1),
   coalesce(i.er[CAST(floor(ip * i.vr) AS BIGINT) + 1], 0.65) * ig * fade_gain * least(0.7 * i_mid + 0.3 * i_high, 1)) END) AS dual_vocal FROM pt GROUP BY 1, 2),
-rf AS (SELECT outgoing, incoming, o.en[CAST(floor(os * o.nr) AS BIGINT) + 1] AS eo, i.en[CAST(floor((st + dur) * i.nr) AS BIGINT) + 1] * fade_gain AS ei FROM pp),
+rf AS (SELECT outgoing, incoming, o.en[CAST(floor(os * o.nr) AS BIGINT) + 1] AS eo, i.en[CAST(floor((st + mix) * i.nr) AS BIGINT) + 1] * fade_gain AS ei FROM pp),
 lv AS (SELECT outgoing, incoming, k, o.en[CAST(floor(op * o.nr) AS BIGINT) + 1] * og * least(0.35 * o_low + 0.45 * o_mid + 0.2 * o_high, 1) AS a, i.en[CAST(floor(ip * i.nr) AS BIGINT) + 1] * ig * fade_gain * least(0.35 * i_low + 0.45 * i_mid + 0.2 * i_high, 1) AS b FROM pt),
 rr AS (SELECT lv.*, sqrt(a * a + b * b) / greatest(eo, ei, 1e-6) AS r FROM lv JOIN rf USING (outgoing, incoming) WHERE a IS NOT NULL AND b IS NOT NULL AND eo IS NOT NULL AND ei IS NOT NULL),
 rs AS (SELECT *, abs(r - lag(r) OVER (PARTITION BY outgoing, incoming ORDER BY k)) AS st FROM rr),
@@ -355,7 +382,7 @@ def _cycle(side: str, s: str, e: str, beats: int) -> str:
 
 
 def _worst(n: str) -> str:
-    return f"list_max(list_transform({n}_o, lambda t: list_min(list_transform({n}_i, lambda x: abs(x - (st + t - os))))))"
+    return f"list_max(list_transform({n}_o, lambda t: list_min(list_transform({n}_i, lambda x: abs(x - (st + {_se('t - os')}))))))"
 
 
 def _wrap(oa: str, of: str, ol: str, ia: str, jf: str, il: str) -> str:
@@ -365,19 +392,20 @@ def _wrap(oa: str, of: str, ol: str, ia: str, jf: str, il: str) -> str:
 
 
 _ANCHOR = "coalesce(list_min(list_filter({s}.tm, lambda m: m >= {s}.a0)), list_min({s}.tm), {s}.fb, {s}.fd)"
-_PHASE = f"""ph0 AS MATERIALIZED (SELECT outgoing, incoming, o, i, os, st, dur, beat, h, {_beats('o', 'os', 'os + dur')} AS b_o, {_beats('i', 'st', 'st + dur')} AS b_i, {_cycle('o', 'os', 'os + dur', 4)} AS d_o, {_cycle('i', 'st', 'st + dur', 4)} AS d_i,
- {_cycle('o', 'os', 'os + dur', 16)} AS p_o, {_cycle('i', 'st', 'st + dur', 16)} AS p_i, list_filter(i.tm, lambda m: m >= st AND m <= st + dur) AS im,
+_PHASE = f"""ph0 AS MATERIALIZED (SELECT outgoing, incoming, o, i, os, st, dur, mix, {_SPEEDS}, beat, h, {_beats('o', 'os', 'os + dur')} AS b_o, {_beats('i', 'st', 'st + mix')} AS b_i, {_cycle('o', 'os', 'os + dur', 4)} AS d_o, {_cycle('i', 'st', 'st + mix', 4)} AS d_i,
+ {_cycle('o', 'os', 'os + dur', 16)} AS p_o, {_cycle('i', 'st', 'st + mix', 16)} AS p_i, list_filter(i.tm, lambda m: m >= st AND m <= st + mix) AS im,
  list_sort(list_transform(list_filter(o.tm, lambda m: m >= os AND m <= os + dur), lambda m: {{'d': abs(m - os - dur), 'm': m}}))[1] AS cl FROM pp),
 ph AS MATERIALIZED (SELECT outgoing, incoming, CAST(CASE WHEN len(b_i) > 0 THEN len(b_o) ELSE 0 END AS INTEGER) AS beat_pairs, {_worst('b')} AS beat_error,
- CASE WHEN len(im) > 0 AND cl.d <= coalesce(o.bi / 2, 0.035) THEN list_min(list_transform(im, lambda m: abs(m - (st + cl.m - os)))) WHEN o.bc >= 0.35 AND i.bc >= 0.35 THEN {_wrap('(os + dur)', _ANCHOR.format(s='o'), 'o.bi', '(st + dur)', _ANCHOR.format(s='i'), 'i.bi')} END AS beat_handoff,
- CAST(CASE WHEN len(d_i) > 0 THEN len(d_o) ELSE 0 END AS INTEGER) AS downbeat_pairs, {_worst('d')} AS downbeat_error, CASE WHEN o.barred AND i.barred THEN {_wrap('(os + dur)', 'o.fd', '(o.bi * 4)', '(st + dur)', 'i.fd', '(i.bi * 4)')} END AS downbeat_handoff,
- CAST(CASE WHEN len(p_i) > 0 THEN len(p_o) ELSE 0 END AS INTEGER) AS phrase_pairs, {_worst('p')} AS phrase_error, CASE WHEN o.barred AND i.barred THEN {_wrap('(os + dur)', 'o.fd', '(o.bi * 16)', '(st + dur)', 'i.fd', '(i.bi * 16)')} END AS phrase_handoff,
+ CASE WHEN len(im) > 0 AND cl.d <= coalesce(o.bi / 2, 0.035) THEN list_min(list_transform(im, lambda m: abs(m - (st + {_se('cl.m - os')})))) WHEN o.bc >= 0.35 AND i.bc >= 0.35 THEN {_wrap('(os + dur)', _ANCHOR.format(s='o'), 'o.bi', '(st + mix)', _ANCHOR.format(s='i'), 'i.bi')} END AS beat_handoff,
+ CAST(CASE WHEN len(d_i) > 0 THEN len(d_o) ELSE 0 END AS INTEGER) AS downbeat_pairs, {_worst('d')} AS downbeat_error, CASE WHEN o.barred AND i.barred THEN {_wrap('(os + dur)', 'o.fd', '(o.bi * 4)', '(st + mix)', 'i.fd', '(i.bi * 4)')} END AS downbeat_handoff,
+ CAST(CASE WHEN len(p_i) > 0 THEN len(p_o) ELSE 0 END AS INTEGER) AS phrase_pairs, {_worst('p')} AS phrase_error, CASE WHEN o.barred AND i.barred THEN {_wrap('(os + dur)', 'o.fd', '(o.bi * 16)', '(st + mix)', 'i.fd', '(i.bi * 16)')} END AS phrase_handoff,
  {', '.join(f"coalesce(o.barred AND i.barred AND dur >= least(o.bi, i.bi) * {2 * b} AND {_wrap('os', 'o.fd', f'(o.bi * {4 * b})', 'st', 'i.fd', f'(i.bi * {4 * b})')} <= 0.15, false) AS s{b}" for b in (16, 8, 4))},
  coalesce(o.fd IS NOT NULL AND i.fd IS NOT NULL AND o.bc > 0 AND i.bc > 0 AND dur >= least(o.bi, i.bi) * 8, false) AS act FROM ph0)"""
 _BASE = f"WITH {_T}, {_GAIN}, {_PLAN}, {_PHASE}"
-_QUALITY = f"""{_BASE}, q0 AS (SELECT outgoing, incoming, o, i, os, dur, st, h, beat, fade_gain, {_SPAN.format(s='i.a0')} AS span FROM pp),
+_QUALITY = f"""{_BASE}, q0 AS (SELECT outgoing, incoming, o, i, os, dur, st, mix, {_SPEEDS}, h, beat, fade_gain,
+ CASE mode WHEN 0 THEN greatest(abs(s1 - v0), abs(s2 - s1), abs(v1 - s2)) WHEN 1 THEN abs(v1 - v0) END AS tempo_step, {_SPAN.format(s='i.a0')} AS span FROM pp),
 q AS MATERIALIZED (SELECT *, CASE WHEN span IS NOT NULL THEN least(dur / span, 1) END AS structure_ratio, CASE WHEN beat THEN CASE WHEN s16 THEN 16 WHEN s8 THEN 8 WHEN s4 THEN 4 END END AS phrase_bars FROM q0 JOIN low USING (outgoing, incoming) JOIN dv USING (outgoing, incoming) JOIN en USING (outgoing, incoming) JOIN ph USING (outgoing, incoming)),
-iss AS (SELECT *, list_filter([CASE WHEN dur < 1 THEN 'mix_overlap_too_short' END, CASE WHEN st + dur > i.a1 + 0.02 THEN 'incoming_overlap_exceeds_audible_end' END, CASE WHEN low_min < 0.85 THEN 'low_handoff_dip' END,
+iss AS (SELECT *, list_filter([CASE WHEN dur < 1 THEN 'mix_overlap_too_short' END, CASE WHEN st + mix > i.a1 + 0.02 THEN 'incoming_overlap_exceeds_audible_end' END, CASE WHEN low_min < 0.85 THEN 'low_handoff_dip' END,
  CASE WHEN low_max > 1.15 THEN 'low_handoff_build_up' END, CASE WHEN dual_vocal > 0.58 THEN 'dual_vocal_overlap_too_high' END, CASE WHEN beat AND beat_error IS NULL THEN 'beat_phase_unverified' END,
  CASE WHEN beat AND beat_error > 0.035 THEN 'beat_phase_drift_too_large' END, CASE WHEN beat AND beat_handoff > 0.035 THEN 'beat_handoff_phase_drift_too_large' END, CASE WHEN beat AND downbeat_error > 0.07 THEN 'downbeat_phase_drift_too_large' END,
  CASE WHEN beat AND downbeat_handoff > 0.07 THEN 'downbeat_handoff_phase_drift_too_large' END, CASE WHEN beat AND act AND phrase_error > 0.15 THEN 'phrase_phase_drift_too_large' END,
@@ -397,7 +425,7 @@ _PEN = {
     "energy_step": "CASE WHEN energy_step IS NULL THEN 0 ELSE greatest(energy_step - 0.12, 0) * 2 END",
     "handoff_energy": "CASE WHEN handoff_ratio IS NULL THEN 0 ELSE greatest(0.85 - handoff_ratio, 0) * 3 + greatest(handoff_ratio - 1.15, 0) * 2 END",
     "handoff_ownership": f"CASE WHEN handoff_share IS NULL THEN 0 ELSE greatest(0.7 + {_CLASH} * 0.1 - handoff_share, 0) * (1.5 + {_CLASH}) END",
-    "tempo_smoothness": "0",
+    "tempo_smoothness": "CASE WHEN tempo_step IS NULL THEN 0 ELSE greatest(tempo_step - 0.015, 0) * 8 END",
     "phrase_strength": "CASE phrase_bars WHEN 16 THEN 0.0 WHEN 8 THEN 0.04 WHEN 4 THEN 0.10 ELSE 0.16 END",
     "structure_usage": "CASE WHEN structure_ratio IS NULL THEN 0 ELSE greatest(0.7 - structure_ratio, 0) * 0.12 END",
     "harmonic_overlap": f"greatest(dur - 4, 0) * 0.04 * {_CLASH}",
@@ -506,7 +534,7 @@ SELECT event_id, round(bo, 6) + 0.0 AS beat_out, round(bi_, 6) + 0.0 AS beat_in,
     "energy_continuity": f"""{_BASE} SELECT outgoing, incoming, energy_samples, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('energy_min', 'energy_max', 'energy_step', 'handoff_ratio', 'handoff_share'))} FROM en""",
     "phase_errors": f"""{_BASE} SELECT outgoing, incoming, beat_pairs, downbeat_pairs, phrase_pairs, {', '.join(f'CAST(floor({n}_{c} * 1000000 + 0.37) AS BIGINT) AS {n}_{c}' for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))} FROM ph""",
     "quality_report": f"""{_QUALITY} SELECT outgoing, incoming, CASE WHEN beat THEN 'beat_matched' ELSE 'crossfade' END AS p_kind, {', '.join(f'CAST(CASE WHEN beat THEN {n}_pairs ELSE 0 END AS INTEGER) AS {n}_pairs' for n in ('beat', 'downbeat', 'phrase'))},
- {', '.join(_b5(f'{n}_{c}') for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))}, phrase_bars, energy_samples, CAST(NULL AS DOUBLE) AS tempo_step,
+ {', '.join(_b5(f'{n}_{c}') for n in ('beat', 'downbeat', 'phrase') for c in ('error', 'handoff'))}, phrase_bars, energy_samples, round(tempo_step, 6) + 0.0 AS tempo_step,
  {', '.join(_R5.format(x=x) for x in ('structure_ratio', 'low_min', 'low_max', 'dual_vocal', 'energy_min', 'energy_max', 'energy_step', 'handoff_ratio', 'handoff_share'))},
  array_to_string(issues, ',') AS issues, len(list_filter(issues, lambda x: x NOT IN ('low_handoff_dip', 'low_handoff_build_up'))) > 0 AS blocked FROM iss""",
     "transition_score": f"""{_QUALITY}, pen AS (SELECT outgoing, incoming, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in _PEN.items())} FROM q)
