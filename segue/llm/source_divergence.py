@@ -122,6 +122,7 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TE
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     kept = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / term_block)))
     place = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1
+    kept = kept.repartition("lang", "block")  # else the join's partitions by lang would do, one task for all terms of one
     kept = stored(kept.withColumn("at", place), "divergence-kept")
     own = counts.where("term IS NOT NULL").drop("docs").join(kept, ["lang", "term"])
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
