@@ -145,7 +145,8 @@ def tempo_map(spark, sf):
     df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("quarter")).withColumn("t", F.col("p_dur") * F.col("quarter") / 4)
     df = df.withColumn("source_s", M.source_elapsed(F.col("env"), F.col("t")))
     df = df.withColumn("back_s", M.output_elapsed(F.col("env"), F.col("source_s")))
-    return rounded(df.select(*KEYS, "quarter", "ratio", F.col("env_speed").alias("speed"), F.size("env.segments").alias("segments"), "t", "source_s", "back_s"))
+    times = [F.floor(F.col(c) * 1000000 + 0.37).alias(n) for c, n in (("t", "output_us"), ("source_s", "source_us"), ("back_s", "back_us"))]
+    return rounded(df.select(*KEYS, "quarter", "ratio", F.col("env_speed").alias("speed"), F.coalesce(F.size("env.segments"), F.lit(0)).alias("segments"), *times))
 
 
 def gain_curves(spark, sf):
@@ -482,7 +483,47 @@ def _sched(pref: int) -> str:
 s1 AS (SELECT *, outgoing_us - fade AS tr, CASE WHEN after <= 60000000 THEN least(after, 500000) ELSE after - 60000000 END AS ev FROM s0)"""
 
 
+_STARTS = f"""a AS (SELECT *, CASE WHEN dc >= 0.25 AND fd >= a0 AND fd - a0 <= 0.1 AND (nm = 0 OR len(list_filter(tm, lambda m: abs(m - fd) <= 0.035)) > 0) THEN fd END AS d1, CASE WHEN dc >= 0.25 AND fd >= a0 AND fd - a0 <= 8 AND (nm = 0 OR len(list_filter(tm, lambda m: abs(m - fd) <= 0.035)) > 0) THEN fd END AS d8,
+ list_min(list_filter(tm, lambda m: m >= a0 AND m - a0 <= 0.1)) AS m1, list_min(list_filter(tm, lambda m: m >= a0 AND m - a0 <= 8)) AS m8 FROM v),
+c AS (SELECT track, 0 AS n, coalesce(d1, m1, fb) AS x FROM a UNION ALL SELECT track, 1, list_sort(list_transform(list_filter(tm, lambda m: m >= a0 AND m < a1 AND abs(m - intro) <= greatest(coalesce(15 / bpm, 0.1), 0.12)), lambda m: {{'d': abs(m - intro), 'm': m}}))[1].m FROM a WHERE ic >= 0.65 AND intro > a0 AND intro < a1 AND intro - a0 <= 16
+ UNION ALL SELECT track, 2, coalesce(d8, m8, fb) FROM a),
+k AS (SELECT c.*, a0, a1, vk, CASE WHEN vk AND x > a0 THEN list_max(er[CAST(floor(a0 * vr) AS BIGINT) + 1:CAST(ceil(x * vr) AS BIGINT)]) END AS risk,
+ list_avg(list_transform(range(12), lambda q: en[CAST(floor((a0 + (x - a0) * (q + 0.5) / 12) * nr) AS BIGINT) + 1])) AS bef, list_avg(list_transform(range(8), lambda q: en[CAST(floor((x + (least(a1, x + 2) - x) * (q + 0.5) / 8) * nr) AS BIGINT) + 1])) AS aft FROM c JOIN v USING (track) WHERE x IS NOT NULL),
+f AS (SELECT DISTINCT track, x FROM k WHERE CASE n WHEN 0 THEN x >= a0 AND x - a0 <= 0.1 AND NOT coalesce(risk >= 0.58, false) ELSE x > a0 AND x < a1 AND x - a0 <= CASE n WHEN 1 THEN 16 ELSE 8 END AND risk <= 0.2 AND aft > 1e-6 AND bef <= aft * CASE n WHEN 1 THEN 0.55 ELSE 0.45 END END)"""
+_TRUST = "list_filter({part}, lambda x: x.{c} >= 0.35)"
+_TEMPO_MAP = f"""
+WITH RECURSIVE {_T}, {_STARTS},
+mz AS (SELECT track, list_transform(range(len(markers)), lambda k: {{'t': markers[k + 1] / 1000000, 'c': coalesce(marker_conf[k + 1], beat_confidence)}}) AS mk FROM ({TRACK_CATALOG_SQL})),
+p0 AS (SELECT o.track AS outgoing, i.track AS incoming, o, i, o.bpm / i.bpm AS r FROM {_PAIR} WHERE o.sure AND i.sure),
+p1 AS (SELECT *, CASE WHEN abs(r - 1) <= abs(r * 2 - 1) AND abs(r - 1) <= abs(r * 0.5 - 1) THEN r WHEN abs(r * 2 - 1) <= abs(r * 0.5 - 1) THEN r * 2 ELSE r * 0.5 END AS ratio FROM p0),
+p2 AS (SELECT *, greatest(coalesce({_nearest('(o.a1 - 8)', '(o.a1 - 8)')}, o.a1 - 8), o.a0) AS os, coalesce((SELECT min(x) FROM f WHERE f.track = p1.incoming), i.a0) AS st,
+ greatest(coalesce(15 / i.bpm, 0.1), 0.035) AS reach FROM p1 WHERE abs(ratio - 1) <= 0.06),
+p3 AS MATERIALIZED (SELECT outgoing, incoming, ratio, os, st, reach, o.a1 - os AS dur, 240 / coalesce(o.bpm, 120) AS ramp,
+ list_filter(a.mk, lambda m: m.t >= os AND m.t <= o.a1) AS ob, list_filter(b.mk, lambda m: m.t >= st AND m.t <= st + (o.a1 - os) * ratio + reach) AS ib
+ FROM p2 JOIN mz a ON a.track = outgoing JOIN mz b ON b.track = incoming),
+w AS (SELECT outgoing, incoming, ratio, os, st, reach, ob, ib, 0 AS n, CAST(0 AS BIGINT) AS nx, CAST([] AS STRUCT(o DOUBLE, oc DOUBLE, s DOUBLE, sc DOUBLE)[]) AS ps FROM p3 WHERE len(ob) >= 5
+ UNION ALL SELECT outgoing, incoming, ratio, os, st, reach, ob, ib, n + 1, CASE WHEN c.d <= reach THEN c.k + 1 ELSE nx END,
+ CASE WHEN c.d <= reach THEN list_append(ps, {{'o': ob[n + 1].t, 'oc': ob[n + 1].c, 's': ib[c.k + 1].t, 'sc': ib[c.k + 1].c}}) ELSE ps END
+ FROM (SELECT *, list_sort(list_transform(range(nx, len(ib)), lambda k: {{'d': abs(ib[k + 1].t - (st + (ob[n + 1].t - os) * ratio)), 'k': k}}))[1] AS c FROM w WHERE n < len(ob))),
+pr AS (SELECT outgoing, incoming, ps, CAST(ceil((len(ps) - 1) / 4) AS BIGINT) AS cnt FROM w WHERE n = len(ob) AND len(ps) >= 5 AND abs(ob[1].t - os) <= 0.03 AND abs(ps[1].s - st) <= 0.03),
+ok AS (SELECT * FROM pr WHERE len(list_filter(range(cnt), lambda k: ps[k * 4 + 1].o >= ps[least(k * 4 + 4, len(ps) - 1) + 1].o)) = 0),
+sg AS (SELECT ok.outgoing, ok.incoming, ps, cnt, ratio, os, st, 0 AS k, CAST(0 AS DOUBLE) AS src, CAST([] AS STRUCT(e DOUBLE, v DOUBLE)[]) AS sgs FROM ok JOIN p3 ON p3.outgoing = ok.outgoing
+ UNION ALL SELECT outgoing, incoming, ps, cnt, ratio, os, st, k + 1, src + (q.o - p.o) * v, list_append(sgs, {{'e': q.o - os, 'v': v}}) FROM
+ (SELECT *, CASE WHEN len({_TRUST.format(part='part', c='oc')}) >= 3 AND len({_TRUST.format(part='part', c='sc')}) >= 3 AND p.oc >= 0.35 AND q.oc >= 0.35 AND p.sc >= 0.35 AND q.sc >= 0.35
+   AND abs((q.s - st - src) / (q.o - p.o) - 1) <= 0.06 THEN (q.s - st - src) / (q.o - p.o) ELSE ratio END AS v FROM
+  (SELECT *, ps[k * 4 + 1] AS p, ps[least(k * 4 + 4, len(ps) - 1) + 1] AS q, ps[k * 4 + 1:least(k * 4 + 4, len(ps) - 1) + 1] AS part FROM sg WHERE k < cnt))),
+ev AS (SELECT p3.outgoing, p3.incoming, p3.ratio, dur, ramp, coalesce(sgs, []) AS sgs, coalesce(sgs[1].v, p3.ratio) AS v0, coalesce(sgs[-1].v, p3.ratio) AS v1 FROM p3 LEFT JOIN (SELECT * FROM sg WHERE k = cnt) s ON s.outgoing = p3.outgoing),
+en AS (SELECT *, abs(v0 - 1) > 0.001 OR abs(v1 - 1) > 0.001 OR len(list_filter(sgs, lambda s: abs(s.v - 1) > 0.001)) > 0 AS needed FROM ev),
+qs AS (SELECT *, dur * quarter / 4 AS t, least(dur * quarter / 4, dur) AS h FROM en, range(7) g(quarter)),
+sq AS (SELECT *, {{x}} AS held FROM qs),
+fin AS (SELECT *, CASE WHEN NOT needed THEN t WHEN t <= dur THEN held WHEN t - dur < ramp THEN held + v1 * (t - dur) + 0.5 * (1 - v1) * (t - dur) ** 2 / ramp ELSE held + ramp * (v1 + 1) * 0.5 + (t - dur - ramp) END AS source_s FROM sq)
+SELECT outgoing, incoming, CAST(quarter AS INTEGER) AS quarter, round(ratio, 6) + 0.0 AS ratio, round(v0, 6) + 0.0 AS speed, CAST(CASE WHEN needed THEN len(sgs) ELSE 0 END AS INTEGER) AS segments,
+ CAST(floor(t * 1000000 + 0.37) AS BIGINT) AS output_us, CAST(floor(source_s * 1000000 + 0.37) AS BIGINT) AS source_us, CAST(floor(t * 1000000 + 0.37) AS BIGINT) AS back_us FROM fin""".replace(
+    "{x}", "CASE WHEN len(sgs) > 0 THEN list_sum(list_transform(range(1, len(sgs) + 1), lambda j: greatest(least(sgs[j].e, h) - CASE WHEN j > 1 THEN sgs[j - 1].e ELSE 0 END, 0) * sgs[j].v)) "
+    "+ greatest(h - sgs[-1].e, 0) * v1 ELSE v0 * h + 0.5 * (v1 - v0) * h * h / dur END")
+
 ORACLES = {
+    "tempo_map": _TEMPO_MAP,
     "adjacent_transitions": f"""
 WITH {_T}, q1 AS (SELECT listener, pos, track AS outgoing, lead(track) OVER (PARTITION BY listener ORDER BY pos) AS incoming FROM ({LISTENER_QUEUE_SQL})),
 p AS (SELECT listener, pos, outgoing, incoming, CASE WHEN o.track IS NULL THEN 'outgoing analysis unavailable' WHEN i.track IS NULL THEN 'incoming analysis unavailable' END AS error,
@@ -513,13 +554,7 @@ SELECT outgoing, incoming, round(span, 6) + 0.0 AS span, round(CASE WHEN span IS
     "vocal_overlap_limit": f"""
 WITH {_T} SELECT {_K}, round(CASE WHEN NOT o.vk OR NOT i.vk THEN 2.0 WHEN o.vl IS NULL OR i.vf IS NULL THEN 8.0 ELSE least(8, least(greatest(o.a1 - o.vl, 0), 8) + greatest(i.vf - i.a0, 0)) END, 6) AS limit_s FROM {_PAIR}""",
     "safe_incoming_starts": f"""
-WITH {_T}, a AS (SELECT *, CASE WHEN dc >= 0.25 AND fd >= a0 AND fd - a0 <= 0.1 AND (nm = 0 OR len(list_filter(tm, lambda m: abs(m - fd) <= 0.035)) > 0) THEN fd END AS d1, CASE WHEN dc >= 0.25 AND fd >= a0 AND fd - a0 <= 8 AND (nm = 0 OR len(list_filter(tm, lambda m: abs(m - fd) <= 0.035)) > 0) THEN fd END AS d8,
- list_min(list_filter(tm, lambda m: m >= a0 AND m - a0 <= 0.1)) AS m1, list_min(list_filter(tm, lambda m: m >= a0 AND m - a0 <= 8)) AS m8 FROM v),
-c AS (SELECT track, 0 AS n, coalesce(d1, m1, fb) AS x FROM a UNION ALL SELECT track, 1, list_sort(list_transform(list_filter(tm, lambda m: m >= a0 AND m < a1 AND abs(m - intro) <= greatest(coalesce(15 / bpm, 0.1), 0.12)), lambda m: {{'d': abs(m - intro), 'm': m}}))[1].m FROM a WHERE ic >= 0.65 AND intro > a0 AND intro < a1 AND intro - a0 <= 16
- UNION ALL SELECT track, 2, coalesce(d8, m8, fb) FROM a),
-k AS (SELECT c.*, a0, a1, vk, CASE WHEN vk AND x > a0 THEN list_max(er[CAST(floor(a0 * vr) AS BIGINT) + 1:CAST(ceil(x * vr) AS BIGINT)]) END AS risk,
- list_avg(list_transform(range(12), lambda q: en[CAST(floor((a0 + (x - a0) * (q + 0.5) / 12) * nr) AS BIGINT) + 1])) AS bef, list_avg(list_transform(range(8), lambda q: en[CAST(floor((x + (least(a1, x + 2) - x) * (q + 0.5) / 8) * nr) AS BIGINT) + 1])) AS aft FROM c JOIN v USING (track) WHERE x IS NOT NULL),
-f AS (SELECT DISTINCT track, x FROM k WHERE CASE n WHEN 0 THEN x >= a0 AND x - a0 <= 0.1 AND NOT coalesce(risk >= 0.58, false) ELSE x > a0 AND x < a1 AND x - a0 <= CASE n WHEN 1 THEN 16 ELSE 8 END AND risk <= 0.2 AND aft > 1e-6 AND bef <= aft * CASE n WHEN 1 THEN 0.55 ELSE 0.45 END END)
+WITH {_T}, {_STARTS}
 SELECT track, CAST(row_number() OVER (PARTITION BY track ORDER BY x) - 1 AS INTEGER) AS pos, round(x, 6) + 0.0 AS start_s FROM f""",
     "align_to_grid": f"""
 WITH {_T}, p AS (SELECT {_K}, o, i, o.a1 - 8 AS x, i.a0 AS st FROM {_PAIR}), g AS (SELECT *, {_grid(False)} AS g0, {_grid(True)} AS g1, {_CUE} AS cue FROM p),
