@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue import rules
-from segue.functions.fold import ordered_fold
+from segue.functions.fold import fold_from, ordered_fold
 from segue.functions.ordered import Floored, Running, Shifted, SinceReset, row_index, scan
 from segue.operators.urls import truncate_text
 from segue.session import cut_lineage
@@ -64,9 +64,75 @@ ADMISSION_START = {"queued": 0, "playing": False, "pending": []}
 
 def admit_requests(log: DataFrame, guild: str, chunk: str, order: list[str], max_queue: int = rules.MAX_QUEUE,
                    max_pending: int = rules.MAX_PENDING) -> DataFrame:
-    """log(guild, id, kind in request/resolve/advance, ok) with a ``verdict`` per row."""
-    return ordered_fold(log, [guild], chunk, order, admission_step(max_queue, max_pending), ADMISSION_START,
-                        "verdict", "string")
+    """log(guild, id, kind in request/resolve/advance, ok) with a ``verdict`` per row.
+
+    Were every request admitted, pending requests would be a running sum and the tracks present one floored at zero, both
+    scanned in chunks. These bound the true state from above, so a request that fits them is admitted; leaving out all others
+    bounds it from below. Where both bounds are equal the state is known. Verdicts there are read off; only the stretches
+    between, which start where a cap binds and end where the bounds meet again, are folded row by row, each by itself from
+    its known start. A stretch in which a cap goes on binding is one stream. Guilds that request an id twice are folded whole.
+    """
+    place, kind = F.struct(chunk, *order), F.col("kind")
+    columns = log.columns
+    asks = log.where(kind == "request").groupBy(guild, "id").agg(F.count(F.lit(1)).alias("_asks"), F.min(place).alias("_asked"))
+    answers = log.where(kind == "resolve").select(guild, "id", place.alias("_at")).join(asks, [guild, "id"]).where(
+        F.col("_at") > F.col("_asked")).groupBy(guild, "id").agg(F.min("_at").alias("_answered"))
+    asks = cut_lineage(asks.join(answers, [guild, "id"], "left"))
+    odd = asks.where("_asks > 1").select(F.col(guild).alias("_odd")).distinct()
+    known_ids = asks.select(F.col(guild).alias("_g"), F.col("id").alias("_i"), "_answered")
+    df = log.join(odd, F.col(guild).eqNullSafe(F.col("_odd")), "left_anti")
+    df = df.join(known_ids, (F.col(guild) == F.col("_g")) & (F.col("id") == F.col("_i")), "left").drop("_g", "_i")
+
+    def number(hit: Column) -> Column:
+        return F.coalesce(hit, F.lit(False)).cast("long")
+
+    df = df.withColumn("_valid", F.coalesce((kind == "resolve") & (F.col("_answered") == place), F.lit(False))).drop("_answered")
+    df = df.withColumn("_joins", number(F.col("_valid") & F.col("ok")) - number(kind == "advance"))
+    df = scan(cut_lineage(df), [guild], [chunk], order, _pending=Running(number(kind == "request") - number(F.col("_valid")), before=True),
+              _present=Floored(F.col("_joins")))
+    df = scan(cut_lineage(df), [guild], [chunk], order, _had=Shifted(F.col("_present"), -1)).withColumn("_had", F.coalesce("_had", F.lit(0)))
+    queued = F.greatest(F.col("_had") - 1, F.lit(0))
+    full = (kind == "request") & ((F.col("_pending") >= max_pending) | (queued + F.col("_pending") >= max_queue))
+    df = cut_lineage(df.withColumn("_full", full))
+
+    # the lower bound: without the requests that did not fit
+    doubted = df.where("_full").select(F.col(guild).alias("_g"), F.col("id").alias("_i"), F.lit(True).alias("_doubt"))
+    df = df.join(doubted, (F.col(guild) == F.col("_g")) & (F.col("id") == F.col("_i")), "left").drop("_g", "_i")
+    doubt = F.coalesce(F.col("_doubt"), F.lit(False))
+    df = df.withColumn("_sure", F.when(doubt & F.col("_valid"), 0).otherwise(F.col("_joins")).cast("long"))
+    df = scan(df, [guild], [chunk], order, _open=Running(number(F.col("_full")) - number(doubt & F.col("_valid"))), _least=Floored(F.col("_sure")))
+    df = df.withColumn("_known", (F.col("_open") == 0) & (F.col("_present") == F.col("_least"))).drop("_doubt", "_sure", "_least", "_open")
+    df = scan(cut_lineage(df), [guild], [chunk], order, _was=Shifted(F.col("_known"), -1)).withColumn("_was", F.coalesce("_was", F.lit(True)))
+    df = df.withColumn("_starts", F.col("_was") & ~F.col("_known"))
+    df = cut_lineage(scan(df, [guild], [chunk], order, _stretch=Running(F.col("_starts").cast("long"))))
+    within = ~F.col("_was") | ~F.col("_known")
+
+    playing = F.col("_had") > 0
+    verdict = (F.when(kind == "request", "admitted")
+               .when(kind == "resolve", F.when(~F.col("_valid"), "unknown").when(~F.col("ok"), "failed")
+                     .when(playing, "queued").otherwise("started"))
+               .when(kind == "advance", F.when(F.col("_had") > 1, "advanced").otherwise("idle")))
+    clear = df.where(~within).select(*columns, verdict.alias("verdict"))
+
+    # what is pending where a stretch starts: admitted before it, answered in it or later
+    last = df.groupBy(guild).agg(F.max("_stretch").alias("_last"))
+    asked = df.where((kind == "request") & ~F.col("_full")).select(guild, "id", F.col("_stretch").alias("_from"))
+    answered = df.where("_valid").select(F.col(guild).alias("_g"), F.col("id").alias("_i"), F.col("_stretch").alias("_to"))
+    spans = asked.join(answered, (F.col(guild) == F.col("_g")) & (F.col("id") == F.col("_i")), "left").drop("_g", "_i").join(last, guild)
+    spans = spans.withColumn("_to", F.coalesce("_to", "_last")).where("_to > _from")
+    held = spans.select(guild, "id", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_stretch"))
+    held = held.groupBy(guild, "_stretch").agg(F.sort_array(F.collect_list("id")).alias("_ids"))  # at most max_pending
+    states = df.where("_starts").select(guild, "_stretch", "_had").join(held, [guild, "_stretch"], "left").select(
+        guild, "_stretch", F.to_json(F.struct(
+            F.greatest(F.col("_had") - 1, F.lit(0)).alias("queued"), (F.col("_had") > 0).alias("playing"),
+            F.coalesce("_ids", F.array().cast("array<bigint>")).alias("pending"))).alias("_in"))
+    folded = fold_from(df.where(within).select(*columns, "_stretch"), [guild, "_stretch"], [chunk, *order], states,
+                       admission_step(max_queue, max_pending), "verdict", "string").drop("_stretch")
+    out = clear.unionByName(folded)
+    if odd.isEmpty():
+        return out
+    rest = log.join(odd, F.col(guild).eqNullSafe(F.col("_odd")), "left_semi")
+    return out.unionByName(ordered_fold(rest, [guild], chunk, order, admission_step(max_queue, max_pending), ADMISSION_START, "verdict", "string"))
 
 
 def replay_queue(log: DataFrame, guild: str, chunk: list[str], order: list[str], action: str = "action",
