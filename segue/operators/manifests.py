@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segue import rules
 from segue.functions import urls as U
-from segue.functions.fold import ordered_fold
+from segue.functions.fold import fold_from
 from segue.functions.ordered import Running, SinceReset, scan
 from segue.operators.urls import validate_playback_targets
 from segue.session import cut_lineage
@@ -145,17 +145,57 @@ def dedupe_segments(df: DataFrame, stream: str, chunk: str, order: list[str],
     """Rows whose URL is not among the last ``capacity`` distinct inserted URLs of the stream.
 
     A stream with at most ``capacity`` distinct URLs never forgets one: its fresh rows are first occurrences, found by
-    a map-side ``min``. Only other streams are folded.
+    a map-side ``min``. Only other streams are folded, in pieces between restart points (``_restarts``).
     """
     place = F.struct(chunk, *order)
-    firsts = df.groupBy(stream, "url").agg(F.min(place).alias("_first"))
+    firsts = cut_lineage(df.groupBy(stream, "url").agg(F.min(place).alias("_first")))
     wide = firsts.groupBy(stream).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > capacity).select(stream)
     named = firsts.select(F.col(stream).alias("_s"), F.col("url").alias("_u"), "_first")
-    narrow = df.join(wide, stream, "left_anti").join(named, F.col(stream).eqNullSafe(F.col("_s")) & F.col("url").eqNullSafe(F.col("_u")))
+    same = F.col(stream).eqNullSafe(F.col("_s")) & F.col("url").eqNullSafe(F.col("_u"))
+    narrow = df.join(wide, stream, "left_anti").join(named, same)
     first_rows = narrow.where(place == F.col("_first")).select(*df.columns)
-    df = df.join(wide, stream, "left_semi").select(*df.columns)
-    flagged = ordered_fold(df, [stream], chunk, order, recent_links_step(capacity), {"urls": []}, "_fresh", "boolean")
-    return first_rows.unionByName(flagged.where("_fresh").drop("_fresh"))
+    columns = df.columns
+    rows = df.join(wide, stream, "left_semi").select(*columns).join(named, same).withColumn("_new", F.col("_first") == place)
+    rows = rows.select(*columns, "_first", "_new")
+    counted = cut_lineage(scan(rows, [stream], [chunk], order, _c=Running(F.col("_new").cast("long"))))
+    starts, states = _restarts(counted, stream, capacity)
+    marked = counted.join(starts.select(stream, "_c", F.lit(True).alias("_cut")), [stream, "_c"], "left")
+    marked = marked.withColumn("_cut", F.coalesce(F.col("_cut") & F.col("_new"), F.lit(False)).cast("long"))
+    pieces = cut_lineage(scan(marked, [stream], [chunk], order, _piece=Running(F.col("_cut"), before=True)).select(*columns, "_piece"))
+    flagged = fold_from(pieces, [stream, "_piece"], [chunk, *order], states, recent_links_step(capacity), "_fresh", "boolean")
+    return first_rows.unionByName(flagged.where("_fresh").select(*columns))
+
+
+def _restarts(counted: DataFrame, stream: str, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """Where the memory is known whatever was before: (stream, _c), and the start state of every piece (stream, _piece, _in).
+
+    counted(stream, url, _first, _new, _c): ``_c`` numbers the first occurrences so far. Let x be such a number. If no row
+    after first occurrence x repeats a URL from before it until ``capacity`` more have come, all that was inserted in between
+    are these first occurrences, so they are the memory. A row at number c that repeats the URL of number k rules out every x
+    from max(k, c - capacity) to c. What no row rules out is found by a running sum over the ends of these ranges.
+    """
+    block = 4 * capacity
+    numbers = counted.where("_new").select(stream, "url", F.col("_c").alias("_k"))
+    seen = counted.where("NOT _new").select(F.col(stream).alias("_s"), F.col("url").alias("_u"), "_c")
+    again = seen.join(numbers, F.col(stream).eqNullSafe(F.col("_s")) & F.col("url").eqNullSafe(F.col("_u")))
+    ends = again.select(stream, F.explode(F.array(
+        F.struct(F.greatest("_k", F.col("_c") - capacity).alias("_x"), F.lit(1).cast("long").alias("_d")),
+        F.struct((F.col("_c") + 1).alias("_x"), F.lit(-1).cast("long").alias("_d")))).alias("e")).select(stream, "e.*")
+    points = ends.unionByName(numbers.select(stream, F.col("_k").alias("_x"), F.lit(0).cast("long").alias("_d")))
+    points = points.groupBy(stream, "_x").agg(F.sum("_d").alias("_d")).withColumn("_b", F.expr(f"_x div {block}"))
+    covered = scan(cut_lineage(points), [stream], ["_b"], ["_x"], _over=Running(F.col("_d")))
+    last = numbers.groupBy(stream).agg(F.max("_k").alias("_last"))
+    free = covered.where("_over = 0").groupBy(stream, "_b").agg(F.min("_x").alias("_x")).join(last, stream)
+    free = free.where(F.col("_x") + capacity <= F.col("_last"))
+    # piece numbers count the restarts so far; there is one in ``block`` first occurrences at most
+    free = cut_lineage(scan(free.withColumn("_far", F.expr("_b div 4096")), [stream], ["_far"], ["_x"], _piece=Running(F.lit(1).cast("long"))))
+    near = numbers.select(stream, "url", "_k", F.explode(F.array_distinct(F.array(
+        F.expr(f"(_k - 1) div {block}"), F.expr(f"greatest(_k - {capacity}, 0) div {block}")))).alias("_b"))
+    kept = near.join(free.select(stream, "_b", "_x", "_piece"), [stream, "_b"]).where((F.col("_k") > F.col("_x")) & (F.col("_k") <= F.col("_x") + capacity))
+    urls = kept.groupBy(stream, "_piece").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "url"))), lambda m: m["url"]).alias("urls"))
+    none = counted.select(stream).distinct().select(stream, F.lit(0).cast("long").alias("_piece"), F.lit('{"urls": []}').alias("_in"))
+    states = none.unionByName(urls.select(stream, "_piece", F.to_json(F.struct("urls"), {"ignoreNullFields": "false"}).alias("_in")))
+    return free.select(stream, (F.col("_x") + capacity).alias("_c")), states
 
 
 def detect_stalled_playlists(reloads: DataFrame, stream: str, chunk: list[str], position: str,
