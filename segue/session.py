@@ -17,6 +17,8 @@ def build_session(app: str = "segue", master: str | None = None, **conf: str) ->
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # call-site capture per column expression makes large plans slow to build
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
