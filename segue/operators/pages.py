@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from segue.functions import html as H
 from segue.functions import urls as U
 from segue.operators.urls import clean_title
+from segue.session import cut_lineage
 
 LD_JSON = '<script type="application/ld+json">'
 HYDRATION_START, HYDRATION_END = "window.__sc_hydration = ", ";</script>"
@@ -216,37 +213,12 @@ def extract_embedded_response(df: DataFrame, text: str = "html", out: str = "res
 MEDIA_PATHS = ("$.legacy.extended_entities.media", "$.legacy.entities.media")
 
 
-@F.pandas_udf(T.StringType())
-def _deep_media(payloads: pd.Series) -> pd.Series:
-    """Depth-first search (keys in sorted order) for an object with video variants."""
-
-    def search(node):
-        if isinstance(node, dict):
-            info = node.get("video_info")
-            if isinstance(info, dict) and isinstance(info.get("variants"), list):
-                return node
-            node = [node[k] for k in sorted(node)]
-        if isinstance(node, list):
-            for child in node:
-                found = search(child)
-                if found is not None:
-                    return found
-        return None
-
-    def one(text):
-        try:
-            found = search(json.loads(text)) if text is not None else None
-        except ValueError:
-            found = None
-        return json.dumps(found, sort_keys=True) if found is not None else None
-
-    return payloads.map(one)
-
-
 def find_media_node(df: DataFrame, payload: str = "payload", out: str = "media") -> DataFrame:
-    """Media object of a payload: two fixed paths first, then anywhere.
+    """Media object of a payload: two fixed paths first, then anywhere, the first in depth-first order (keys sorted).
 
-    Only rows that both fixed paths miss are sent to Python.
+    What both fixed paths miss is searched level by level: the containers of a level that are no media object are exploded
+    into the next. Every node carries its path of positions, so the first hit of a payload is its least path. A level is
+    one job over the nodes left; there are as many as the deepest payload has levels.
     """
     def usable(m: Column) -> Column:
         return F.try_variant_get(m, "$.video_info.variants", "array<variant>").isNotNull()
@@ -254,6 +226,17 @@ def find_media_node(df: DataFrame, payload: str = "payload", out: str = "media")
     doc = F.try_parse_json(F.col(payload))
     primary = F.coalesce(*[
         F.get(F.filter(F.try_variant_get(doc, p, "array<variant>"), usable), F.lit(0)) for p in MEDIA_PATHS])
-    found = df.withColumn("_fixed", F.to_json(primary))
-    found = found.withColumn("_deep", _deep_media(F.when(F.col("_fixed").isNull(), F.col(payload))))
-    return found.withColumn(out, F.coalesce("_fixed", "_deep")).drop("_fixed", "_deep", payload)
+    rows = cut_lineage(df.withColumn("_fixed", F.to_json(primary)).withColumn("_row", F.monotonically_increasing_id()))
+    nodes = rows.where("_fixed IS NULL").select("_row", F.array().cast("array<int>").alias("_path"), F.col(payload).alias("_text"))
+    hits, found = [], df.sparkSession.createDataFrame([], "_row bigint, _path array<int>, _text string")
+    while not nodes.isEmpty():
+        level = nodes.select("_row", "_path", "_text", F.try_parse_json("_text").alias("_node")).withColumn(
+            "_media", F.coalesce(usable(F.col("_node")), F.lit(False)))
+        hits.append(level.where("_media").select("_row", "_path", "_text"))
+        inner = level.where("NOT _media").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_node").outer()))
+        inner = inner.select("_row", F.concat("_path", F.array("pos")).alias("_path"), F.to_json("value").alias("_text"))
+        nodes = cut_lineage(inner.where(F.substring("_text", 1, 1).isin("{", "[")))
+    for level in hits:
+        found = found.unionByName(level.select("_row", "_path", F.to_json(F.try_parse_json("_text")).alias("_text")))
+    first = found.groupBy("_row").agg(F.min_by("_text", "_path").alias("_deep"))
+    return rows.join(first, "_row", "left").withColumn(out, F.coalesce("_fixed", "_deep")).drop("_fixed", "_deep", "_row", payload)
