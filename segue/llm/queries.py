@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,18 +113,20 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 
-def _license_sql() -> str:
-    def pattern(parts: list) -> str:
-        out = ""
-        for part in parts:
-            if isinstance(part, bytes):
-                out += " " + part.decode()
-            elif part[0] == "any":
-                out += f"(?: [^ ]+){{0,{part[1]}}}"
-            else:
-                out += f"(?:{pattern(part[1])})?"
-        return out
+def _license_regex(template: str) -> str:
+    """Pattern of a template over words with one blank before each, from its text (not by the operator's parser)."""
+    text = re.sub(r"\{\{([0-9]+)[^}]*\}\}", " any\u00b7\\1 ", template.lower()).replace("[[", " open\u00b7 ").replace("]]", " shut\u00b7 ")
+    out, depth, begun = [], 0, False
+    for word in re.sub("[^0-9a-z\u00b7]+", " ", text).split():
+        kind = word.partition("\u00b7")[0] if "\u00b7" in word else None
+        depth += (kind == "open") - (kind == "shut")
+        begun = begun or (kind is None and not depth)
+        if begun:
+            out.append({"open": "(?:", "shut": ")?"}.get(kind) or (f"(?: [^ ]+){{0,{word.partition(chr(0xb7))[2]}}}" if kind else " " + word))
+    return "".join(out)
 
+
+def _license_sql() -> str:
     def starts(phrase: str) -> str:
         words = phrase.split()
         test = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words))
@@ -132,12 +136,13 @@ def _license_sql() -> str:
     columns = ", ".join(f"{starts(phrase)} AS b{k}" for k, (phrase, _) in enumerate(bases))
     base = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(bases))
     every = " || ".join(f"b{k}" for k in range(len(bases)))
-    labels, weights = [], []
+    labels, weights, whole = [], [], {}
     for label, weight, text in license_scan.TEMPLATES:
-        parts = license_scan.parse(text)
-        while not isinstance(parts[0], bytes):
-            parts = parts[1:]
-        test = f"regexp_matches(line, '{pattern(parts)} ')"
+        test = f"regexp_matches(line, '{_license_regex(text)} ')"
+        if weight == 1.0:
+            whole[label] = test
+        for other in license_scan.UNLESS.get(label, ()):
+            test += f" AND NOT {whole[other]}"
         labels.append(f"CASE WHEN {test} THEN '{label}' END")
         weights.append(f"CASE WHEN {test} THEN {weight} ELSE 0.0 END")
     joined = "coalesce(array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ','), '')"
