@@ -51,9 +51,13 @@ class SinceReset:
 
 @dataclass(frozen=True)
 class Floored:
-    """Running sum of ``value`` that never falls below zero (a queue length)."""
+    """Running sum of ``value`` that never falls below zero (a queue length).
+
+    ``before=True`` gives it as it stood before the row.
+    """
 
     value: Column
+    before: bool = False
 
 
 def row_index() -> Running:
@@ -131,9 +135,11 @@ def scan(df: DataFrame, keys: list[str], chunk: list[str], order: list, **specs)
             final[name] = F.when(F.col(f"{loc}_base").isNotNull(), F.col(loc)).otherwise(
                 F.col(loc) + F.coalesce(F.col(car), F.lit(0)))
         else:  # Floored: S - min(0, running minimum of S)
-            local = local.withColumn(loc, F.sum(spec.value).over(upto))
-            local = local.withColumn(f"{loc}_min", F.min(F.col(loc)).over(upto))
-            summary += [F.sum(spec.value).alias(agg), F.min(F.col(loc)).alias(f"{agg}_min")]
+            local = local.withColumn(f"{loc}_all", F.sum(spec.value).over(upto))
+            frame = until if spec.before else upto
+            local = local.withColumn(f"{loc}_min", F.coalesce(F.min(F.col(f"{loc}_all")).over(frame), F.lit(0)))
+            local = local.withColumn(loc, F.coalesce(F.sum(spec.value).over(until), F.lit(0)) if spec.before else F.col(f"{loc}_all"))
+            summary += [F.sum(spec.value).alias(agg), F.min(F.col(f"{loc}_all")).alias(f"{agg}_min")]
             folded.append((car, F.coalesce(F.sum(F.col(agg)).over(earlier), F.lit(0))))
             folded.append((f"{car}_low", F.min(F.col(car) + F.col(f"{agg}_min")).over(earlier)))
             total = F.col(car) + F.col(loc)

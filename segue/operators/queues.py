@@ -89,8 +89,7 @@ def admit_requests(log: DataFrame, guild: str, chunk: str, order: list[str], max
     df = df.withColumn("_valid", F.coalesce((kind == "resolve") & (F.col("_answered") == place), F.lit(False))).drop("_answered")
     df = df.withColumn("_joins", number(F.col("_valid") & F.col("ok")) - number(kind == "advance"))
     df = scan(cut_lineage(df), [guild], [chunk], order, _pending=Running(number(kind == "request") - number(F.col("_valid")), before=True),
-              _present=Floored(F.col("_joins")))
-    df = scan(cut_lineage(df), [guild], [chunk], order, _had=Shifted(F.col("_present"), -1)).withColumn("_had", F.coalesce("_had", F.lit(0)))
+              _present=Floored(F.col("_joins")), _had=Floored(F.col("_joins"), before=True))
     queued = F.greatest(F.col("_had") - 1, F.lit(0))
     full = (kind == "request") & ((F.col("_pending") >= max_pending) | (queued + F.col("_pending") >= max_queue))
     df = cut_lineage(df.withColumn("_full", full))
@@ -100,11 +99,13 @@ def admit_requests(log: DataFrame, guild: str, chunk: str, order: list[str], max
     df = df.join(doubted, (F.col(guild) == F.col("_g")) & (F.col("id") == F.col("_i")), "left").drop("_g", "_i")
     doubt = F.coalesce(F.col("_doubt"), F.lit(False))
     df = df.withColumn("_sure", F.when(doubt & F.col("_valid"), 0).otherwise(F.col("_joins")).cast("long"))
-    df = scan(df, [guild], [chunk], order, _open=Running(number(F.col("_full")) - number(doubt & F.col("_valid"))), _least=Floored(F.col("_sure")))
-    df = df.withColumn("_known", (F.col("_open") == 0) & (F.col("_present") == F.col("_least"))).drop("_doubt", "_sure", "_least", "_open")
-    df = scan(cut_lineage(df), [guild], [chunk], order, _was=Shifted(F.col("_known"), -1)).withColumn("_was", F.coalesce("_was", F.lit(True)))
-    df = df.withColumn("_starts", F.col("_was") & ~F.col("_known"))
-    df = cut_lineage(scan(df, [guild], [chunk], order, _stretch=Running(F.col("_starts").cast("long"))))
+    unsettled = number(F.col("_full")) - number(doubt & F.col("_valid"))
+    df = scan(df, [guild], [chunk], order, _open=Running(unsettled), _least=Floored(F.col("_sure")),
+              _opened=Running(unsettled, before=True), _leased=Floored(F.col("_sure"), before=True))
+    df = df.withColumn("_known", (F.col("_open") == 0) & (F.col("_present") == F.col("_least")))
+    df = df.withColumn("_was", (F.coalesce("_opened", F.lit(0)) == 0) & (F.col("_had") == F.col("_leased")))
+    df = df.withColumn("_starts", F.col("_was") & ~F.col("_known")).drop("_doubt", "_sure", "_least", "_leased", "_open", "_opened")
+    df = cut_lineage(scan(cut_lineage(df), [guild], [chunk], order, _stretch=Running(F.col("_starts").cast("long"))))
     within = ~F.col("_was") | ~F.col("_known")
 
     playing = F.col("_had") > 0
@@ -187,11 +188,9 @@ def replay_queue(log: DataFrame, guild: str, chunk: list[str], order: list[str],
     delta = (F.when(do == "enqueue", 1).when((ends & ~F.col("_was_loop")) | (do == "start_failed"), -1)
              .when(do == "disconnect", _EMPTY_ALL).otherwise(0)).cast("long")
     df = cut_lineage(df.withColumn("_delta", delta))
-    df = scan(df, keys, chunk, order, present=Floored(F.col("_delta")),
+    df = scan(df, keys, chunk, order, present=Floored(F.col("_delta")), _before=Floored(F.col("_delta"), before=True),
               _enqueued=Running(count(do == "enqueue"), "sum"))
-    n = F.col("present")
-    df = scan(cut_lineage(df), keys, chunk, order, _before=Shifted(F.col("present"), -1))
-    had = F.coalesce(F.col("_before"), F.lit(0)) > 0
+    n, had = F.col("present"), F.col("_before") > 0
     outcome = (
         F.when(do == "none", "no_track_playing")
         .when(do == "enqueue", F.when(had, "queued").otherwise("now_playing"))

@@ -22,14 +22,15 @@ def test_scan_equals_loop(spark):
     got = {(x.g, x.i): x for x in scan(
         df, ["g"], ["c"], ["i"], n=row_index(), last=Running(F.col("v"), "last"), low=Running(F.col("v"), "min"),
         prev=Shifted(F.col("v"), -1), nxt=Shifted(F.col("v"), 1), since=SinceReset(F.lit(1), F.col("r")),
-        before=SinceReset(F.lit(1), F.col("r"), before=True), floor=Floored(F.coalesce(F.col("v"), F.lit(0)))).collect()}
+        before=SinceReset(F.lit(1), F.col("r"), before=True), floor=Floored(F.coalesce(F.col("v"), F.lit(0))),
+        was=Floored(F.coalesce(F.col("v"), F.lit(0)), before=True)).collect()}
     for g in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == g]
         last = low = None
         since = floor = 0
         for n, (_, i, v, reset) in enumerate(own):
             x = got[(g, i)]
-            assert x.n == n and x.before == since
+            assert x.n == n and x.before == since and x.was == floor
             last, low = (v if v is not None else last), (min(low, v) if None not in (low, v) else low if v is None else v)
             since = 0 if reset else since + 1
             floor = max(floor + (v or 0), 0)

@@ -17,7 +17,9 @@ NAMES = ("adjacent_transitions", "redact_urls", "build_page_metadata", "top_qual
          "lookup_cached", "tolerant_identity_join", "commit_ready_prefix", "voice_occupancy", "render_queue_lines",
          "onset_flux", "mix_quality_metrics", "energy_continuity", "read_restart_snapshot", "read_analysis_store",
          "filter_allowed_urls", "normalize_payloads", "dedupe_segments", "admit_requests", "trim_to_capacity", "validate_analyses",
-         "energy_structure", "vocal_risk", "select_start_fold", "explain_rules", "rejected_records", "write_plan_report")
+         "energy_structure", "vocal_risk", "select_start_fold", "explain_rules", "rejected_records", "write_plan_report",
+         "track_beats", "tempo_map", "phase_errors", "quality_report", "transition_score", "write_analysis_store", "replay_queue",
+         "find_media_node", "analyze_tracks")
 
 
 def test_every_twin_has_a_query():
