@@ -6,7 +6,7 @@ training texts stream through it, keeping the longest suffix that is also a subs
 ``window`` words or more ends an occurrence; shorter items are one window each. Documents are never shuffled. A benchmark
 of more than one shard is matched shard by shard over stored tables.
 
-Nulls and empty texts have no words and no hits. Null item texts and items without words never match; a null item id
+Nulls and empty texts have no words and no hits. An empty table gives no rows, an empty benchmark no hits. Null item texts and items without words never match; a null item id
 counts as the id "null". Repeated rows are judged alike, one by one. Input columns of any name are kept in ``row``.
 """
 

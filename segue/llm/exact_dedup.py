@@ -12,7 +12,7 @@ Results return to documents over (digest, salt, variant): ``variant`` numbers th
 collision separates. Members ride in their local group's row, so a group with a third of all documents is as many rows
 as tasks and buffers made for it, never one list.
 
-Null counts as the empty text, texts of white space alone equal it. Of equal texts the longest original stays, then the
+Null counts as the empty text, texts of white space alone equal it. An empty table gives no rows. Of equal texts the longest original stays, then the
 smallest doc_id (a null doc_id last). Repeated rows with one doc_id form a group like others: all but one are dropped,
 ``kept`` is true for one row. Only doc_id and text are read; other columns are left out of the result.
 """

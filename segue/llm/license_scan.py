@@ -8,7 +8,7 @@ substring search per template plus the few places found.
 
 ``WHOLE`` templates are whole published texts: a text whose mandatory wording differs anywhere has no such label. Excerpts have
 labels and lower weights of their own and give way to the whole text; statements name a license. The four base phrases are templates without markup. Texts are judged whole, one by one, without a shuffle. Null and
-empty texts have no words, no labels and score 0. Repeated rows are judged alike; input columns of any name stay in ``row``.
+empty texts have no words, no labels and score 0. An empty table gives no rows. Repeated rows are judged alike; input columns of any name stay in ``row``.
 """
 
 from __future__ import annotations

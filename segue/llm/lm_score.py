@@ -14,7 +14,8 @@ copies are averaged by tokens, in two salted steps; one scoring pass. Counts of
 broadcast of that many entries at most) are joined. The base score is the add-0.1 unigram of the contract.
 
 A token is a word or the end of a text; null and empty texts are one end token. Repeated rows count as often as they
-stand in the table. Documents with a null doc_id are scored, not learned from and not held out.
+stand in the table. Documents with a null doc_id are scored, not learned from and not held out. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ first: every open sequence that can take one under all three constraints is scor
 by the weighted dot product of demand and remainder, and the best sequences get one each, round by round; new ones are
 opened when none fits.
 
-Null and empty texts are a single end id. Repeated rows are packed as separate documents; a null doc_id is kept.
+Null and empty texts are a single end id. Repeated rows are packed as separate documents; a null doc_id is kept. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ def pieces(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, keep:
     return annotate(docs, PIECES, per_batch, keep)
 
 
+PORTION = 1 << 20
+"""Pieces packed together at most; a sequence holds one at least, so their numbers are within it too."""
+
+
 def fit(lengths: np.ndarray, tokens: int = TOKENS, documents: int = TOKENS, attention: int = TOKENS * TOKENS,
         weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> np.ndarray:
     """Sequence number of every piece, by vector best-fit. ``rule``: ``norm`` (least remainder) or ``dot`` (greatest)."""
@@ -93,18 +98,14 @@ def fit(lengths: np.ndarray, tokens: int = TOKENS, documents: int = TOKENS, atte
 
 
 def pack(parts: DataFrame, tokens: int = TOKENS, documents: int = TOKENS, attention: int = TOKENS * TOKENS,
-         weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
+         weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", portion: int = PORTION) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32) into sequences: adds ``sequence_id`` and ``offset``.
 
-    The rebalance gives portions of the session's advisory partition size, a few hundred thousand pieces each.
+    The rebalance gives partitions of the session's advisory size, a few hundred thousand pieces each; a task packs portions
+    of ``portion`` pieces at most, whatever it is given.
     """
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        batches = list(batches)
-        if not batches:
-            return
+    def packed(batches, base):
         table = pa.Table.from_batches(batches).combine_chunks()
         lengths = table.column("length").to_numpy()
         place = fit(lengths, tokens, documents, attention, weights, rule)
@@ -113,10 +114,24 @@ def pack(parts: DataFrame, tokens: int = TOKENS, documents: int = TOKENS, attent
         ends = np.cumsum(sizes)
         heads = np.flatnonzero(np.diff(place, prepend=-1))
         begin = np.repeat(ends[heads] - sizes[heads], np.diff(np.append(heads, len(place))))
-        place = place + (TaskContext.get().partitionId() << 32)
-        table = table.append_column("sequence_id", pa.array(place)).append_column("offset", pa.array(ends - sizes - begin))
+        table = table.append_column("sequence_id", pa.array(place + base)).append_column("offset", pa.array(ends - sizes - begin))
         yield from table.to_batches(max_chunksize=65536)
 
+    def run(batches):
+        from pyspark import TaskContext
+
+        base, held, size = TaskContext.get().partitionId() << 40, [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, portion):
+                some = batch.slice(at, portion)
+                if held and size + some.num_rows > portion:
+                    yield from packed(held, base)
+                    base, held, size = base + portion, [], 0
+                held.append(some)
+                size += some.num_rows
+        if held:
+            yield from packed(held, base)
+
     return parts.select("doc_id", "piece", "start", "length", "ids_crc32").hint("rebalance").mapInArrow(run, OUT)
 
 

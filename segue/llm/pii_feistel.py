@@ -16,7 +16,7 @@ The permutation is an alternating Feistel network on pairs (x mod a, y mod b) wi
 may be any number, so no cycle walking is needed. Of a candidate that fails, the longest valid part is taken
 (cards between separators, IBANs from their start). What has none stays as it is. Documents are not shuffled.
 
-A null text stays null with n_found 0; empty texts stay empty. Repeated rows and equal values give equal results. Input
+A null text stays null with n_found 0; empty texts stay empty. An empty table gives no rows. Repeated rows and equal values give equal results. Input
 columns of any name stay in ``row``.
 """
 

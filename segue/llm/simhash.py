@@ -12,7 +12,7 @@ value differ by 2 bits or less among themselves, they are at most 65, and any tw
 value, so linking every visitor to the smallest one loses no link and makes no pairs. Components are found with
 alternating large-star and small-star steps over stored edge tables.
 
-Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share a component. A null
+Null and empty texts have fingerprint zero and are linked like any other. An empty table gives no rows. Repeated rows share a component. A null
 doc_id takes part, but is the component's id only if no other id is in it. Input columns of any name stay in ``row``.
 """
 

@@ -95,3 +95,24 @@ def test_repeated_rows_spread_over_files(spark):
     rows = sorted((r.start, r.n_tokens) for r in id_planes.read_ids(store).collect())
     starts = np.cumsum([0] + [n for _, n in rows])
     assert len(rows) == 4093 and [s for s, _ in rows] == starts[:-1].tolist()
+
+
+def test_portions_of_a_task_are_bounded(spark):
+    from collections import defaultdict
+
+    from segue.llm import packing
+
+    lengths = np.random.default_rng(3).integers(1, 1025, 700).tolist()
+    rows = [(k, 0, 0, n, 0) for k, n in enumerate(lengths)]
+    parts = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    held = {}
+    for portion in (50, packing.PORTION):
+        sequences = defaultdict(list)
+        for r in packing.pack(parts, portion=portion).collect():
+            sequences[r.sequence_id].append((r.offset, r.length, r.doc_id))
+        assert sorted(d for s in sequences.values() for _, _, d in s) == list(range(700))
+        for s in sequences.values():
+            assert sum(n for _, n, _ in s) <= 1024
+            assert [o for o, _, _ in sorted(s)] == np.cumsum([0] + [n for _, n, _ in sorted(s)][:-1]).tolist()
+        held[portion] = len(sequences)
+    assert sum(lengths) / 1024 <= held[packing.PORTION] <= held[50] < 1.2 * sum(lengths) / 1024
