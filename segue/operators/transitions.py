@@ -554,8 +554,9 @@ def add_energy(df: DataFrame) -> DataFrame:
         "handoff_share": F.array_min(shares)}).drop("_ref", "_lv", "_ra")
 
 
-def _pmod(x: Column, m: Column) -> Column:
-    return x - m * F.floor(x / m)
+def _phase(x: Column, cycle: Column) -> Column:
+    """Share of the cycle that has passed at ``x``."""
+    return x / cycle - F.floor(x / cycle)
 
 
 def interval_family(outgoing: Column, incoming: Column) -> Column:
@@ -566,7 +567,7 @@ def interval_family(outgoing: Column, incoming: Column) -> Column:
 
 def cycle_error(o_at: Column, o_first: Column, o_len: Column, i_at: Column, i_first: Column, i_len: Column) -> Column:
     near = interval_family(o_len, i_len)
-    delta = F.abs(_pmod(o_at - o_first, o_len) / o_len - _pmod(i_at - i_first, near) / near)
+    delta = F.abs(_phase(o_at - o_first, o_len) - _phase(i_at - i_first, near))
     return o_len * F.least(delta, 1 - delta)
 
 
