@@ -20,3 +20,8 @@ def test_only_fields_in_use_are_shuffled(spark, sf):
 
 def test_catalog_is_made_in_many_tasks(spark, sf):
     assert track_catalog(spark, sf).rdd.getNumPartitions() > 1
+
+
+def test_summaries_compute_only_what_they_show(spark, sf):
+    plan = transition_queries.vocal_summary(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "marker_conf" not in plan
