@@ -20,8 +20,10 @@ table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_remainder, spaced_words, stored
+from .common import id_remainder, per_process, spaced_words, stored, texts_of
+from .tokens import portions
 
 FREQUENT, BUCKETS = 768, 256
 OUTPUTS = FREQUENT + BUCKETS
@@ -110,30 +113,44 @@ class Model:
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
         """A noise-contrastive step: targets against ``noise`` outputs shared by the batch."""
         w, lift = self.w, np.float32(np.log(len(noise)))
-        r1, r2 = w["r"][one], w["r"][two]
+        r1, r2 = w["r"].take(one, axis=0), w["r"].take(two, axis=0)
         h = r1 * w["c1"] + r2 * w["c2"]
-        qt, qn = w["q"][target], w["q"][noise]
-        st = (h * qt).sum(axis=1) + w["b"][target] - log_noise[target] - lift
+        qt, qn = w["q"].take(target, axis=0), w["q"].take(noise, axis=0)
+        st = np.einsum("ij,ij->i", h, qt) + w["b"][target] - log_noise[target] - lift
         sn = h @ qn.T + (w["b"][noise] - log_noise[noise] - lift)
-        gt = 1 / (1 + np.exp(-np.clip(st, -30, 30))) - 1
-        gn = 1 / (1 + np.exp(-np.clip(sn, -30, 30)))
+        gt = _logistic(st) - 1
+        gn = _logistic(sn)
         dh = gt[:, None] * qt + gn @ qn
-        self._descend("q", np.concatenate([target, noise]), np.concatenate([gt[:, None] * h, gn.T @ h]))
-        self._descend("b", np.concatenate([target, noise]), np.concatenate([gt, gn.sum(axis=0)]))
-        self._descend("c1", np.arange(DIM), (dh * r1).sum(axis=0))
-        self._descend("c2", np.arange(DIM), (dh * r2).sum(axis=0))
-        self._descend("r", np.concatenate([one, two]), np.concatenate([dh * w["c1"], dh * w["c2"]]))
-
-    def _descend(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
-        """Adagrad step of the rows touched, their gradients summed first."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        heads = np.flatnonzero(np.diff(at, prepend=-1))
-        grad, rows = np.add.reduceat(grad[order], heads, axis=0), at[heads]
+        out, back = np.concatenate([target, noise]), np.concatenate([one, two])
+        self._descend("q", _summed(out, np.concatenate([gt[:, None] * h, gn.T @ h])))
+        self._descend("b", _summed(out, np.concatenate([gt, gn.sum(axis=0)])))
+        self._descend("c1", np.einsum("ij,ij->j", dh, r1))
+        self._descend("c2", np.einsum("ij,ij->j", dh, r2))
+        self._descend("r", _summed(back, np.concatenate([dh * w["c1"], dh * w["c2"]])))
+
+    def _descend(self, name: str, grad: np.ndarray) -> None:
+        """Adagrad step; rows without a gradient stay as they are."""
         power = self.power.setdefault(name, np.ones(len(self.w[name]), np.float32))
-        power[rows] += grad**2 if grad.ndim == 1 else (grad**2).mean(axis=1)
-        scale = np.float32(RATE) / np.sqrt(power[rows])
-        self.w[name][rows] -= grad * (scale if grad.ndim == 1 else scale[:, None])
+        power += grad**2 if grad.ndim == 1 else np.einsum("ij,ij->i", grad, grad) / DIM
+        scale = np.float32(RATE) / np.sqrt(power)
+        self.w[name] -= grad * (scale if grad.ndim == 1 else scale[:, None])
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    x = np.minimum(-x, np.float32(30))
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+PLACES = np.arange(OUTPUTS * DIM).reshape(OUTPUTS, DIM)
+
+
+def _summed(at: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """The gradients of each output number added up."""
+    if grad.ndim == 1:
+        return np.bincount(at, grad, OUTPUTS).astype(np.float32)
+    return np.bincount(PLACES.take(at, axis=0).ravel(), grad.ravel(), OUTPUTS * DIM).astype(np.float32).reshape(OUTPUTS, DIM)
 
 
 def train_local(model: Model, streams, turn: int, rounds: int, seed: int, log_noise: np.ndarray) -> tuple[Model, int]:
@@ -208,22 +225,31 @@ class Vocabulary:
         top = counts.orderBy(F.desc("c"), "word").limit(COUNTED).toArrow().to_pydict()
         return cls([bytes(w) for w in top["word"]], top["c"], int(in_bucket[:, 0].sum()), int(in_bucket[:, 1].sum()), in_bucket)
 
-    def encode(self, text: bytes | None) -> dict:
-        words = [*spaced_words(text), END]
-        at = np.array([self.index.get(w, -1) for w in words], np.int64)
+    def encode(self, texts: list[bytes | None]) -> dict[str, list]:
+        """Columns of ``ENCODED``; the words of all texts are looked up together."""
+        each = [[*spaced_words(t), END] for t in texts]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        words = list(chain.from_iterable(each))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         known = at >= 0
         numbers = np.where(known, self.number[at] if len(self.number) else 0, 0)
-        rare = Counter()
-        for k in np.flatnonzero(~known).tolist():
+        rare: list[list[dict]] = [[] for _ in texts]
+        lost = np.flatnonzero(~known)
+        for doc, k in zip((np.searchsorted(ends, lost, side="right")).tolist(), lost.tolist()):
             word = words[k]
             numbers[k] = self.outputs[word] if word in self.outputs else bucket(word)
-            rare[word] += 1
-        logs = self.log_count[at[known]]
-        plain = numbers[known] < FREQUENT
-        inside = numbers[numbers >= FREQUENT] - FREQUENT
-        return {"n_tokens": len(words), "n_counted": int(known.sum()), "base": float(logs.sum()),
-                "within": float(logs[~plain].sum() - self.log_bucket[inside].sum()), "ids": numbers.astype("<u2").tobytes(),
-                "rare": [{"word": w, "n": n} for w, n in rare.items()]}
+            rare[doc].append(word)
+        logs = np.where(known, self.log_count[at] if len(self.number) else 0.0, 0.0)
+        inside = numbers >= FREQUENT
+        within = np.where(inside, logs, 0.0)
+        within[inside] -= self.log_bucket[numbers[inside] - FREQUENT]
+        ids = numbers.astype("<u2").tobytes()
+        base, within, counted = (np.add.reduceat(x, starts).tolist() for x in (logs, within, known.astype(np.int64)))
+        return {"n_tokens": sizes.tolist(), "n_counted": counted, "base": base, "within": within,
+                "ids": [ids[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist())],
+                "rare": [[{"word": w, "n": n} for w, n in Counter(found).items()] if found else [] for found in rare]}
 
 
 ENCODED = ("n_tokens bigint, n_counted bigint, base double, within double, ids binary, "
@@ -301,18 +327,23 @@ def score_texts(docs: DataFrame, folds: int = 10, held_fold: int = 0) -> DataFra
 
     def encode(batches):
         for batch in batches:
-            found = [vocabulary.encode(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            columns = [batch.column(c) for c in marks]
-            columns += [pa.array([x[f.name] for x in found], kind.field(f.name).type) for f in encoded.fields]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+            texts, at = texts_of(batch.column("text")), 0
+            for part in portions(texts):
+                found = vocabulary.encode(part)
+                columns = [batch.column(c).slice(at, len(part)) for c in marks]
+                columns += [pa.array(found[f.name], kind.field(f.name).type) for f in encoded.fields]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+                at += len(part)
 
     rows = stored(inputs.mapInArrow(encode, schema), "lm-rows")
     model = train_model(rows.where("learnt"), vocabulary)
     slim = ["uid", "doc_id", "held_out", "n_tokens", "n_counted", "base", "within"]
     out = T.StructType([rows.schema[c] for c in slim] + [T.StructField("model", T.DoubleType())])
 
+    token = uuid.uuid4().hex
+
     def judge(batches):
-        scorer = Scorer(model)
+        scorer = per_process("lm-scorer", token, lambda: Scorer(model))  # its normalisers serve all tasks of a worker
         for batch in batches:
             ids = [np.frombuffer(i, "<u2") for i in batch.column("ids").to_pylist()]
             sums = [float(scorer.log_probabilities(*contexts(i)).sum(dtype=np.float64) / np.log(10)) for i in ids]
