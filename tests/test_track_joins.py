@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from segue.operators import transition_plan as P
 from segue.plans import transition_queries
 from segue.plans.tables import track_catalog
 
@@ -25,3 +26,11 @@ def test_catalog_is_made_in_many_tasks(spark, sf):
 def test_summaries_compute_only_what_they_show(spark, sf):
     plan = transition_queries.vocal_summary(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "marker_conf" not in plan
+
+
+def test_chosen_starts_are_not_broadcast(spark, sf):
+    variants = transition_queries._variants(spark, sf)
+    starts = variants.selectExpr("outgoing", "incoming", "variant", "0 AS position", "default_start AS p_os", "CAST(0 AS DOUBLE) AS score")
+    finished = P.finish_variants(variants, P.select_start(starts, transition_queries.VARIANT), transition_queries.VARIANT)
+    plan = finished._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
