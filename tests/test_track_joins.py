@@ -34,3 +34,4 @@ def test_chosen_starts_are_not_broadcast(spark, sf):
     finished = P.finish_variants(variants, P.select_start(starts, transition_queries.VARIANT), transition_queries.VARIANT)
     plan = finished._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "strategy=merge" in finished._jdf.queryExecution().optimizedPlan().toString()  # whatever the estimate
