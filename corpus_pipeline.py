@@ -1,10 +1,10 @@
 """Corpus pipeline over ``documents``: each stage takes (spark, docs, sf_dir), its result is written and read back.
 
-Quality classification (rejected documents go), exact deduplication, near-deduplication (texts whose sets of 5-word
-shingles have a Jaccard similarity of 0.8 or more are linked, the smallest doc_id of a group stays), benchmark
-decontamination (contaminated documents go), best-fit packing. All stages but the last return the columns of their input.
-SimHash fingerprints at a distance that can be searched miss nearly all such copies (README), so the near-copy stage is the
-grouped prefix join. ``ORACLE_SQL`` is None: the trained classifier and the tokenizer are not SQL; tests compare the
+Quality classification (rejected documents go), exact deduplication, near-deduplication (texts are linked if their SimHash
+fingerprints differ in 2 bits or less or if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more, the
+smallest doc_id of a group stays), benchmark decontamination (contaminated documents go), best-fit packing. All stages but
+the last return the columns of their input. SimHash alone, at a distance that can be searched, misses nearly all copies of
+that similarity (README), so both kinds of links count. ``ORACLE_SQL`` is None: the trained classifier and the tokenizer are not SQL; tests compare the
 pipeline with a brute-force version.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segue.llm import decontaminate, exact_dedup, ngram_join, packing, quality_mil
+from segue.llm import decontaminate, exact_dedup, near_copies, packing, quality_mil
 from segue.llm.common import forget, quoted, stored
 
 
@@ -31,7 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.representatives(docs, 5, 4, 5)
+    return near_copies.representatives(docs, 5, 4, 5)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

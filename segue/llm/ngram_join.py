@@ -396,16 +396,20 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, p: int = P, q: int =
         ids.where("key IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, p: int = P, q: int = Q, crowd: int = CROWD) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = SHINGLE, p: int = P, q: int = Q, crowd: int = CROWD,
+                    classes: DataFrame | None = None, wordless: bytes | None = None) -> DataFrame:
     """One document of each component, with all its columns: the smallest doc_id (null last), of repeated rows any one.
 
-    Documents without words stay, each by itself. No copy of the texts is written: those that go are few or many rows of
-    (doc_id, key), removed by an anti join.
+    Documents without words stay, each by itself, unless ``wordless`` is their key. ``classes`` are other components than
+    those of ``class_components``. No copy of the texts is written: those that go are few or many rows of (doc_id, key),
+    removed by an anti join.
     """
     columns = [quoted(c) for c in docs.columns]
-    name = [F.col("row.doc_id").isNull().alias("absent"), F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(0)).alias("doc"), "found.key"]
+    name = [F.col("row.doc_id").isNull().alias("absent"), F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(0)).alias("doc"),
+            F.coalesce("found.key", F.lit(wordless)).alias("key")]
     ids = stored(keyed(docs, ["doc_id"]).select(*name), "ngram-ids")
-    named = _named(ids, class_components(docs, shingle, p, q, crowd), F.struct("absent", "doc", "key"))
+    classes = class_components(docs, shingle, p, q, crowd) if classes is None else classes
+    named = _named(ids, classes, F.struct("absent", "doc", "key"))
     rows = ids.where("key IS NOT NULL").groupBy("absent", "doc", "key").agg(F.count("*").alias("rows")).join(named, "key")
     keeps = F.col("first") == F.struct("absent", "doc", "key")
     rows = stored(rows.select("absent", "doc", "key", "rows", keeps.alias("keeps")), "ngram-rows")
