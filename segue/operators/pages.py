@@ -218,7 +218,8 @@ def find_media_node(df: DataFrame, payload: str = "payload", out: str = "media")
 
     What both fixed paths miss is searched level by level: the containers of a level that are no media object are exploded
     into the next. Every node carries its path of positions, so the first hit of a payload is its least path. A level is
-    one job over the nodes left; there are as many as the deepest payload has levels.
+    one job over the nodes left; there are as many as the deepest payload has levels. A text that names no ``video_info``
+    holds no media object and is not searched; an escape may hide the name.
     """
     def usable(m: Column) -> Column:
         return F.try_variant_get(m, "$.video_info.variants", "array<variant>").isNotNull()
@@ -227,7 +228,11 @@ def find_media_node(df: DataFrame, payload: str = "payload", out: str = "media")
     primary = F.coalesce(*[
         F.get(F.filter(F.try_variant_get(doc, p, "array<variant>"), usable), F.lit(0)) for p in MEDIA_PATHS])
     rows = cut_lineage(df.withColumn("_fixed", F.to_json(primary)).withColumn("_row", F.monotonically_increasing_id()))
-    nodes = rows.where("_fixed IS NULL").select("_row", F.array().cast("array<int>").alias("_path"), F.col(payload).alias("_text"))
+    def promising(nodes: DataFrame) -> DataFrame:
+        return nodes.where(F.col("_text").contains("video_info") | F.col("_text").contains("\\"))
+
+    missed = rows.where("_fixed IS NULL")
+    nodes = promising(missed.select("_row", F.array().cast("array<int>").alias("_path"), F.col(payload).alias("_text")))
     hits, found = [], df.sparkSession.createDataFrame([], "_row bigint, _path array<int>, _text string")
     while not nodes.isEmpty():
         level = nodes.select("_row", "_path", "_text", F.try_parse_json("_text").alias("_node")).withColumn(
@@ -235,8 +240,11 @@ def find_media_node(df: DataFrame, payload: str = "payload", out: str = "media")
         hits.append(level.where("_media").select("_row", "_path", "_text"))
         inner = level.where("NOT _media").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_node").outer()))
         inner = inner.select("_row", F.concat("_path", F.array("pos")).alias("_path"), F.to_json("value").alias("_text"))
-        nodes = cut_lineage(inner.where(F.substring("_text", 1, 1).isin("{", "[")))
+        nodes = cut_lineage(promising(inner.where(F.substring("_text", 1, 1).isin("{", "["))))
     for level in hits:
         found = found.unionByName(level.select("_row", "_path", F.to_json(F.try_parse_json("_text")).alias("_text")))
     first = found.groupBy("_row").agg(F.min_by("_text", "_path").alias("_deep"))
-    return rows.join(first, "_row", "left").withColumn(out, F.coalesce("_fixed", "_deep")).drop("_fixed", "_deep", "_row", payload)
+    # only the missed rows are shuffled to their hits
+    fixed = rows.where("_fixed IS NOT NULL").withColumn(out, F.col("_fixed"))
+    deep = missed.join(first, "_row", "left").withColumn(out, F.col("_deep")).drop("_deep")
+    return fixed.unionByName(deep).drop("_fixed", "_row", payload)

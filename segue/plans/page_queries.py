@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from segue.operators import pages as ops
 from segue.plans.tables import table
+from segue.session import spread
 
 Q = "&quot;"
 _ALBUM = (
@@ -102,7 +103,9 @@ POST = (
 
 
 def normalize_posts(spark, sf):
-    df = table(spark, sf, "events").selectExpr("event_id", "event_id AS post_id", "'https://x.example.com/' AS url", f"{POST} AS payload")
+    # a post is parsed many times: the events are spread first, as a small file would be few tasks
+    events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "event_id")
+    df = events.selectExpr("event_id", "event_id AS post_id", "'https://x.example.com/' AS url", f"{POST} AS payload")
     return ops.normalize_posts(df).drop("post_id", "url")
 
 
