@@ -44,6 +44,8 @@ CELL_BITS = 40
 BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 1 << 13
 BUCKET = 2_000_000
 """Shingles of a counting bucket, about."""
+SLICE = 1 << 17
+"""Shingles of a bucket that are sorted at once, about."""
 WORDS = 8
 """64-bit words of a parity bitmap."""
 CROWD = 64
@@ -158,6 +160,35 @@ def _lines(contents) -> list[bytes]:
     return [expand(c) for c in contents]
 
 
+def add_up(table: pa.Table) -> pa.Table:
+    """Cells of one bucket (block, cells, counts) that all blocks together hold more than once: block, cells, totals.
+
+    They are added up slice by slice, so that what sorting needs is small against the bucket.
+    """
+    cells = [unpack(c.as_py()) for c in table["cells"]]
+    counts = [np.frombuffer(c.as_buffer(), np.uint16) for c in table["counts"]]
+    low, high = min(int(c[0]) for c in cells), max(int(c[-1]) for c in cells) + 1
+    width = -(-(high - low) // max(1, sum(map(len, cells)) // SLICE))
+    cuts = np.arange(low, high + width, width, np.uint64)
+    at = [np.searchsorted(c, cuts) for c in cells]
+    more = [[] for _ in cells]
+    for k in range(len(cuts) - 1):
+        parts = [c[a[k] : a[k + 1]] for c, a in zip(cells, at)]
+        every, place = np.unique(np.concatenate(parts), return_inverse=True)
+        weights = np.concatenate([n[a[k] : a[k + 1]] for n, a in zip(counts, at)])
+        totals = np.bincount(place, weights=weights, minlength=len(every)).astype(np.int64)[place]
+        for part, found, here in zip(parts, more, np.split(totals, np.cumsum([len(x) for x in parts])[:-1])):
+            if (here > 1).any():
+                found.append((part[here > 1], here[here > 1]))
+    out = {"block": [], "cells": [], "totals": []}
+    for block, found in zip(table["block"].to_pylist(), more):
+        if found:
+            out["block"].append(block)
+            out["cells"].append(pack(np.concatenate([c for c, _ in found])))
+            out["totals"].append(np.concatenate([t for _, t in found]).tobytes())
+    return pa.table(out, pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("totals", pa.binary())]))
+
+
 def repeated_cells(blocks: DataFrame, shingle: int) -> DataFrame:
     """For each block, the cells of its shingles that the corpus holds more than once: block, cells, totals."""
     total = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
@@ -178,24 +209,8 @@ def repeated_cells(blocks: DataFrame, shingle: int) -> DataFrame:
                      pa.array([counts[at[k] : at[k + 1]].astype(np.uint16).clip(0, BLOCK_DOCS).tobytes() for k in used], pa.binary())],
                     ["bucket", "block", "cells", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        cells = [unpack(c) for c in table["cells"].to_pylist()]
-        counts = [np.frombuffer(c, np.uint16).astype(np.int64) for c in table["counts"].to_pylist()]
-        every, place = np.unique(np.concatenate(cells), return_inverse=True)
-        totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-        out, at = {"block": [], "cells": [], "totals": []}, 0
-        for block, own in zip(table["block"].to_pylist(), cells):
-            here = totals[place[at : at + len(own)]]
-            at += len(own)
-            more = here > 1
-            if more.any():
-                out["block"].append(block)
-                out["cells"].append(pack(own[more]))
-                out["totals"].append(here[more].tobytes())
-        return pa.table(out, pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("totals", pa.binary())]))
-
     sent = blocks.select("block", "contents").mapInArrow(count, "bucket int, block bigint, cells binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "block bigint, cells binary, totals binary")
+    return sent.groupBy("bucket").applyInArrow(add_up, "block bigint, cells binary, totals binary")
 
 
 SETS = "number bigint, key binary, size int, prefix binary, shingles array<bigint>, places array<int>, bits array<bigint>"

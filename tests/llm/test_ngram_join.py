@@ -3,7 +3,11 @@
 import random
 import re
 import string
+import tracemalloc
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from segue.llm import ngram_join
@@ -116,3 +120,24 @@ def test_coding():
     assert (ngram_join.unpack(ngram_join.pack(numbers)) == numbers).all()
     line = b"a b a b a b c"
     assert len(ngram_join.shingle_set(line, 3)) == 3 and len(ngram_join.shingle_set(b"a b", 3)) == 1 and not len(ngram_join.shingle_set(b"", 3))
+
+
+def test_cells_are_added_up_in_little_memory(monkeypatch):
+    rng, kind = np.random.default_rng(3), pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+    own = [np.unique(rng.integers(0, 1 << 22, 4000, dtype=np.uint64)) for _ in range(100)]
+    times = [(1 + (rng.random(len(c)) < 0.02)).astype(np.uint16) for c in own]
+    table = pa.table({"block": range(100), "cells": [ngram_join.pack(c) for c in own], "counts": [t.tobytes() for t in times]}, kind)
+    want, peaks = Counter(), []
+    for cells, counts in zip(own, times):
+        want.update(dict(zip(cells.tolist(), counts.tolist())))
+    for size in (1 << 15, 1 << 30):
+        monkeypatch.setattr(ngram_join, "SLICE", size)
+        tracemalloc.start()
+        found = ngram_join.add_up(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        got = {b: dict(zip(ngram_join.unpack(c).tolist(), np.frombuffer(t, np.int64).tolist()))
+               for b, c, t in zip(*(found[n].to_pylist() for n in ("block", "cells", "totals")))}
+        assert got == {b: x for b, c in enumerate(own) if (x := {v: want[v] for v in c.tolist() if want[v] > 1})}
+        peaks.append(peak)
+    assert peaks[0] * 2 < peaks[1]  # the whole bucket in one slice, as before
