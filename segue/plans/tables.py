@@ -97,9 +97,14 @@ def _catalog_columns(duck: bool) -> dict[str, str]:
     }
 
 
+RECORDS = 5_000
+"""Records of the catalog that a task makes, about; what sorts them later holds as many at once."""
+
+
 def track_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a record has hundreds of values: the keys are spread first, as one small file would be one task
-    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = spread(parts, "p_partkey", tasks=-(-parts.count() // RECORDS))
     return parts.selectExpr(*[f"{e} AS {n}" for n, e in _catalog_columns(False).items()])
 
 

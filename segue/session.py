@@ -53,9 +53,9 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, *keys):
-    """Repartition before per-row work that is heavy for its bytes; adaptive execution
-    would otherwise merge such rows into few tasks by size."""
+def spread(df, *keys, tasks: int = 1):
+    """Repartition before per-row work that is heavy for its bytes, into ``tasks`` at least; adaptive
+    execution would otherwise merge such rows into few tasks by size."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, tasks)
     return df.repartition(n, *keys)

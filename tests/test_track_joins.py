@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from segue.operators import transition_plan as P
-from segue.plans import transition_queries
+from segue.plans import tables, transition_queries
 from segue.plans.tables import track_catalog
 
 
@@ -23,6 +23,12 @@ def test_catalog_is_made_in_many_tasks(spark, sf):
     assert track_catalog(spark, sf).rdd.getNumPartitions() > 1
 
 
+def test_tasks_of_the_catalog_grow_with_its_records(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables, "RECORDS", 10)
+    sizes = track_catalog(spark, sf).select("track").rdd.glom().map(len).collect()
+    assert len(sizes) == -(-sum(sizes) // 10) and max(sizes) < 40 and sum(sizes) == tables.table(spark, sf, "part").count()
+
+
 def test_summaries_compute_only_what_they_show(spark, sf):
     plan = transition_queries.vocal_summary(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "marker_conf" not in plan
